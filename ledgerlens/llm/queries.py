@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import shared_dir
 from .op1_suffix import suffix_dedup
+from .op2_url import url_verdicts
+from .op3_token_counts import token_counts
+from .op5_mix import MIX_SQL, mix
+from .op7_exact import exact_groups
+from .op8_token_files import read_tokens, write_tokens
+from .op9_secrets import scan
+from .op10_simhash import near_groups
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +27,46 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).drop("removed")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache of its own, so that every distinct text is encoded in this run."""
+    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_dedup": op1_suffix_dedup,
+    f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_counts, op5_mix, op7_exact_dedup, op8_token_files, op9_secrets, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mix": MIX_SQL,
+    "op7_exact_dedup": r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM n WINDOW w AS (PARTITION BY h ORDER BY chars DESC, doc_id)
+""",
+}
