@@ -1,10 +1,54 @@
-"""Training-text pipeline: five stages over ``documents``."""
+"""Training-text pipeline: five stages over ``documents``, each written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from ledgerlens.llm import op4_decontaminate, op5_mix, op6_language, op8_token_files, op10_simhash
+from ledgerlens.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is recognised (null, or without any letters) go."""
+    return op6_language.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each SimHash group stays."""
+    return op10_simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return op4_decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All sources weigh the same; documents are repeated, or left out, by a Poisson draw."""
+    return op5_mix.mix(docs).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per row its place in the token files: doc_id, start, n_tokens, ids_crc32."""
+    return op8_token_files.read_tokens(op8_token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_files", token_files),
+]
+
+#: Fingerprints, profiles and tokens are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

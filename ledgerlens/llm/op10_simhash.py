@@ -249,3 +249,35 @@ def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: in
     labels = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
     out = fps.join(labels, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") == NULL_ID, F.lit(None)).otherwise(F.col("c")).cast("long").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows and columns of ``docs`` whose doc_id names its group; of rows that share it, one stays.
+
+    Which of several rows with the kept doc_id stays: the one with the smallest text. Rows without a
+    doc_id stay only in groups that have no doc_id at all, one for each fingerprint.
+    """
+    groups = near_groups(docs, **options)
+    named = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    kept = rows.join(named.distinct().withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
+    several = groups.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if several.limit(1).count():
+        repeated = several.filter("doc_id is not null").select(F.col("doc_id").alias("__id"))
+        first = kept.join(repeated, "__id", "left_semi").groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+        lone = groups.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+        none = docs.filter(F.col("doc_id").isNull())
+        marked = none.withColumn("__fp", fingerprint_of(**{k: v for k, v in options.items() if k in ("words_each", "seed")})(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        alone = marked.join(lone.withColumnRenamed("fingerprint", "__fp"), "__fp", "left_semi").groupBy("__fp").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+        kept = kept.join(repeated, "__id", "left_anti").select(*docs.columns).unionByName(first.select("__row.*")).unionByName(alone.select("__row.*"))
+    return kept.select(*docs.columns)
+
+
+def fingerprint_of(words_each: int = 4, seed: int = 42):
+    """A column function: text -> 16 hex digits."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([f"{fingerprint(shingle_hashes(t, words_each, seed)):016x}" for t in text_bytes(texts)], pa.string())
+
+    return run

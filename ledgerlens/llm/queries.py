@@ -12,7 +12,9 @@ from .common import shared_dir
 from .op1_suffix import suffix_dedup
 from .op2_url import url_verdicts
 from .op3_token_counts import token_counts
+from .op4_decontaminate import leaks
 from .op5_mix import MIX_SQL, mix
+from .op6_language import identify
 from .op7_exact import exact_groups
 from .op8_token_files import read_tokens, write_tokens
 from .op9_secrets import scan
@@ -37,10 +39,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -58,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_counts, op5_mix, op7_exact_dedup, op8_token_files, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_token_counts, op4_decontaminate, op5_mix, op6_language, op7_exact_dedup, op8_token_files, op9_secrets, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
