@@ -1,15 +1,643 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, with their DuckDB equivalents.
+
+Histories are derived from ``events`` (sources/synthetic.py). Lists are spelled as text in results.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import models
+from ..functions.expressions import relation_names, spelled
+from ..functions.ordered import pinned
+from ..operators import detectors, edges, generators, graph, txn, validate, versions
+from ..operators import search as cycles
+from ..sources import synthetic
+from ..sources.history import distinct_keys, pair_index
+from . import check
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, recursive: bool = False, history: bool = True, name: str | None = None):
+    """Register a query; ``sql`` continues the common table expressions of the history."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            start = "WITH RECURSIVE " if recursive else "WITH "
+            ORACLES[key] = start + synthetic.DUCK_CTES + (", " + sql if sql.lstrip()[:6].upper() != "SELECT" else sql) if history else sql
+        return f
+
+    return add
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.mops(spark, sf_dir)
+
+
+def _registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.register_history(spark, sf_dir).mops
+
+
+# sources and projections ------------------------------------------------------------------------------
+
+
+@_query("SELECT index, process FROM ops WHERE type = 'ok'")
+def ok_ops(spark, sf_dir):
+    return synthetic.list_history(spark, sf_dir).oks().clients().ops.select("index", "process")
+
+
+@_query("SELECT inv, CASE WHEN ctype <> 'invoke' THEN comp END AS comp, process, CASE WHEN ctype <> 'invoke' THEN ctype END AS type FROM (SELECT index AS inv, type, process, lead(index) OVER w AS comp, lead(type) OVER w AS ctype FROM ops WINDOW w AS (PARTITION BY process ORDER BY index)) WHERE type = 'invoke'", name="pair_index")
+def pair_index_query(spark, sf_dir):
+    return pair_index(synthetic.list_history(spark, sf_dir).ops)
+
+
+@_query("SELECT index, type, process, mop_idx, f, k, v, array_to_string(vs, ',') AS vs FROM mops")
+def explode_mops(spark, sf_dir):
+    return _lists(spark, sf_dir).select("index", "type", "process", "mop_idx", "f", "k", "v", F.when(F.size("vs") > 0, spelled(F.col("vs"))).when(F.col("vs").isNotNull(), "").alias("vs"))
+
+
+@_query("SELECT DISTINCT k FROM mops", name="distinct_keys")
+def distinct_keys_query(spark, sf_dir):
+    return distinct_keys(_lists(spark, sf_dir))
+
+
+@_query("SELECT index, k, v FROM (SELECT index, k, arg_min(f, mop_idx) AS f, arg_min(coalesce(v, -1), mop_idx) AS v0 FROM reg GROUP BY 1, 2), LATERAL (SELECT nullif(v0, -1) AS v) WHERE f = 'r'")
+def ext_reads(spark, sf_dir):
+    return txn.ext_reads(_registers(spark, sf_dir)).select("index", "k", "v")
+
+
+@_query("SELECT index, k, arg_max(v, mop_idx) AS v FROM reg WHERE f = 'w' GROUP BY 1, 2")
+def ext_writes(spark, sf_dir):
+    return txn.ext_writes(_registers(spark, sf_dir)).select("index", "k", "v")
+
+
+_EXT = """
+er AS (SELECT index, type, k, nullif(v0, -1) AS v FROM (SELECT index, type, k, arg_min(f, mop_idx) AS f, arg_min(coalesce(v, -1), mop_idx) AS v0 FROM reg GROUP BY 1, 2, 3) WHERE f = 'r'),
+ew AS (SELECT index, type, k, arg_max(v, mop_idx) AS v FROM reg WHERE f = 'w' GROUP BY 1, 2, 3)
+"""
+
+
+@_query(_EXT + "SELECT k, v, count(*) AS n, min(index) AS first_index FROM er WHERE type = 'ok' GROUP BY 1, 2")
+def ext_read_index(spark, sf_dir):
+    return txn.ext_index(txn.ext_reads(_registers(spark, sf_dir)))
+
+
+@_query(_EXT + "SELECT index, k FROM er WHERE type = 'ok' UNION SELECT index, k FROM ew WHERE type IN ('ok', 'info')")
+def ext_keys(spark, sf_dir):
+    return txn.ext_keys(_registers(spark, sf_dir))
+
+
+@_query("SELECT k, v, max(index) AS writer FROM mops WHERE f = 'append' AND type = 'fail' GROUP BY 1, 2")
+def failed_writes(spark, sf_dir):
+    return txn.failed_writes(_lists(spark, sf_dir))
+
+
+_INTER = "inter AS (SELECT k, v, max(index) AS writer FROM (SELECT *, lead(mop_idx) OVER (PARTITION BY index, k ORDER BY mop_idx) AS nxt FROM mops WHERE f = 'append') WHERE nxt IS NOT NULL GROUP BY 1, 2)"
+
+
+@_query(_INTER + "SELECT * FROM inter")
+def intermediate_writes(spark, sf_dir):
+    return txn.intermediate_writes(_lists(spark, sf_dir))
+
+
+@_query("SELECT index, f, k, v, min(mop_idx) AS mop_idx FROM mops GROUP BY 1, 2, 3, 4")
+def mop_positions(spark, sf_dir):
+    return txn.mop_positions(_lists(spark, sf_dir))
+
+
+@_query("SELECT index, mop_idx, k, element, count(*) AS n FROM (SELECT index, mop_idx, k, unnest(vs) AS element FROM mops WHERE f = 'r') GROUP BY 1, 2, 3, 4")
+def element_frequencies(spark, sf_dir):
+    return txn.element_frequencies(_lists(spark, sf_dir))
+
+
+# validation -------------------------------------------------------------------------------------------
+
+
+@_query("SELECT k, v, count(*) AS n, min(index) AS index FROM mops WHERE type = 'invoke' AND f = 'append' GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_appends(spark, sf_dir):
+    return validate.duplicate_appends(_lists(spark, sf_dir))
+
+
+@_query("SELECT index, mop_idx, f, k FROM mops WHERE f NOT IN ('r', 'append')")
+def unexpected_mops(spark, sf_dir):
+    return validate.unexpected_mops(_lists(spark, sf_dir), ("r", "append"))
+
+
+_VERSIONS = """
+poss AS (SELECT * FROM mops WHERE type IN ('ok', 'info')),
+best AS (SELECT k, arg_max(vs, (len(vs), vs)) AS vs FROM poss WHERE f = 'r' AND len(vs) > 0 GROUP BY k),
+uniq AS (SELECT k, list_filter(vs, lambda x, i: list_position(vs, x) = i) AS vs FROM best),
+lone AS (SELECT k, [max(v)] AS vs FROM poss WHERE f = 'append' AND k NOT IN (SELECT k FROM best) GROUP BY k HAVING count(*) = 1),
+vers AS (SELECT k, CAST(unnest(range(len(vs))) AS INT) AS pos, unnest(vs) AS v FROM (SELECT * FROM uniq UNION ALL SELECT * FROM lone)),
+writer AS (SELECT k, v, max(index) AS writer, arg_max(type, index) AS writer_type, arg_max(mop_idx, index) AS mop FROM poss WHERE f = 'append' GROUP BY 1, 2),
+reader AS (SELECT k, CASE WHEN len(vs) > 0 THEN vs[-1] END AS v, index AS reader, mop_idx AS mop FROM mops WHERE f = 'r' AND (type = 'ok' OR type = 'info' AND vs IS NOT NULL)),
+ord AS (SELECT k, v, lag(v) OVER (PARTITION BY k ORDER BY pos) AS before, true AS seen FROM vers),
+tail AS (SELECT k, arg_max(v, pos) AS last FROM vers GROUP BY k),
+prev AS (SELECT a.k, a.v, CASE WHEN seen THEN before ELSE last END AS prev, a.index, a.mop_idx
+         FROM (SELECT * FROM poss WHERE f = 'append') a LEFT JOIN ord ON a.k = ord.k AND a.v = ord.v LEFT JOIN tail ON a.k = tail.k)
+"""
+
+
+@_query(_VERSIONS + "SELECT k, v FROM vers WHERE (k, v) NOT IN (SELECT (k, v) FROM poss WHERE f = 'append')")
+def garbage_elements(spark, sf_dir):
+    mops = _possible(spark, sf_dir)
+    return validate.garbage_elements(versions.list_versions(mops), mops)
+
+
+@_query(_EXT + "SELECT k, v, count(*) AS writers FROM ew WHERE type = 'ok' AND (k, v) IN (SELECT (k, v) FROM er WHERE type = 'ok' AND v IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1")
+def ambiguous_reads(spark, sf_dir):
+    mops = _registers(spark, sf_dir)
+    return validate.ambiguous_reads(txn.ext_reads(mops), txn.ext_writes(mops))
+
+
+# detectors --------------------------------------------------------------------------------------------
+
+
+def _possible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lists(spark, sf_dir).filter("type in ('ok', 'info')")
+
+
+_FAILED = "failed AS (SELECT k, v, max(index) AS writer FROM mops WHERE f = 'append' AND type = 'fail' GROUP BY 1, 2)"
+_G1A = _FAILED + ", g1a AS (SELECT DISTINCT r.index, mop_idx, r.k, r.v, writer FROM (SELECT index, mop_idx, k, unnest(vs) AS v FROM mops WHERE type = 'ok' AND f = 'r') r JOIN failed USING (k, v))"
+
+
+@_query(_G1A + "SELECT * FROM g1a")
+def g1a_list(spark, sf_dir):
+    return detectors.g1a_list(_lists(spark, sf_dir))
+
+
+@_query("SELECT r.index, mop_idx, r.k, r.v, writer FROM reg r JOIN (SELECT k, v, max(index) AS writer FROM reg WHERE f = 'w' AND type = 'fail' GROUP BY 1, 2) USING (k, v) WHERE f = 'r' AND type = 'ok'")
+def g1a_register(spark, sf_dir):
+    return detectors.g1a_register(_registers(spark, sf_dir))
+
+
+_G1B = _INTER + ", g1b AS (SELECT r.index, mop_idx, r.k, r.v, writer FROM (SELECT index, mop_idx, k, vs[-1] AS v FROM mops WHERE type = 'ok' AND f = 'r' AND len(vs) > 0) r JOIN inter USING (k, v) WHERE r.index <> writer)"
+
+
+@_query(_G1B + "SELECT * FROM g1b")
+def g1b_list(spark, sf_dir):
+    return detectors.g1b_list(_lists(spark, sf_dir))
+
+
+@_query("SELECT r.index, mop_idx, r.k, r.v, writer FROM reg r JOIN (SELECT k, v, max(index) AS writer FROM (SELECT *, lead(mop_idx) OVER (PARTITION BY index, k ORDER BY mop_idx) AS nxt FROM reg WHERE f = 'w') WHERE nxt IS NOT NULL GROUP BY 1, 2) USING (k, v) WHERE f = 'r' AND type = 'ok' AND r.index <> writer")
+def g1b_register(spark, sf_dir):
+    return detectors.g1b_register(_registers(spark, sf_dir))
+
+
+_INTERNAL = """
+own AS (SELECT r.index, r.mop_idx, r.k, r.vs, (SELECT max(mop_idx) FROM mops b WHERE b.index = r.index AND b.k = r.k AND b.f = 'r' AND b.mop_idx < r.mop_idx) AS lr
+        FROM mops r WHERE r.type = 'ok' AND r.f = 'r'),
+app AS (SELECT o.index, o.mop_idx, list(a.v ORDER BY a.mop_idx) AS vs FROM own o JOIN mops a ON a.index = o.index AND a.k = o.k AND a.f = 'append' AND a.mop_idx < o.mop_idx AND a.mop_idx > coalesce(o.lr, -1) GROUP BY 1, 2),
+cmp AS (SELECT o.index, o.mop_idx, o.k, coalesce(o.vs, []) AS vs, o.lr IS NULL AS prefix_unknown, coalesce(p.vs, []) AS before, coalesce(app.vs, []) AS own
+        FROM own o LEFT JOIN mops p ON p.index = o.index AND p.mop_idx = o.lr LEFT JOIN app ON app.index = o.index AND app.mop_idx = o.mop_idx),
+viol AS (SELECT index, mop_idx, k, CASE WHEN prefix_unknown THEN own ELSE list_concat(before, own) END AS expected, prefix_unknown, vs FROM cmp
+         WHERE CASE WHEN prefix_unknown THEN len(own) > 0 AND (len(vs) < len(own) OR vs[len(vs) - len(own) + 1:] <> own) ELSE list_concat(before, own) <> vs END),
+internal AS (SELECT * FROM viol QUALIFY row_number() OVER (PARTITION BY index ORDER BY mop_idx) = 1)
+"""
+
+
+@_query(_INTERNAL + "SELECT index, mop_idx, k, prefix_unknown, array_to_string(expected, ',') AS expected, array_to_string(vs, ',') AS vs FROM internal")
+def internal_list(spark, sf_dir):
+    return detectors.internal_list(_lists(spark, sf_dir)).select("index", "mop_idx", "k", "prefix_unknown", spelled(F.col("expected")).alias("expected"), spelled(F.col("vs")).alias("vs"))
+
+
+@_query("SELECT index, mop_idx, k, expected, v FROM (SELECT *, lag(v) OVER w AS expected, lag(mop_idx) OVER w AS earlier FROM reg WHERE type = 'ok' WINDOW w AS (PARTITION BY index, k ORDER BY mop_idx)) WHERE f = 'r' AND earlier IS NOT NULL AND v IS DISTINCT FROM expected QUALIFY row_number() OVER (PARTITION BY index ORDER BY mop_idx) = 1")
+def internal_register(spark, sf_dir):
+    return detectors.internal_register(_registers(spark, sf_dir))
+
+
+_ORDER = """
+lists AS (SELECT DISTINCT k, vs FROM mops WHERE type IN ('ok', 'info') AND f = 'r' AND len(vs) > 0),
+adj AS (SELECT k, vs AS a, lead(vs) OVER (PARTITION BY k ORDER BY len(vs), vs) AS b FROM lists),
+incompatible AS (SELECT k, a, b FROM adj WHERE b IS NOT NULL AND b[1:len(a)] <> a QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(a), a) = 1)
+"""
+
+
+@_query(_ORDER + "SELECT k, array_to_string(a, ',') AS a, array_to_string(b, ',') AS b FROM incompatible")
+def incompatible_order(spark, sf_dir):
+    return detectors.incompatible_order(_possible(spark, sf_dir)).select("k", spelled(F.col("a")).alias("a"), spelled(F.col("b")).alias("b"))
+
+
+@_query("SELECT index, mop_idx, k, element, count(*) AS n FROM (SELECT index, mop_idx, k, unnest(vs) AS element FROM mops WHERE type IN ('ok', 'info') AND f = 'r') GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
+def duplicate_elements(spark, sf_dir):
+    return detectors.duplicate_elements(_lists(spark, sf_dir))
+
+
+@_query("SELECT r.index, r.mop_idx, a.mop_idx AS append_at, r.k, r.v FROM (SELECT index, mop_idx, k, unnest(vs) AS v FROM mops WHERE type = 'ok' AND f = 'r') r JOIN mops a ON a.index = r.index AND a.k = r.k AND a.v = r.v AND a.f = 'append' AND r.mop_idx < a.mop_idx QUALIFY row_number() OVER (PARTITION BY r.index ORDER BY a.mop_idx, r.mop_idx) = 1")
+def future_read(spark, sf_dir):
+    return detectors.future_read(_lists(spark, sf_dir))
+
+
+_DIRTY = """
+allv AS (SELECT * FROM mops),
+bestall AS (SELECT k, arg_max(vs, (len(vs), vs)) AS vs FROM allv WHERE f = 'r' AND len(vs) > 0 GROUP BY k),
+loneall AS (SELECT k, [max(v)] AS vs FROM allv WHERE f = 'append' AND k NOT IN (SELECT k FROM bestall) GROUP BY k HAVING count(*) = 1),
+versall AS (SELECT k, CAST(unnest(range(len(vs))) AS INT) AS pos, unnest(vs) AS v FROM (SELECT k, list_filter(vs, lambda x, i: list_position(vs, x) = i) AS vs FROM bestall UNION ALL SELECT * FROM loneall)),
+wr AS (SELECT k, v, max(index) AS writer, arg_max(type, index) AS t FROM mops WHERE f = 'append' AND type <> 'invoke' GROUP BY 1, 2),
+walk AS (SELECT k, pos, v, writer, t, coalesce(max(CASE WHEN t = 'ok' THEN pos END) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_ok FROM versall JOIN wr USING (k, v)),
+isl AS (SELECT *, min(CASE WHEN t = 'fail' THEN pos END) OVER (PARTITION BY k, last_ok) AS fail_pos FROM walk),
+dirty AS (SELECT i.k, i.fail_pos, i.pos AS ok_pos, f.writer AS fail_writer, i.writer AS ok_writer FROM isl i JOIN walk f ON f.k = i.k AND f.pos = i.fail_pos WHERE i.t = 'ok' AND i.fail_pos < i.pos)
+"""
+
+
+@_query(_DIRTY + "SELECT k, fail_pos, ok_pos, fail_writer, ok_writer, (SELECT string_agg(w.v::VARCHAR, ',' ORDER BY w.pos) FROM walk w WHERE w.k = dirty.k AND w.pos BETWEEN fail_pos AND ok_pos) AS \"values\" FROM dirty")
+def dirty_update(spark, sf_dir):
+    return detectors.dirty_update(_lists(spark, sf_dir)).withColumn("values", spelled(F.col("values")))
+
+
+_LOST = """
+first_read AS (SELECT index, k, min(mop_idx) AS first_at, arg_min(array_to_string(coalesce(vs, []), ','), mop_idx) AS v FROM mops WHERE type = 'ok' AND f = 'r' GROUP BY 1, 2),
+last_write AS (SELECT index, k, max(mop_idx) AS w FROM mops WHERE type = 'ok' AND f = 'append' GROUP BY 1, 2),
+lost AS (SELECT k, v, count(*) AS n, min(index) AS first_txn, max(index) AS last_txn FROM first_read JOIN last_write USING (index, k) WHERE w > first_at GROUP BY 1, 2 HAVING count(*) >= 2)
+"""
+
+
+@_query(_LOST + "SELECT * FROM lost")
+def lost_update(spark, sf_dir):
+    return detectors.lost_update(_lists(spark, sf_dir), "array_join(transform(vs, x -> cast(x as string)), ',')")
+
+
+@_query("SELECT k, v, count(*) AS n, min(index) AS first_txn, max(index) AS last_txn FROM (SELECT index, k, min(mop_idx) AS first_at, nullif(arg_min(coalesce(v, -1), mop_idx), -1) AS v FROM reg WHERE type = 'ok' AND f = 'r' GROUP BY 1, 2) JOIN (SELECT index, k, max(mop_idx) AS w FROM reg WHERE type = 'ok' AND f = 'w' GROUP BY 1, 2) USING (index, k) WHERE w > first_at GROUP BY 1, 2 HAVING count(*) >= 2")
+def lost_update_register(spark, sf_dir):
+    return detectors.lost_update(_registers(spark, sf_dir))
+
+
+# version orders ---------------------------------------------------------------------------------------
+
+
+@_query("SELECT DISTINCT k, array_to_string(vs, ',') AS vs FROM mops WHERE type IN ('ok', 'info') AND f = 'r' AND len(vs) > 0")
+def observed_lists(spark, sf_dir):
+    return versions.observed_lists(_possible(spark, sf_dir)).select("k", spelled(F.col("vs")).alias("vs"))
+
+
+@_query("SELECT k, max(v) AS v FROM mops WHERE type IN ('ok', 'info') AND f = 'append' GROUP BY k HAVING count(*) = 1")
+def single_appends(spark, sf_dir):
+    return versions.single_appends(_possible(spark, sf_dir))
+
+
+@_query(_VERSIONS + "SELECT k, pos, v FROM vers")
+def version_order(spark, sf_dir):
+    return versions.list_versions(_possible(spark, sf_dir))
+
+
+@_query(_VERSIONS + "SELECT * FROM writer")
+def write_index(spark, sf_dir):
+    return versions.list_writers(_lists(spark, sf_dir))
+
+
+@_query(_VERSIONS + "SELECT k, v, reader, mop FROM reader")
+def read_index(spark, sf_dir):
+    return versions.list_readers(_lists(spark, sf_dir))
+
+
+@_query(_VERSIONS + "SELECT * FROM prev")
+def previous_elements(spark, sf_dir):
+    return versions.previous_elements(_possible(spark, sf_dir))
+
+
+_INIT = "SELECT DISTINCT k, CAST(NULL AS BIGINT) AS v1, v AS v2 FROM (SELECT k, v FROM er WHERE type = 'ok' UNION ALL SELECT k, v FROM ew WHERE type IN ('ok', 'info')) WHERE v IS NOT NULL"
+_WFR = "SELECT DISTINCT er.k, er.v AS v1, ew.v AS v2 FROM er JOIN ew ON er.index = ew.index AND er.k = ew.k WHERE er.type = 'ok' AND ew.v IS NOT NULL"
+
+
+def _external(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    mops = _registers(spark, sf_dir)
+    return txn.ext_reads(mops), txn.ext_writes(mops)
+
+
+@_query(_EXT + _INIT)
+def init_versions(spark, sf_dir):
+    return versions.initial_versions(*_external(spark, sf_dir))
+
+
+@_query(_EXT + _WFR)
+def wfr_versions(spark, sf_dir):
+    return versions.wfr_versions(*_external(spark, sf_dir))
+
+
+_TOUCH = """, touch AS (
+  SELECT coalesce(r.index, w.index) AS index, coalesce(r.k, w.k) AS k, CASE WHEN r.index IS NOT NULL THEN r.v ELSE w.v END AS first_v, CASE WHEN w.index IS NOT NULL THEN w.v ELSE r.v END AS last_v
+  FROM (SELECT * FROM er WHERE type = 'ok') r FULL JOIN (SELECT * FROM ew WHERE type IN ('ok', 'info')) w ON r.index = w.index AND r.k = w.k)
+"""
+
+
+@_query(_EXT + _TOUCH + "SELECT DISTINCT k, last_v AS v1, nv AS v2 FROM (SELECT t.k, last_v, lead(first_v) OVER w AS nv, lead(t.index) OVER w AS more FROM touch t JOIN ops o ON o.index = t.index AND o.type = 'ok' WINDOW w AS (PARTITION BY process, t.k ORDER BY t.index)) WHERE more IS NOT NULL AND last_v IS DISTINCT FROM nv")
+def sequential_versions(spark, sf_dir):
+    return versions.sequential_versions(synthetic.register_history(spark, sf_dir).ops, *_external(spark, sf_dir))
+
+
+_SPANS = ", spans AS (SELECT DISTINCT inv, index AS comp, type FROM mops WHERE type <> 'invoke')"
+
+
+@_query(_EXT + _TOUCH + _SPANS + ", kt AS (SELECT t.*, inv, type FROM touch t JOIN spans ON comp = t.index) SELECT DISTINCT a.k, a.last_v AS v1, b.first_v AS v2 FROM kt a JOIN kt b ON a.k = b.k AND a.type = 'ok' AND a.index < b.inv AND a.last_v IS DISTINCT FROM b.first_v WHERE NOT EXISTS (SELECT 1 FROM kt c WHERE c.k = a.k AND c.type = 'ok' AND a.index < c.inv AND c.index < b.inv)")
+def linearizable_versions(spark, sf_dir):
+    h = synthetic.register_history(spark, sf_dir)
+    return versions.linearizable_versions(pair_index(h.ops), *_external(spark, sf_dir))
+
+
+@_query(_EXT + "SELECT DISTINCT k, v AS v1, nv AS v2 FROM (SELECT k, v, lead(v) OVER w AS nv, lead(index) OVER w AS more FROM ew WHERE type IN ('ok', 'info') WINDOW w AS (PARTITION BY k ORDER BY index)) WHERE more IS NOT NULL")
+def ordered_versions(spark, sf_dir):
+    """The given order of transactions is the order of their completions."""
+    order = synthetic.register_history(spark, sf_dir).possible().ops.select("index", F.col("index").alias("position"))
+    return versions.ordered_versions(_external(spark, sf_dir)[1], order)
+
+
+# edges ------------------------------------------------------------------------------------------------
+
+
+def _pairs(facts: DataFrame) -> DataFrame:
+    return facts.select("src", "dst", "k", "v1", "v2", "a_mop", "b_mop")
+
+
+_WW = "ww AS (SELECT w.writer AS src, p.index AS dst, p.k, p.prev AS v1, p.v AS v2, w.mop AS a_mop, p.mop_idx AS b_mop FROM prev p JOIN writer w ON w.k = p.k AND w.v = p.prev WHERE w.writer <> p.index)"
+_WR = "wr AS (SELECT w.writer AS src, r.reader AS dst, r.k, r.v AS v1, CAST(NULL AS BIGINT) AS v2, w.mop AS a_mop, r.mop AS b_mop FROM reader r JOIN writer w ON w.k = r.k AND w.v = r.v WHERE w.writer <> r.reader)"
+_RW = "rw AS (SELECT r.reader AS src, p.index AS dst, p.k, p.prev AS v1, p.v AS v2, r.mop AS a_mop, p.mop_idx AS b_mop FROM prev p JOIN reader r ON r.k = p.k AND r.v IS NOT DISTINCT FROM p.prev WHERE r.reader <> p.index)"
+_LIST_EDGES = f"{_VERSIONS}, {_WW}, {_WR}, {_RW}, edges AS (SELECT src, dst, CAST(bit_or(rel) AS INT) AS rels FROM (SELECT src, dst, 1 AS rel FROM ww UNION ALL SELECT src, dst, 2 FROM wr UNION ALL SELECT src, dst, 4 FROM rw) GROUP BY 1, 2)\n"
+
+
+@_query(f"{_VERSIONS}, {_WW} SELECT * FROM ww")
+def list_ww(spark, sf_dir):
+    return _pairs(edges.list_ww(_possible(spark, sf_dir)))
+
+
+@_query(f"{_VERSIONS}, {_WR} SELECT * FROM wr")
+def list_wr(spark, sf_dir):
+    return _pairs(edges.list_wr(_possible(spark, sf_dir)))
+
+
+@_query(f"{_VERSIONS}, {_RW} SELECT * FROM rw")
+def list_rw(spark, sf_dir):
+    return _pairs(edges.list_rw(_possible(spark, sf_dir)))
+
+
+def _list_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.edge_union(edges.list_facts(_possible(spark, sf_dir)))
+
+
+@_query(_LIST_EDGES + "SELECT src, dst, rels, concat_ws(',', CASE WHEN rels & 1 <> 0 THEN 'ww' END, CASE WHEN rels & 2 <> 0 THEN 'wr' END, CASE WHEN rels & 4 <> 0 THEN 'rw' END) AS names FROM edges")
+def edge_union(spark, sf_dir):
+    return _list_edges(spark, sf_dir).withColumn("names", relation_names(F.col("rels")))
+
+
+_REG_VERSIONS = f", rv AS ({_INIT} UNION {_WFR})"
+
+
+def _register_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    reads, writes = _external(spark, sf_dir)
+    return versions.initial_versions(reads, writes).union(versions.wfr_versions(reads, writes)).distinct(), reads, writes
+
+
+@_query(_EXT + "SELECT w.src, r.index AS dst, r.k, r.v AS v1 FROM (SELECT k, v, min(index) AS src FROM ew WHERE type = 'ok' GROUP BY 1, 2 HAVING count(*) = 1) w JOIN er r ON r.k = w.k AND r.v = w.v AND r.type = 'ok' WHERE src <> r.index")
+def register_wr(spark, sf_dir):
+    return edges.register_wr(*_external(spark, sf_dir)).select("src", "dst", "k", "v1")
+
+
+@_query(_EXT + _REG_VERSIONS + "SELECT a.index AS src, b.index AS dst, rv.k, v1, v2 FROM rv JOIN ew a ON a.k = rv.k AND a.v = v1 AND a.type = 'ok' JOIN ew b ON b.k = rv.k AND b.v = v2 AND b.type = 'ok' WHERE a.index <> b.index")
+def register_ww(spark, sf_dir):
+    order, _, writes = _register_versions(spark, sf_dir)
+    return edges.register_ww(order, writes).select("src", "dst", "k", "v1", "v2")
+
+
+@_query(_EXT + _REG_VERSIONS + "SELECT a.index AS src, b.index AS dst, rv.k, v1, v2 FROM rv JOIN er a ON a.k = rv.k AND a.v IS NOT DISTINCT FROM v1 AND a.type = 'ok' JOIN ew b ON b.k = rv.k AND b.v = v2 AND b.type = 'ok' WHERE a.index <> b.index")
+def register_rw(spark, sf_dir):
+    return edges.register_rw(*_register_versions(spark, sf_dir)).select("src", "dst", "k", "v1", "v2")
+
+
+@_query("SELECT src, dst FROM (SELECT index AS src, lead(index) OVER (PARTITION BY process ORDER BY index) AS dst FROM ops WHERE type = 'ok') WHERE dst IS NOT NULL")
+def process_edges(spark, sf_dir):
+    return edges.process_facts(synthetic.list_history(spark, sf_dir).ops).select("src", "dst")
+
+
+@_query("spans AS (SELECT DISTINCT inv, index AS comp, type FROM mops WHERE type <> 'invoke'), m AS (SELECT a.comp AS a, min(c.comp) AS bound FROM (SELECT * FROM spans WHERE type = 'ok') a LEFT JOIN (SELECT * FROM spans WHERE type = 'ok') c ON c.inv > a.comp GROUP BY 1) SELECT a AS src, b.comp AS dst FROM m JOIN spans b ON a < b.inv AND (bound IS NULL OR b.inv < bound)")
+def realtime_edges(spark, sf_dir):
+    return edges.realtime_facts(pair_index(synthetic.list_history(spark, sf_dir).ops)).select("src", "dst")
+
+
+_MONO = "SELECT a.turn_id AS src, b.turn_id AS dst, CAST(a.conv_id AS VARCHAR) AS k, a.turn AS v1, b.turn AS v2 FROM r a JOIN r b ON a.conv_id = b.conv_id AND b.rank = a.rank + 1"
+
+
+@_query("WITH r AS (SELECT DISTINCT conv_id, turn, conv_id * 1000 + turn AS turn_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) " + _MONO, history=False)
+def monotonic_edges(spark, sf_dir):
+    """Turns of a conversation as observations of a growing key."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("index"), F.col("conv_id").cast("string").alias("k"), F.col("turn").alias("v"))
+    return edges.monotonic_facts(rows).select("src", "dst", "k", "v1", "v2")
+
+
+# graphs -----------------------------------------------------------------------------------------------
+
+
+@_query(_LIST_EDGES + "SELECT src, dst, CAST(rels & 3 AS INT) AS rels FROM edges WHERE rels & 3 <> 0")
+def project_relations(spark, sf_dir):
+    return graph.project(_list_edges(spark, sf_dir), 3)
+
+
+@_query(_LIST_EDGES + ", d AS (SELECT src, dst, CAST(rels & 3 AS INT) AS rels FROM edges WHERE rels & 3 <> 0), w AS (SELECT src, dst FROM edges WHERE rels & 4 <> 0) SELECT src, dst, CAST(bit_or(rels) AS INT) AS rels FROM (SELECT * FROM d UNION ALL SELECT d.src, w.dst, 0 FROM d JOIN w ON d.dst = w.src) GROUP BY 1, 2")
+def seq_extension(spark, sf_dir):
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.extension(graph.project(pairs, 3), graph.project(pairs, 4))
+
+
+@_query(_LIST_EDGES + "SELECT CAST(floor(src / 100.0) AS BIGINT) AS src, CAST(floor(dst / 100.0) AS BIGINT) AS dst, CAST(bit_or(rels) AS INT) AS rels FROM edges GROUP BY 1, 2")
+def map_vertices(spark, sf_dir):
+    """Transactions gathered by hundreds of positions."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.map_vertices(pairs, graph.vertices(pairs).withColumn("to", F.floor(F.col("vertex") / 100)))
+
+
+_ISLANDS = _LIST_EDGES + """, back AS (SELECT dst AS lo, max(src) AS hi FROM edges WHERE dst < src GROUP BY 1),
+reach AS (SELECT *, max(hi) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM back),
+grp AS (SELECT *, max(CASE WHEN before IS NULL OR lo > before THEN lo END) OVER (ORDER BY lo) AS island FROM reach),
+islands AS (SELECT island AS lo, max(hi) AS hi FROM grp GROUP BY 1)
+"""
+
+
+@_query(_ISLANDS + "SELECT * FROM islands")
+def backward_islands(spark, sf_dir):
+    return graph.backward_islands(pinned(_list_edges(spark, sf_dir)))
+
+
+_REACH = _ISLANDS + """, inside AS (SELECT src, dst FROM edges JOIN islands ON least(src, dst) >= lo AND greatest(src, dst) <= hi),
+reaches AS (SELECT src, dst FROM inside UNION SELECT r.src, i.dst FROM reaches r JOIN inside i ON r.dst = i.src),
+members AS (SELECT a.src AS vertex, min(least(a.src, a.dst)) AS scc FROM reaches a JOIN reaches b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1)
+"""
+
+
+@_query(_REACH + "SELECT * FROM members", recursive=True)
+def scc_members(spark, sf_dir):
+    return graph.components(_list_edges(spark, sf_dir))
+
+
+@_query(_REACH + "SELECT * FROM members", recursive=True)
+def scc_members_by_islands(spark, sf_dir):
+    """The way that large graphs take, whatever the size."""
+    return graph.components(_list_edges(spark, sf_dir), small_edges=0)
+
+
+@_query(_REACH + "SELECT * FROM members", recursive=True)
+def scc_members_by_colour(spark, sf_dir):
+    """Islands beyond one task, whatever the size: components by joins alone."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.coloured(graph.in_islands(pairs, graph.backward_islands(pairs)))
+
+
+@_query(_LIST_EDGES + ", start AS (SELECT min(src) AS vertex FROM edges), reached AS (SELECT vertex FROM start UNION SELECT dst FROM reached JOIN edges ON src = vertex WHERE dst < 2000) SELECT vertex FROM reached", recursive=True)
+def reachable(spark, sf_dir):
+    """What the first transaction reaches among the first two hundred."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    start = pairs.agg(F.min("src").alias("vertex"))
+    return graph.reachable(pairs.filter("dst < 2000"), start)
+
+
+@_query(_LIST_EDGES + "SELECT a.src, a.dst FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.rels & 1 <> 0 AND b.rels & 1 <> 0")
+def g0_two_cycles(spark, sf_dir):
+    """Pairs of transactions that wrote around each other."""
+    ww = pinned(graph.project(_list_edges(spark, sf_dir), 1))
+    back = ww.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return ww.join(back, ["src", "dst"]).filter("src < dst").select("src", "dst")
+
+
+@_query(_LIST_EDGES + "SELECT a.src, a.dst FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.rels & 4 <> 0 AND a.rels & 3 = 0 AND b.rels & 3 <> 0")
+def g_single_two_cycles(spark, sf_dir):
+    """A read skew of two transactions: one anti-dependency and one dependency back."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    back = graph.project(pairs, 3).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return pairs.filter("rels & 4 <> 0 and rels & 3 = 0").join(back, ["src", "dst"]).select("src", "dst")
+
+
+@_query()
+def cycle_cases(spark, sf_dir):
+    """One witness for each type of cycle in each component, and how it runs."""
+    found = cycles.cycle_cases(_list_edges(spark, sf_dir), timeout_s=10.0)
+    return found.select("scc", "type", "spec", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), F.array_join("steps", ",").alias("steps"))
+
+
+# whole checks -----------------------------------------------------------------------------------------
+
+
+def _check_sql() -> str:
+    parts = [("G1a", "g1a"), ("G1b", "g1b"), ("internal", "internal"), ("incompatible-order", "incompatible"), ("dirty-update", "dirty"), ("lost-update", "lost")]
+    return ", ".join((_G1A, _G1B, _INTERNAL, _ORDER, _DIRTY, _LOST)) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS n FROM {v}" for t, v in parts) + ") WHERE n > 0"
+
+
+@_query(_check_sql())
+def list_local_anomalies(spark, sf_dir):
+    """The anomalies of the list history that show without a cycle."""
+    mops = pinned(_lists(spark, sf_dir))
+    possible = mops.filter("type in ('ok', 'info')")
+    found = {
+        "G1a": detectors.g1a_list(mops),
+        "G1b": detectors.g1b_list(mops),
+        "internal": detectors.internal_list(mops),
+        "incompatible-order": detectors.incompatible_order(possible),
+        "dirty-update": detectors.dirty_update(mops),
+        "lost-update": detectors.lost_update(mops, "array_join(transform(vs, x -> cast(x as string)), ',')"),
+    }
+    rows = [d.select(F.lit(t).alias("type")) for t, d in found.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _pinned_history(h):
+    return type(h)(pinned(h.ops), pinned(h.mops))
+
+
+@_query()
+def list_check_summary(spark, sf_dir):
+    """The whole list-append check: anomaly types, how many cases prove them, and whether the asked model forbids them."""
+    result = check.check_list_append(_pinned_history(synthetic.list_history(spark, sf_dir)))
+    bad = sorted(models.prohibited())
+    return result.summary().withColumn("forbidden", F.col("type").isin(*bad))
+
+
+@_query()
+def register_check_summary(spark, sf_dir):
+    result = check.check_rw_register(_pinned_history(synthetic.register_history(spark, sf_dir)), wfr_keys=True)
+    return result.summary().withColumn("forbidden", F.col("type").isin(*sorted(models.prohibited())))
+
+
+# lattices ---------------------------------------------------------------------------------------------
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+
+_STEP = "SELECT a, b FROM e UNION ALL SELECT c.a, e.b FROM c JOIN e ON c.b = e.a"
+
+
+def _closure_sql(pairs: list[tuple[str, str]], names: str, select: str) -> str:
+    return f"WITH RECURSIVE e(a, b) AS (SELECT * FROM (VALUES {_values(pairs)}) AS t(a, b)), c(a, b) AS ({_STEP}) SELECT DISTINCT a AS {names.split()[0]}, b AS {names.split()[1]} FROM ({select})"
+
+
+_IMPLIED_SQL = _closure_sql(models.edges(models.IMPLIED), "anomaly implies", "SELECT a, b FROM c")
+_CONTAINED_SQL = _closure_sql(models.edges(models.MODELS), "model contains", "SELECT a, b FROM c")
+
+
+@_query(_IMPLIED_SQL, history=False)
+def implied_anomalies(spark, sf_dir):
+    return spark.sql(_IMPLIED_SQL)
+
+
+@_query(_CONTAINED_SQL, history=False)
+def implied_models(spark, sf_dir):
+    return spark.sql(_CONTAINED_SQL)
+
+
+_IMPOSSIBLE_SQL = f"""
+WITH RECURSIVE ie(a, b) AS (SELECT * FROM (VALUES {_values(models.edges(models.IMPLIED))}) AS t(a, b)),
+me(a, b) AS (SELECT * FROM (VALUES {_values(models.edges(models.MODELS))}) AS t(a, b)),
+p(model, anomaly) AS (SELECT * FROM (VALUES {_values(models.edges(models.PROSCRIBED))}) AS t(model, anomaly)),
+ic(a, b) AS (SELECT a, b FROM ie UNION ALL SELECT ic.a, ie.b FROM ic JOIN ie ON ic.b = ie.a),
+mc(a, b) AS (SELECT a, b FROM me UNION ALL SELECT mc.a, me.b FROM mc JOIN me ON mc.b = me.a),
+shown AS (SELECT a AS anomaly, b AS found FROM ic UNION SELECT a, a FROM ie UNION SELECT b, b FROM ie UNION SELECT anomaly, anomaly FROM p),
+direct AS (SELECT DISTINCT shown.anomaly, model FROM shown JOIN p ON p.anomaly = shown.found)
+SELECT anomaly, model FROM direct UNION SELECT d.anomaly, mc.a FROM direct d JOIN mc ON mc.b = d.model
+"""
+
+
+@_query(_IMPOSSIBLE_SQL, history=False)
+def impossible_models(spark, sf_dir):
+    return spark.sql(_IMPOSSIBLE_SQL)
+
+
+@_query(f"SELECT anomaly, model FROM ({_IMPOSSIBLE_SQL}) x WHERE NOT EXISTS (SELECT 1 FROM ({_IMPOSSIBLE_SQL}) y JOIN ({_CONTAINED_SQL}) c ON c.contains = y.model WHERE y.anomaly = x.anomaly AND c.model = x.model)", history=False)
+def boundary(spark, sf_dir):
+    """The weakest models that each anomaly rules out."""
+    rows = [(a, m) for a in models.ALL_ANOMALIES for m in models.boundary([a])[0]]
+    return spark.createDataFrame(rows, "anomaly string, model string")
+
+
+@_query()
+def anomaly_depths(spark, sf_dir):
+    return spark.createDataFrame(sorted(models.DEPTHS.items()), "anomaly string, depth int")
+
+
+# generators -------------------------------------------------------------------------------------------
+
+
+@_query()
+def generated_registers(spark, sf_dir):
+    """How often the generator meets each key."""
+    return generators.register_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"))
+
+
+@_query()
+def generated_lists(spark, sf_dir):
+    return generators.list_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
