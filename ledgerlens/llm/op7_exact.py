@@ -198,6 +198,6 @@ def checked(texts: DataFrame, stored: DataFrame, new: DataFrame, positives: Data
     both = new.join(positives, ["bucket", "digest"]).select("digest", F.col("doc_id").alias("a"), F.col("chars").alias("ac")).join(stored.select("digest", F.col("doc_id").alias("b"), F.col("chars").alias("bc")), "digest")
     both = written(both, "exact-hits")
     wanted = both.select(F.col("a").alias("doc_id"), "digest").unionByName(both.select(F.col("b").alias("doc_id"), "digest")).withColumnRenamed("digest", "want").withColumn("at", F.coalesce("doc_id", F.lit(NULL_ID))).drop("doc_id")
-    content = texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("at"), normalised().alias("content")).join(wanted, "at").filter(F.unhex(F.sha2("content", 256)) == F.col("want"))
+    content = texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("at"), normalised().alias("content")).join(wanted.hint("merge"), "at").filter(F.unhex(F.sha2("content", 256)) == F.col("want"))
     same = content.groupBy(F.col("want").alias("digest")).agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     return same.select(F.when(F.col("lo") == F.col("hi"), F.col("digest")).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("digest"))
