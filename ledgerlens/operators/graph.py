@@ -35,7 +35,7 @@ def link_all_to_all(edges: DataFrame, sources: DataFrame, targets: DataFrame, by
 
 
 def unlink(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    return edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
+    return edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti").select(*edges.columns)
 
 
 def without_self_edges(edges: DataFrame) -> DataFrame:
@@ -43,11 +43,11 @@ def without_self_edges(edges: DataFrame) -> DataFrame:
 
 
 def out_of(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    return edges.join(vertices.select(F.col("vertex").alias("src")), "src", "left_semi")
+    return edges.join(vertices.select(F.col("vertex").alias("src")), "src", "left_semi").select(*edges.columns)
 
 
 def into(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    return edges.join(vertices.select(F.col("vertex").alias("dst")), "dst", "left_semi")
+    return edges.join(vertices.select(F.col("vertex").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -102,12 +102,12 @@ def collapse(edges: DataFrame, keep: DataFrame, rounds: int = 1000) -> DataFrame
     """Only vertices of ``keep``, linked where a path leads through others alone."""
     out = edges.join(keep.select(F.col("vertex").alias("src")), "src", "left_semi").select("src", "dst")
     done = into(out, keep)
-    open_ = pinned(out.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti"))
+    open_ = pinned(out.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
     seen = open_
     for _ in range(rounds):
         step = open_.withColumnRenamed("dst", "mid").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         done = done.union(into(step, keep))
-        open_ = pinned(step.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti").join(seen, ["src", "dst"], "left_anti"))
+        open_ = pinned(step.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti").join(seen, ["src", "dst"], "left_anti").select("src", "dst"))
         if not open_.limit(1).count():
             break
         seen = seen.union(open_)
@@ -217,7 +217,7 @@ def coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
             if not n:
                 return done
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            left = pinned(kept)
+            left = pinned(kept.select("src", "dst"))
             if left.count() == n:
                 break
         colors = pinned(vertices(left).withColumn("color", F.col("vertex")))
@@ -239,7 +239,7 @@ def coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         found = seen.select("vertex", F.col("color").alias("scc"))
         several = found.groupBy("scc").count().filter("count > 1").select("scc")
         done = pinned(done.unionByName(found.join(several, "scc", "left_semi").select("vertex", "scc")))
-        left = pinned(left.join(found.select(F.col("vertex").alias("src")), "src", "left_anti").join(found.select(F.col("vertex").alias("dst")), "dst", "left_anti"))
+        left = pinned(left.join(found.select(F.col("vertex").alias("src")), "src", "left_anti").join(found.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
     return done
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions.expressions import relation_names, spelled
 from ..functions.ordered import pinned
-from ..operators import detectors, edges, generators, graph, txn, validate, versions
+from ..operators import detectors, edges, explain, generators, graph, render, txn, validate, versions
 from ..operators import search as cycles
 from ..sources import synthetic
 from ..sources.history import distinct_keys, pair_index
@@ -430,6 +430,122 @@ def monotonic_edges(spark, sf_dir):
     return edges.monotonic_facts(rows).select("src", "dst", "k", "v1", "v2")
 
 
+# predicates -------------------------------------------------------------------------------------------
+
+_PSTATES = synthetic.DUCK_PREDICATE_CTES + """,
+pch AS (SELECT k, index AS writer, mop_idx AS mop, CASE WHEN f = 'delete' THEN 'dead' ELSE 'live' END AS state, CASE WHEN f <> 'delete' THEN v END AS v, f = 'init' AS given FROM pmops WHERE f IN ('insert', 'w', 'delete', 'init') AND type IN ('ok', 'info')),
+pall AS (SELECT k FROM pmops WHERE f = 'r' UNION SELECT k FROM pseen UNION SELECT k FROM pch),
+pv AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY state <> 'unborn', writer, mop) - 1 AS INT) AS pos, state, v, writer, mop FROM (
+  SELECT k, state, v, writer, mop FROM pch
+  UNION ALL SELECT k, 'unborn', NULL, NULL, NULL FROM pall WHERE k NOT IN (SELECT k FROM pch WHERE given))),
+pnull AS (SELECT k, min(CASE WHEN state = 'unborn' THEN pos END) AS unborn, min(CASE WHEN state = 'dead' THEN pos END) AS dead, count(CASE WHEN state = 'dead' THEN 1 END) AS deaths FROM pv GROUP BY 1),
+plive AS (SELECT k, v, min(pos) AS pos FROM pv WHERE state = 'live' GROUP BY 1, 2),
+pread AS (SELECT m.k, m.v, index, mop_idx, CASE WHEN m.v IS NOT NULL THEN plive.pos WHEN unborn IS NOT NULL AND deaths = 0 THEN unborn WHEN unborn IS NULL AND deaths = 1 THEN dead END AS pos
+          FROM pmops m LEFT JOIN pnull ON m.k = pnull.k LEFT JOIN plive ON plive.k = m.k AND plive.v = m.v WHERE f = 'r' AND type = 'ok'),
+pmiss AS (SELECT k, count(*) FILTER (NOT (state = 'live' AND v % 2 = 0)) AS n, max(pos) FILTER (NOT (state = 'live' AND v % 2 = 0)) AS miss, max(pos) FILTER (state = 'unborn') AS unborn FROM pv GROUP BY 1),
+pvset AS (
+  SELECT s.index, s.mop_idx, s.k, plive.pos FROM pseen s JOIN pmops p ON p.index = s.index AND p.mop_idx = s.mop_idx AND p.type = 'ok' AND p.f = 'rp' JOIN plive ON plive.k = s.k AND plive.v = s.v
+  UNION ALL
+  SELECT p.index, p.mop_idx, m.k, CASE WHEN n = 1 THEN miss ELSE unborn END AS pos FROM pmops p, pmiss m
+  WHERE p.f = 'rp' AND p.type = 'ok' AND n <= 1 AND (n = 1 OR unborn IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM pseen s WHERE s.index = p.index AND s.mop_idx = p.mop_idx AND s.k = m.k))
+"""
+
+
+def _predicate(sql: str):
+    return _query("WITH " + _PSTATES + sql, history=False)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    mops = pinned(synthetic.predicate_history(spark, sf_dir).mops)
+    return mops, pinned(versions.state_versions(mops))
+
+
+@_predicate("SELECT index, type, process, mop_idx, f, k, v FROM pmops")
+def predicate_mops(spark, sf_dir):
+    return synthetic.predicate_history(spark, sf_dir).mops.select("index", "type", "process", "mop_idx", "f", "k", "v")
+
+
+@_predicate("SELECT * FROM pv")
+def state_versions(spark, sf_dir):
+    return _states(spark, sf_dir)[1]
+
+
+@_predicate("SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after FROM pv WINDOW w AS (PARTITION BY k ORDER BY pos)")
+def version_navigation(spark, sf_dir):
+    return versions.navigated(_states(spark, sf_dir)[1])
+
+
+@_predicate("SELECT a.k, a.pos, b.pos AS later FROM pv a JOIN pv b ON a.k = b.k AND b.pos > a.pos")
+def later_versions(spark, sf_dir):
+    return versions.later_versions(_states(spark, sf_dir)[1])
+
+
+@_predicate("SELECT * FROM pread")
+def resolved_reads(spark, sf_dir):
+    return edges.item_reads(*_states(spark, sf_dir))
+
+
+@_predicate("SELECT index, type, k, arg_max(CASE WHEN f = 'delete' THEN 'dead' ELSE 'live' END, mop_idx) AS state, nullif(arg_max(CASE WHEN f = 'delete' THEN -1 ELSE v END, mop_idx), -1) AS v FROM pmops WHERE f IN ('insert', 'w', 'delete', 'init') GROUP BY 1, 2, 3")
+def ext_state_writes(spark, sf_dir):
+    return txn.ext_state_writes(synthetic.predicate_history(spark, sf_dir).mops)
+
+
+@_predicate("SELECT k, v, count(*) AS n FROM (SELECT index, k, v FROM pmops WHERE f IN ('insert', 'w', 'init') AND type IN ('ok', 'info')) GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_state_writes(spark, sf_dir):
+    return validate.repeated_state_writes(txn.ext_state_writes(synthetic.predicate_history(spark, sf_dir).mops))
+
+
+@_predicate("SELECT index, mop_idx, k, pos FROM pvset")
+def pred_vset(spark, sf_dir):
+    return edges.version_sets(*_states(spark, sf_dir)).select("index", "mop_idx", "k", "pos")
+
+
+@_predicate("SELECT a.writer AS src, b.writer AS dst, b.k, a.v AS v1, b.v AS v2 FROM pv b JOIN pv a ON a.k = b.k AND a.pos = b.pos - 1 JOIN pmops m ON m.index = b.writer AND m.mop_idx = b.mop AND m.k = b.k AND m.f IN ('insert', 'delete') WHERE a.writer IS NOT NULL AND a.writer <> b.writer")
+def pred_ww(spark, sf_dir):
+    return edges.predicate_ww(*_states(spark, sf_dir)).select("src", "dst", "k", "v1", "v2")
+
+
+@_predicate("SELECT w.writer AS src, r.index AS dst, r.k, w.v AS v1 FROM pread r JOIN pv w ON w.k = r.k AND w.pos = r.pos WHERE w.writer IS NOT NULL AND w.writer <> r.index")
+def pred_wr(spark, sf_dir):
+    return edges.predicate_wr(*_states(spark, sf_dir)).select("src", "dst", "k", "v1")
+
+
+@_predicate("SELECT w.writer AS src, r.index AS dst, r.k, w.v AS v1, r.mop_idx AS b_mop FROM pvset r JOIN pv w ON w.k = r.k AND w.pos = r.pos WHERE w.writer IS NOT NULL AND w.writer <> r.index")
+def pred_wrp(spark, sf_dir):
+    mops, states = _states(spark, sf_dir)
+    return edges.predicate_wrp(states, edges.version_sets(mops, states)).select("src", "dst", "k", "v1", "b_mop")
+
+
+@_predicate("SELECT r.index AS src, w.writer AS dst, r.k, r.v AS v1, w.v AS v2 FROM pread r JOIN pv w ON w.k = r.k AND w.pos = r.pos + 1 WHERE w.writer <> r.index")
+def pred_rw(spark, sf_dir):
+    return edges.predicate_rw(*_states(spark, sf_dir)).select("src", "dst", "k", "v1", "v2")
+
+
+@_predicate("SELECT r.index AS src, w.writer AS dst, r.k, o.v AS v1, w.v AS v2, r.mop_idx AS a_mop FROM pvset r JOIN pv o ON o.k = r.k AND o.pos = r.pos JOIN pv w ON w.k = r.k AND w.pos > r.pos AND w.writer IS NOT NULL WHERE w.writer <> r.index AND (coalesce(w.state = 'live' AND w.v % 2 = 0, false)) <> (coalesce(o.state = 'live' AND o.v % 2 = 0, false))")
+def pred_rwp(spark, sf_dir):
+    mops, states = _states(spark, sf_dir)
+    return edges.predicate_rwp(states, edges.version_sets(mops, states)).select("src", "dst", "k", "v1", "v2", "a_mop")
+
+
+@_predicate("SELECT p.index, p.mop_idx, a.k FROM pmops p, (SELECT k FROM pv GROUP BY 1 HAVING bool_and(coalesce(state = 'live' AND v % 2 = 0, false))) a WHERE p.f = 'rp' AND p.type = 'ok' AND NOT EXISTS (SELECT 1 FROM pseen s WHERE s.index = p.index AND s.mop_idx = p.mop_idx AND s.k = a.k)")
+def pred_read_miss(spark, sf_dir):
+    return detectors.predicate_read_miss(*_states(spark, sf_dir))
+
+
+@_query()
+def predicate_check_summary(spark, sf_dir):
+    """The whole closed-predicate check."""
+    result = check.check_closed_predicate(_pinned_history(synthetic.predicate_history(spark, sf_dir)), ["serializable"])
+    return result.summary()
+
+
+@_query(_EXT + _REG_VERSIONS + ", c AS (SELECT k, v1 AS a, v2 AS b FROM rv WHERE v1 IS NOT NULL), r AS (SELECT k, a, b FROM c UNION SELECT r.k, r.a, c.b FROM r JOIN c ON r.k = c.k AND r.b = c.a) SELECT k, min(a) AS first, count(*) AS n FROM (SELECT DISTINCT k, a FROM r WHERE a = b) GROUP BY k, a HAVING count(*) > 1", recursive=True)
+def cyclic_versions(spark, sf_dir):
+    """Values that come before themselves under initial state and writes-follow-reads."""
+    order, _, _ = _register_versions(spark, sf_dir)
+    return check.cyclic_versions(order).select("k", "first", "n")
+
+
 # graphs -----------------------------------------------------------------------------------------------
 
 
@@ -511,6 +627,51 @@ def g_single_two_cycles(spark, sf_dir):
     return pairs.filter("rels & 4 <> 0 and rels & 3 = 0").join(back, ["src", "dst"]).select("src", "dst")
 
 
+@_query()
+def cycle_existence(spark, sf_dir):
+    """Models that some cycle rules out, with the size of the smallest component that shows it."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    inside = graph.component_edges(pairs, graph.components(pairs))
+
+    def run(pdf):
+        import pandas as pd
+
+        g = cycles.graph_of(zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["rels"].tolist(), strict=True))
+        return pd.DataFrame([(int(pdf["scc"].iloc[0]), m, len(p)) for m, p in cycles.existence_cases(g)], columns=["scc", "model", "size"])
+
+    return inside.groupBy("scc").applyInPandas(run, "scc long, model string, size int")
+
+
+@_query()
+def plain_cycles(spark, sf_dir):
+    """One short cycle of each component, whatever its relations."""
+    return cycles.plain_cycles(_list_edges(spark, sf_dir)).select("scc", "size", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+@_query()
+def cycle_explanations(spark, sf_dir):
+    """The text that says why each cycle is one."""
+    h = _pinned_history(synthetic.list_history(spark, sf_dir))
+    facts = pinned(edges.list_facts(h.possible().mops))
+    found = pinned(cycles.cycle_cases(edges.edge_union(facts), timeout_s=10.0).filter(~F.col("type").endswith("-cycle-exists")).withColumn("cycle_id", F.concat_ws("/", "scc", "spec")))
+    return explain.rendered(found, facts, h.ops)
+
+
+@_query()
+def component_dots(spark, sf_dir):
+    """Each component as DOT text."""
+    h = _pinned_history(synthetic.list_history(spark, sf_dir))
+    pairs = pinned(edges.edge_union(edges.list_facts(h.possible().mops)))
+    return render.dots(graph.component_edges(pairs, graph.components(pairs)), h.mops)
+
+
+@_query()
+def incompatible_order_pages(spark, sf_dir):
+    """For each key with incompatible orders, all its reads as an HTML table."""
+    mops = pinned(_possible(spark, sf_dir))
+    return render.incompatible_pages(detectors.incompatible_order(mops), mops)
+
+
 @_query()
 def cycle_cases(spark, sf_dir):
     """One witness for each type of cycle in each component, and how it runs."""
