@@ -16,6 +16,7 @@ row each.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, written
+from .pieces import Pieces
 
 MEMO_PIECES = 400_000
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -55,8 +58,19 @@ class Counter:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            self.sizes = lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-            if '"ByteLevel"' not in Path(path).read_text() or "<|endoftext|>" not in tokenizer.get_vocab():
+            setup = json.loads(Path(path).read_text())
+            if setup.get("normalizer") is None and setup.get("pre_tokenizer") == BYTE_LEVEL and setup["model"]["type"] == "BPE":
+                parts: dict = {}
+                model = Pieces(path, words=False)
+
+                def sizes(texts: list[str]) -> list[int]:
+                    if len(parts) > MEMO_PIECES:
+                        parts.clear()
+                    return [len(x) // 4 for x in model.encode(texts, parts)]
+
+                self.sizes = sizes
+            else:
+                self.sizes = lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
                 self.pieces = None
 
     def count(self, texts: list[str]) -> list[int]:

@@ -21,7 +21,6 @@ doc_id stay next to each other, in the order of their texts.
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, partitions, text_bytes, written
+from .pieces import Pieces
 
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_TOKENS = 1 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS, WIDE = 1_000_000, 24
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 HEAD = struct.Struct("<4sHHQQQ")
 
 
@@ -45,32 +46,111 @@ class Words:
     """Encodes UTF-8 texts chunk by chunk, as the tokenizer splits at ASCII white space anyway; chunks are remembered.
 
     Holds for tokenizers whose normaliser and pre-tokenizer drop white space and look at nothing across it.
+    Chunks of up to WIDE bytes are rows of an open-addressing table in arrays, found and compared by their
+    bytes for a whole slice of texts at once; longer ones are encoded where they occur.
     """
 
+    SLOTS = 1 << 21
+
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """The ids of each text as little-endian u32, with the end id."""
-        known, end = self.known, struct.pack("<I", end_id)
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if len(known) + len(words) > MEMO_WORDS:
-            known.clear()
-        new = list(words.difference(known))
-        for s in range(0, len(new), 4096):
-            part = new[s : s + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        self.pieces = Pieces(path, words=True)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots = np.full(self.SLOTS, -1, np.int32)
+        self.n = self.n_ids = 0
+        self.keys = np.zeros((1 << 16, WIDE // 8), np.uint64)
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    @staticmethod
+    def mixed(keys: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(keys), np.uint64)
+        for j in range(keys.shape[1]):
+            h = (h ^ keys[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def lookup(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 if it has none."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            row = self.slots[slot]
+            here = row >= 0
+            todo, slot, row = todo[here], slot[here], row[here]
+            same = (self.keys[row] == keys[todo]).all(axis=1)
+            out[todo[same]] = row[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & (self.SLOTS - 1)
+        return out
+
+    def insert(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows of new, distinct keys."""
+        n, m = len(keys), len(ids)
+        while self.n + n > len(self.keys):
+            self.keys, self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.start, self.count))
+        while self.n_ids + m > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        rows = np.arange(self.n, self.n + n)
+        self.keys[rows], self.start[rows], self.count[rows] = keys, start + self.n_ids, count
+        self.ids[self.n_ids : self.n_ids + m] = ids
+        self.n, self.n_ids = self.n + n, self.n_ids + m
+        todo, slot = rows, (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = todo[free]
+            left = self.slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & (self.SLOTS - 1)
+        return rows
+
+    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        data = b"".join([(t if b"<|" in t else t.lower()) + b" " for t in texts])  # ASCII letters alone change
+        raw = np.frombuffer(data + b" " * WIDE, np.uint8)
+        word = ~SPACES[raw]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate(([0], edge))
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        last = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))  # words up to the end of each text
+        start, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        ids = self.ids[:0]
+        short = np.flatnonzero(size <= WIDE)
+        if len(short):
+            bytes_ = raw[begin[short][:, None] + np.arange(WIDE)]
+            bytes_[np.arange(WIDE) >= size[short][:, None]] = 255  # never part of UTF-8
+            keys = bytes_.view(np.uint64)
+            hashes = self.mixed(keys)
+            order = np.argsort(hashes)
+            keys, hashes = keys[order], hashes[order]
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))  # equal keys are neighbours, but for a tie of hashes
+            first = np.flatnonzero(new)
+            if self.n + len(first) > MEMO_WORDS:
+                self.forget()
+            row = self.lookup(keys[first], hashes[first])
+            miss = np.flatnonzero(row < 0)
+            if len(miss):
+                lone = {data[b : b + s]: i for i, b, s in zip(miss.tolist(), begin[short[order[first[miss]]]].tolist(), size[short[order[first[miss]]]].tolist(), strict=True)}
+                at = np.fromiter(lone.values(), np.int64, len(lone))
+                self.insert(keys[first[at]], hashes[first[at]], *self.pieces.flat([w.decode() for w in lone]))
+                row[miss] = self.lookup(keys[first[miss]], hashes[first[miss]])
+            row = row[np.cumsum(new) - 1]
+            start[short[order]], count[short[order]] = self.start[row], self.count[row]
+            ids = self.ids[: self.n_ids]
+        if len(short) < len(begin):
+            long = np.flatnonzero(size > WIDE)
+            more, s, count[long] = self.pieces.flat([data[b : b + n].decode() for b, n in zip(begin[long].tolist(), size[long].tolist(), strict=True)])
+            start[long] = s + len(ids)
+            ids = np.concatenate((ids, more))
+        ends = np.cumsum(count)
+        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)]
+        cuts = np.concatenate(([0], ends))[last].tolist()
+        end = np.array([end_id], np.uint32)
+        return [np.concatenate((out[a:b], end)) for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @cache
 def words_of(path: str) -> Words:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Words(path)
 
 
@@ -154,10 +234,10 @@ def unpack_blocks(starts: np.ndarray, body: bytes | memoryview, first: int, last
     return out.ravel()
 
 
-def write_file(doc_ids: list[int | None], ids: list[bytes], percentile: float = PERCENTILE) -> bytes:
+def write_file(doc_ids: list[int | None], ids: list[np.ndarray], percentile: float = PERCENTILE) -> bytes:
     """One file image."""
-    sizes = np.array([len(x) // 4 for x in ids], "<u8")
-    starts, body = pack_blocks(np.frombuffer(b"".join(ids), "<u4"), percentile)
+    sizes = np.array([len(x) for x in ids], "<u8")
+    starts, body = pack_blocks(np.concatenate(ids), percentile)
     head = HEAD.pack(b"PFOR", 1, BLOCK, len(ids), int(sizes.sum()), len(starts) - 1)
     return head + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + bytes(x is None for x in doc_ids) + sizes.tobytes() + starts.astype("<u8").tobytes() + body
 
@@ -197,19 +277,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, percenti
 
         part, words = TaskContext.get().partitionId(), encoder(tokenizer_path)
         held_docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = number = before = 0
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([write_file(held_docs, held, percentile)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
+            return pa.record_batch([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([write_file(held_docs, held, percentile)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for s in range(0, batch.num_rows, 64):
-                piece = batch.slice(s, 64)
+            for s in range(0, batch.num_rows, 200):
+                piece = batch.slice(s, 200)
                 for doc, ids in zip(piece["doc_id"].to_pylist(), words.encode(text_bytes(piece["text"]), end_id), strict=True):
-                    if held and size + len(ids) > 4 * file_tokens:
+                    if held and size + len(ids) > file_tokens:
                         yield out()
-                        held_docs, held, size, number, before = [], [], 0, number + 1, before + size // 4
+                        held_docs, held, size, number, before = [], [], 0, number + 1, before + size
                     held_docs.append(doc)
                     held.append(ids)
                     size += len(ids)

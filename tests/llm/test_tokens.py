@@ -79,6 +79,19 @@ def test_token_files_round_trip(spark, file_tokens):
     assert {tuple(x) for x in op8.read_tokens(files).collect()} == want
 
 
+def test_words_forget_and_relearn(monkeypatch):
+    r = random.Random(5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(op8, "MEMO_WORDS", 60)
+    monkeypatch.setattr(op8.Words, "SLOTS", 128)
+    words = op8.Words(path)
+    for _ in range(40):
+        texts = ["".join(r.choice(["a", "Be", "é", "ß", "!", " ", "\n", "x" * 30, "日本", "<|endoftext|>", "'s", "\x00"]) for _ in range(r.randint(0, 30))) for _ in range(6)]
+        got = words.encode([t.encode() for t in texts], 1)
+        assert [g.tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_token_files_edges(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     files = op8.write_tokens(spark.createDataFrame([(2, "b", "", ""), (None, "a", "", ""), (2, "a", "", ""), (1, None, "", "")], SCHEMA), path)
@@ -174,3 +187,19 @@ def test_language_edges(spark):
     assert all(0 <= x.score <= 1 for x in got)
     assert {x.lang_pred for x in op6.identify(odd).collect()} == {"und"}
     assert op6.identify(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "words"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_are_the_librarys(name, words):
+    from ledgerlens.llm.pieces import Pieces
+
+    r = random.Random(8)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    alphabet = ["a", "The", "é", "É", "ß", "ẞ", "ĸ", "ŉ", "İ", "ı", "ſ", "K", "7", "42", "²", "!!", "'", "'s", "'ll", "’", "-", "<|", "<|endoftext|>", "ñ", "Ÿ", "=", "̸", "́", "x", "_", "×", "—", " ", "  ", "日"]
+    chunks = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 9))) for _ in range(6000)]
+    got = Pieces(public_tokenizers.path(name), words).encode(chunks, {})
+    ids, start, count = Pieces(public_tokenizers.path(name), words).flat(chunks if words else [c for c in chunks if " " not in c])
+    for c, a, n in zip(chunks if words else [c for c in chunks if " " not in c], start, count):
+        assert ids[a : a + n].tolist() == tokenizer.encode(c, add_special_tokens=False).ids, c
+    for c, g, e in zip(chunks, got, tokenizer.encode_batch(chunks, add_special_tokens=False)):
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, c
