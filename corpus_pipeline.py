@@ -27,7 +27,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources weigh the same; documents are repeated, or left out, by a Poisson draw."""
-    return op5_mix.mix(docs).select(*docs.columns)
+    return op5_mix.mixed_rows(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,9 +46,25 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     """The columns of ``docs`` with ``copy`` (1, 2, ...) and ``mix_key``, in the order of ``mix_key``.
 
     ``weights``: target share by source; by default all sources weigh the same. ``epochs``: the size of
-    the mix in units of the table.
+    the mix in units of the table. Columns of ``docs`` with these two names are replaced.
     """
-    name = F.coalesce(F.col("source").cast("string"), F.lit(NULL))
+    named = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    rows = mixed(docs, weights, seed, few_sources, epochs)
+    return rows.select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in named], "copy", "mix_key")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix with exactly the columns of ``docs``."""
+    return mixed(docs, **options).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 17, few_sources: int = FEW_SOURCES, epochs: float = 1.0) -> DataFrame:
+    """The mix in order, with the columns of ``docs`` as c0, c1, ... so that no name can clash."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: plain[i] for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*plain)
+    doc_id, source = F.col(at["doc_id"]), F.col(at["source"])
+    name = F.coalesce(source.cast("string"), F.lit(NULL))
     counts = docs.groupBy(name.alias("mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.lit(1.0)
@@ -62,12 +78,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     cdfs = weighed.select("mix_source", rate.alias("rate")).select("mix_source", F.when(F.col("rate") > 600, F.raise_error(F.lit("a source would be repeated over 600 times"))).otherwise(poisson_cdf(F.col("rate"))).alias("mix_cdf"))
     if total["sources"] <= few_sources:
         cdfs = F.broadcast(cdfs)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    plain = [F.col(c) for c in docs.columns]
+    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
     joined = docs.select(*plain, name.alias("mix_source"), uniform(F.lit(str(seed)), key).alias("mix_u")).join(cdfs, "mix_source")
     count = F.size(F.filter("mix_cdf", lambda c: F.col("mix_u") >= c))
-    copies = joined.select(*docs.columns, count.alias("mix_count")).filter("mix_count > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
-    return copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")))).orderBy("mix_key", "doc_id")
+    copies = joined.select(*plain, count.alias("mix_count")).filter("mix_count > 0").select(*plain, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    return copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")))).orderBy("mix_key", doc_id)
 
 
 MIX_SQL = """

@@ -1,0 +1,16 @@
+"""Brute-force near-duplicate groups by all pairs of fingerprints."""
+
+import numpy as np
+from test_op10 import brute_fp
+
+
+def fingerprint_groups(rows):
+    ids = np.array([r[0] for r in rows])
+    fps = np.array([brute_fp(r[1]) for r in rows], np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    label = ids.copy()
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return dict(zip(ids.tolist(), label.tolist()))
+        label = new
