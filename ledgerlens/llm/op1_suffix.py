@@ -414,3 +414,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     masks = by_group.applyInArrow(distinct, A_SCHEMA).groupBy("bucket").applyInArrow(screen, B_SCHEMA)
     merged = by_group.cogroup(masks.groupBy("g")).applyInArrow(runs, C_SCHEMA).groupBy("bucket").applyInArrow(verdicts, D_SCHEMA)
     return by_group.cogroup(merged.groupBy("g")).applyInArrow(remove, E_SCHEMA)
+
+
+#: All windows as bytes; for the small tables of the SQL check.
+SUFFIX_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, array_slice(h, i + 1, i + {LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+gone AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE first < w.doc_id),
+cut AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM gone),
+num AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM cut),
+span AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM num GROUP BY doc_id, k),
+edge AS (SELECT doc_id, 0 AS a, 0 AS b FROM d UNION ALL SELECT doc_id, a, b FROM span),
+kept AS (SELECT doc_id, b AS s, lead(a) OVER (PARTITION BY doc_id ORDER BY a, b) AS e FROM edge),
+text_ AS (SELECT d.doc_id, string_agg(hex(array_slice(h, s + 1, coalesce(e, n))), '' ORDER BY s) AS t FROM kept JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce((SELECT sum(b - a) FROM span WHERE span.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
+       (SELECT count(*) FROM span WHERE span.doc_id = d.doc_id)::BIGINT AS n_spans, sha256(unhex(text_.t)) AS kept_sha256
+FROM d JOIN text_ USING (doc_id)
+"""

@@ -93,3 +93,36 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RUL
     by_host = scores.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
     host_verdict = F.when((F.col("distrust") > 0) & (F.col("distrust") > ratio * F.col("trust")), "block").otherwise("allow")
     return judged.join(by_host, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("fixed", host_verdict).alias("verdict"), "trust", "distrust")
+
+
+def url_sql(rules: tuple[tuple[str, str, str], ...] = RULES, ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> str:
+    """The same for DuckDB, with the rounds written out."""
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True)) + " END"
+    link = LINK.replace("'", "''")
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""
+lost{k} AS (SELECT coalesce(sum(CASE WHEN out_n IS NULL THEN trust END), 0) / (SELECT n FROM whole) AS lt, coalesce(sum(CASE WHEN in_n IS NULL THEN distrust END), 0) / (SELECT n FROM whole) AS ld FROM s{k}),
+t{k} AS (SELECT e.dst AS host, sum(trust / out_n * e.n) AS x FROM s{k} JOIN edges e ON e.src = host GROUP BY 1),
+d{k} AS (SELECT e.src AS host, sum(distrust / in_n * e.n) AS x FROM s{k} JOIN edges e ON e.dst = host GROUP BY 1),
+s{k + 1} AS (SELECT s.host, seed_t, seed_d, out_n, in_n, seed_t * ({1 - damping} + {damping} * lt) + {damping} * coalesce(t.x, 0) AS trust, seed_d * ({1 - damping} + {damping} * ld) + {damping} * coalesce(d.x, 0) AS distrust
+  FROM s{k} s CROSS JOIN lost{k} LEFT JOIN t{k} t ON t.host = s.host LEFT JOIN d{k} d ON d.host = s.host)""")
+    return f"""
+WITH cut AS (SELECT page_id, html, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+base AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+judged AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS fixed FROM base),
+counted AS (SELECT host, count(*) FILTER (fixed = 'allow') AS allowed, count(*) FILTER (fixed = 'block') AS blocked FROM judged GROUP BY 1),
+links AS (SELECT host AS src, translate(regexp_extract(link, '//(.*)$', 1), '{UPPER}', '{LOWER}') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM base)),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+hosts AS (SELECT host FROM counted UNION SELECT src FROM edges UNION SELECT dst FROM edges),
+whole AS (SELECT (SELECT count(*) FROM hosts) AS n, (SELECT sum(allowed) FROM counted) AS a, (SELECT sum(blocked) FROM counted) AS b),
+seeds AS (SELECT h.host, coalesce(coalesce(allowed, 0) * (n / nullif(a, 0)), 0)::DOUBLE AS seed_t, coalesce(coalesce(blocked, 0) * (n / nullif(b, 0)), 0)::DOUBLE AS seed_d,
+  (SELECT sum(n) FROM edges WHERE src = h.host) AS out_n, (SELECT sum(n) FROM edges WHERE dst = h.host) AS in_n FROM hosts h CROSS JOIN whole LEFT JOIN counted ON counted.host = h.host),
+s0 AS (SELECT *, seed_t AS trust, seed_d AS distrust FROM seeds), {",".join(steps)},
+last AS (SELECT host, round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM s{rounds})
+SELECT page_id, j.host, path, rule, coalesce(fixed, CASE WHEN distrust > 0 AND distrust > {ratio} * trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+FROM judged j LEFT JOIN last ON last.host = j.host
+"""

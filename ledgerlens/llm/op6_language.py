@@ -32,7 +32,7 @@ CODES = 64
 DIMENSIONS = 1024
 PER_LANG = 3000
 SEED = 20
-PIECE = 1 << 21  # characters at once
+PIECE, SLICE = 1 << 19, 256  # characters and texts at once
 
 
 @cache
@@ -69,12 +69,10 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             to += 1
         part = [t.lower() for t in texts[at:to]]
         points = np.frombuffer(("  ".join(part) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = letter_codes()[points].astype(np.int64)
-        owner = np.repeat(np.arange(len(part)), [len(t) + 2 for t in part])
-        before = np.concatenate(([0], codes[:-1]))
-        after = np.concatenate((codes[1:], [0]))
-        middle = np.flatnonzero(codes)
-        key = np.sort(owner[middle] << 18 | before[middle] << 12 | codes[middle] << 6 | after[middle])
+        codes = np.concatenate(([0], letter_codes()[points], [0])).astype(np.int64)
+        middle = np.flatnonzero(codes[1:-1])
+        owner = np.repeat(np.arange(len(part)), [len(t) + 2 for t in part])[middle]
+        key = np.sort(owner << 18 | codes[middle] << 12 | codes[middle + 1] << 6 | codes[middle + 2])
         has[at + np.unique(key >> 18)] = True
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         out.append(((key[first] >> 18) + at, key[first] & (1 << 18) - 1, np.diff(np.concatenate((first, [len(key)])))))
@@ -86,7 +84,7 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Profiles:
     """Bundles documents; holds the vectors of the trigrams met."""
 
-    LIMIT = 60_000
+    LIMIT = 30_000
 
     def __init__(self, seed: int, dimensions: int) -> None:
         self.seed, self.dimensions = seed, dimensions
@@ -128,8 +126,16 @@ class Model:
     dimensions: int
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        profiles = _profiles(self.seed, self.dimensions)
-        vectors, has = profiles.bundle([t or "" for t in texts])
+        langs: list[str] = []
+        scores: list[float] = []
+        for s in range(0, len(texts), SLICE):
+            a, b = self._predict([t or "" for t in texts[s : s + SLICE]])
+            langs += a
+            scores += b
+        return langs, scores
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        vectors, has = _profiles(self.seed, self.dimensions).bundle(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         cosine = vectors @ self.prototypes.T
@@ -162,9 +168,12 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, seed: int = SEED, dimension
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
         for batch in batches:
-            vectors, has = _profiles(seed, dimensions).bundle(batch["text"].to_pylist())
-            for lang, v, h in zip(batch["lang"].to_pylist(), vectors, has, strict=True):
-                if h:
+            for s in range(0, batch.num_rows, SLICE):
+                part = batch.slice(s, SLICE)
+                vectors, has = _profiles(seed, dimensions).bundle(part["text"].to_pylist())
+                for lang, v, h in zip(part["lang"].to_pylist(), vectors, has, strict=True):
+                    if not h:
+                        continue
                     sums[lang] = sums.get(lang, 0) + np.rint(v.astype(np.float64) * (1 << 24)).astype(np.int64)  # whole numbers: the sum has no order
         for lang, v in sums.items():
             yield pa.record_batch([pa.array(np.full(dimensions, place[lang]), pa.int64()), pa.array(np.arange(dimensions), pa.int64()), pa.array(v, pa.int64())], ["lang", "i", "x"])

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir
-from .op1_suffix import suffix_dedup
-from .op2_url import url_verdicts
+from .op1_suffix import SUFFIX_SQL, suffix_dedup
+from .op2_url import url_sql, url_verdicts
 from .op3_token_counts import token_counts
 from .op4_decontaminate import leaks
 from .op5_mix import MIX_SQL, mix
@@ -72,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": SUFFIX_SQL,
+    "op2_url_filter": url_sql(),
     "op5_mix": MIX_SQL,
     "op7_exact_dedup": r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
