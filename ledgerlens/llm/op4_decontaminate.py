@@ -4,14 +4,15 @@ A document is contaminated by an item if some window with as many words as the i
 (multiset) Jaccard similarity of word shingles of at least ``threshold`` with it. Shingles have five
 words, or all words of a shorter item. Words are lower-cased, ASCII punctuation separates them.
 
-1  Windows: at such a similarity a window shares a shingle with the item, so the windows worth a look are
-   those that line up a shared shingle with its place in the item. Nothing else can pass step 3.
+1  Windows: a window at the threshold shares at least 2ct / (1 + t) of its c shingles with the item, so all
+   starts are tried whose window holds that many places of the item's shingles, wherever in the item they
+   belong. Other windows cannot reach the threshold.
 2  Each window has a 64-bit SimHash of its words. Item fingerprints are cut into radius + 1 blocks; a
    window within the radius of an item agrees with it on a whole block, so the block index returns every
    item of the window's size within the radius.
 3  The shingle similarity is computed exactly for what is left. One changed word moves few of a
    word-level fingerprint's bits, so the default radius of 16 is wide for pairs at 0.8; the item that
-   lined up the window is verified in any case, and no verified pair hangs on chance.
+   listed the window is verified in any case, and no verified pair hangs on chance.
 
 Items are read in blocks of at most ``block_items`` items and ``block_bytes`` bytes, each sent with the
 tasks of one pass; a small benchmark is one block, and a large one takes as many passes as it needs.
@@ -22,7 +23,9 @@ is judged by itself. Of several items, the most similar, then the smallest item_
 
 from __future__ import annotations
 
+import math
 import string
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -104,11 +107,47 @@ class Index:
         near = {n for b, value in enumerate(self.parts(fp)) for n in self.blocks.get((size, b, value), ())}
         return {n for n in near if (self.fingerprints[n] ^ fp).bit_count() <= self.radius}
 
+    def spans(self, item: int, held: list[int], n_words: int) -> list[tuple[int, int]]:
+        """Stretches of starts (both ends in) whose window has enough places ``held`` of the item's shingles."""
+        k, size = self.kinds[item], self.sizes[item]
+        all_, wide = size - k + 1, min(size, n_words) - k + 1
+        need = max(1, math.ceil(self.threshold * (all_ + wide) / (1 + self.threshold) - 1e-9))
+        out: list[tuple[int, int]] = []
+        for a, b in zip(held, held[need - 1 :], strict=False):
+            first, last = max(0, b - wide + 1), min(a, max(0, n_words - size))
+            if first > last:
+                continue
+            if out and first <= out[-1][1] + 1:
+                out[-1] = out[-1][0], max(last, out[-1][1])
+            else:
+                out.append((first, last))
+        return out
+
+    def slide(self, item: int, held: list[int], words: list[bytes], first: int, last: int) -> Iterator[tuple[int, float]]:
+        """(start, similarity) of the item with each window from ``first`` to ``last``, by counts carried along."""
+        k, wanted = self.kinds[item], self.counts[item]
+        wide = min(self.sizes[item], len(words)) - k + 1
+        sizes = self.sizes[item] - k + 1 + wide
+        seen: Counter = Counter()
+        both, add, drop = 0, bisect_left(held, first), bisect_left(held, first)
+        for start in range(first, last + 1):
+            while add < len(held) and held[add] < start + wide:
+                gram = tuple(words[held[add] : held[add] + k])
+                seen[gram] += 1
+                both += seen[gram] <= wanted[gram]
+                add += 1
+            while drop < add and held[drop] < start:
+                gram = tuple(words[held[drop] : held[drop] + k])
+                both -= seen[gram] <= wanted[gram]
+                seen[gram] -= 1
+                drop += 1
+            yield start, both / (sizes - both)
+
     def match(self, text: str) -> tuple[int, float, int] | None:
         """(item_id, similarity, number of items) of a contaminated text."""
         words = words_of(text)
         ids = np.fromiter(map(self.vocabulary.get, words, (-1 for _ in words)), np.int64, len(words))
-        windows: dict[tuple[int, int], set[int]] = defaultdict(set)
+        hits: dict[int, list[int]] = defaultdict(list)
         for k, places in self.places.items():
             n = len(ids) - k + 1
             if n < 1:
@@ -125,17 +164,21 @@ class Index:
             known = self.known[k]
             found = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
             for p, key in zip(at[found].tolist(), keys[found].tolist(), strict=True):
-                for item, q in places[key]:
-                    windows[max(0, min(p - q, len(words) - self.sizes[item])), self.sizes[item]].add(item)
+                for item, _ in places[key]:
+                    if not (held := hits[item]) or held[-1] != p:
+                        held.append(p)
         best: dict[int, float] = {}
+        windows: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for item, held in hits.items():
+            for first, last in self.spans(item, held, len(words)):
+                for start, score in self.slide(item, held, words, first, last):
+                    windows[start, self.sizes[item]].add(item)
+                    if score >= self.threshold and score > best.get(item, 0):
+                        best[item] = score
         for (start, size), seeds in windows.items():
             part = words[start : start + size]
-            counts: dict[int, Counter] = {}
-            for item in seeds | self.within(self.fingerprint(part), size):
-                k = self.kinds[item]
-                if k not in counts:
-                    counts[k] = shingles(part, k)
-                score = similarity(counts[k], self.counts[item])
+            for item in self.within(self.fingerprint(part), size) - seeds:
+                score = similarity(shingles(part, self.kinds[item]), self.counts[item])
                 if score >= self.threshold and score > best.get(item, 0):
                     best[item] = score
         if not best:
