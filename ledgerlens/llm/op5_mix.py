@@ -2,7 +2,8 @@
 
 A source with share s of the documents and target weight w gets the mean repetition rate w / s. Each
 document's count is the inverse of the Poisson distribution at a uniform number made from a hash of the
-seed and its doc_id, so it depends on nothing but them, and the mix is the same on any cluster. Documents
+seed and its doc_id (a rate over 600 is dealt evenly over several draws, each at a number of its own, whose
+sum has the Poisson distribution of the whole rate), so it depends on nothing but them, and the mix is the same on any cluster. Documents
 are exploded by their counts and shuffled globally by a hash of (seed, doc_id, copy).
 
 Rates come from partial counts for each source and reach the documents by a join. Up to
@@ -22,6 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEW_SOURCES = 10_000
+#: Mean of a single draw at most: exp(-rate) stays a normal double, and the distribution function short.
+MOST = 600
+#: Copies of a row that are made at once.
+BLOCK = 1 << 12
 NULL = "\x00null"
 
 
@@ -75,13 +80,17 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int
     weighed = counts.select("mix_source", "n", weight.alias("w"))
     total = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("sources")).first()
     rate = F.col("w") * (epochs * (total["n"] or 0) / (total["w"] or 1.0)) / F.col("n")
-    cdfs = weighed.select("mix_source", rate.alias("rate")).select("mix_source", F.when(F.col("rate") > 600, F.raise_error(F.lit("a source would be repeated over 600 times"))).otherwise(poisson_cdf(F.col("rate"))).alias("mix_cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST).cast("int"))
+    cdfs = weighed.select("mix_source", rate.alias("rate")).select("mix_source", "rate", parts.alias("mix_parts")).select("mix_source", "mix_parts", poisson_cdf(F.col("rate") / F.col("mix_parts")).alias("mix_cdf"))
     if total["sources"] <= few_sources:
         cdfs = F.broadcast(cdfs)
     key = F.coalesce(doc_id.cast("string"), F.lit("null"))
     joined = docs.select(*plain, name.alias("mix_source"), uniform(F.lit(str(seed)), key).alias("mix_u")).join(cdfs, "mix_source")
-    count = F.size(F.filter("mix_cdf", lambda c: F.col("mix_u") >= c))
-    copies = joined.select(*plain, count.alias("mix_count")).filter("mix_count > 0").select(*plain, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    drawn = lambda u: F.size(F.filter("mix_cdf", lambda c: u >= c))
+    more = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda i: uniform(F.lit(str(seed)), F.lit("draw"), i.cast("string"), key))
+    count = F.when(F.col("mix_parts") == 1, drawn(F.col("mix_u"))).otherwise(F.aggregate(more, F.lit(0), lambda n, u: n + drawn(u)))
+    blocks = joined.select(*plain, count.alias("mix_count")).filter("mix_count > 0").select(*plain, "mix_count", F.explode(F.sequence(F.lit(1), F.col("mix_count"), F.lit(BLOCK))).alias("mix_first"))
+    copies = blocks.select(*plain, F.explode(F.sequence(F.col("mix_first"), F.least(F.col("mix_count"), F.col("mix_first") + (BLOCK - 1)))).alias("copy"))
     return copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string")))).orderBy("mix_key", doc_id)
 
 
