@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 
 import pandas as pd
@@ -86,32 +87,47 @@ def extension(a: DataFrame, b: DataFrame) -> DataFrame:
     return union(a.select("src", "dst", "rels"), composition(a, b))
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Vertices reached from ``start.vertex``, themselves included (G11): breadth first, a join for each shell."""
+def _in_bounds(n: int, rounds: int | None) -> None:
+    if rounds is not None and n >= rounds:
+        raise RuntimeError(f"not finished after {rounds} rounds")
+
+
+def reachable(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Vertices reached from ``start.vertex``, themselves included (G11): breadth first, a join for each shell.
+
+    Goes on until a shell is empty; beyond ``rounds`` shells, where given, it raises an error.
+    """
     seen = pinned(start.select("vertex").distinct())
     shell = seen
-    for _ in range(rounds):
+    for n in itertools.count():
         shell = pinned(shell.join(edges, shell["vertex"] == edges["src"]).select(F.col("dst").alias("vertex")).distinct().join(seen, "vertex", "left_anti"))
         if not shell.limit(1).count():
             return seen
+        _in_bounds(n, rounds)
         seen = seen.union(shell)
-    return seen
+        if n % 16 == 15:
+            seen = pinned(seen)
+
 
+def collapse(edges: DataFrame, keep: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Only vertices of ``keep``, linked where a path leads through others alone.
 
-def collapse(edges: DataFrame, keep: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Only vertices of ``keep``, linked where a path leads through others alone."""
+    Goes on until no path is open; beyond ``rounds`` steps, where given, it raises an error.
+    """
     out = edges.join(keep.select(F.col("vertex").alias("src")), "src", "left_semi").select("src", "dst")
     done = into(out, keep)
     open_ = pinned(out.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
     seen = open_
-    for _ in range(rounds):
+    for n in itertools.count():
         step = open_.withColumnRenamed("dst", "mid").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         done = done.union(into(step, keep))
         open_ = pinned(step.join(keep.select(F.col("vertex").alias("dst")), "dst", "left_anti").join(seen, ["src", "dst"], "left_anti").select("src", "dst"))
         if not open_.limit(1).count():
-            break
+            return done.distinct()
+        _in_bounds(n, rounds)
         seen = seen.union(open_)
-    return done.distinct()
+        if n % 16 == 15:
+            seen, done = pinned(seen), pinned(done.distinct())
 
 
 # strongly connected components (G8) ----------------------------------------------------------------------
