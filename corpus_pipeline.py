@@ -16,8 +16,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash group stays."""
-    return op10_simhash.keep_first(docs)
+    """The document with the smallest doc_id of each group stays.
+
+    Groups are linked by SimHash, and by five-word shingles with a Jaccard similarity of 0.8 or more.
+    """
+    return op10_simhash.keep_first(docs, jaccard=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_jaccard
 from .common import checkpointed, id_text, partitions, text_bytes, written
 
 BITS = 64
@@ -69,6 +70,20 @@ def fingerprints(docs: DataFrame, words_each: int = 4, seed: int = 42) -> DataFr
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, words_each: int = 4, seed: int = 42) -> DataFrame:
+    """``fingerprints`` with digest, bands and grams of each row's set of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch["text"])
+            fps = [fingerprint(shingle_hashes(t, words_each, seed)) for t in texts]
+            digest, bands, grams = zip(*[near_jaccard.sketch(shingle_hashes(t, near_jaccard.WORDS, seed)) for t in texts], strict=True) if texts else ((), (), ())
+            columns = [batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(grams, pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "fp", "digest", "bands", "grams"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long, digest binary, bands array<long>, grams binary")
+
+
 def covering_masks(radius: int, within: int = (1 << BITS) - 1) -> list[int]:
     """Masks such that any two values at distance ``radius`` or less inside ``within`` agree on one of them."""
     top = 1 << (radius + 1)
@@ -235,13 +250,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    fps = written(fingerprints(docs, words_each, seed), "simhash")
+def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: int = 4, bucket_limit: int = BUCKET_LIMIT, jaccard: float | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
+
+    With ``jaccard``, documents whose five-word shingles are at least so similar are linked as well.
+    """
+    fps = written((fingerprints if jaccard is None else sketches)(docs, words_each, seed), "simhash")
     rep = F.coalesce(F.min("doc_id"), F.lit(NULL_ID))
     # rows that share a doc_id are one node, whatever their texts
     reps = fps.groupBy("fp").agg(rep.alias("rep"))
     edges = links(reps, radius, bucket_limit)
+    if jaccard is not None:
+        edges = edges.unionByName(near_jaccard.links(fps, reps, components, jaccard))
     same_id = fps.filter("doc_id is not null").join(reps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi and doc_id is not null").select("doc_id")
     edges = edges.unionByName(same_id.join(repeated, same_id["a"] == repeated["doc_id"], "left_semi"))
