@@ -1,18 +1,20 @@
 """Exact dedup: binary-fuse filters over immutable snapshots, exact buckets behind them.
 
-A snapshot is a written table of distinct normalised texts (digest, bucket, keeper) with one static
-binary-fuse filter per digest bucket. A new batch is first grouped by digest itself (partial
+A snapshot is a written table of distinct normalised texts (digest, bucket, keeper, size of its group) with
+one static binary-fuse filter per digest bucket. A new batch is first grouped by digest itself (partial
 aggregation: a hot text is one row per task). Its distinct digests meet the filter of their bucket:
 
-* negatives are proven new (the filter has no false negatives) and touch no stored text,
-* positives join the exact bucket by the full digest, and their normalised bytes are compared.
+* negatives are proven new, as the filter has no false negatives: they are appended to the next snapshot and
+  meet no stored text,
+* positives join the exact bucket by the full digest, and their normalised bytes are compared. What the
+  bucket has raises the size of the stored group and may take its place as keeper; the rest is appended.
 
-Then the batch, without what the snapshot has, becomes the next snapshot. ``exact_groups`` runs a table
-as a sequence of such batches and merges the keepers.
+``exact_groups`` runs a table as a sequence of such batches.
 
 Texts are equal when identical after deleting [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts the
 row with the most code points, then the smallest doc_id stays; a null doc_id is larger than all others.
-Rows that share a doc_id are one row each, and all but the first of them are dropped with the group.
+Rows that share a doc_id are one row each, and all but the first of them are dropped with the group. Only
+doc_id and text are read, so other columns may have any name; an empty table has no groups.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, partitions, size_in_bytes, written
 
 SPACE = " \t\n\x0b\x0c\r"
-NULL_ID = (1 << 63) - 1
+BUCKET_BYTES = 64 << 20  # of texts: their digests are what a task holds
+BLOOM_BITS = 1 << 26  # the largest bitmap: 8 MB
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -133,71 +136,113 @@ def build_filters(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("bucket", "digest").groupBy("bucket").applyInArrow(run, "bucket long, filter binary")
 
 
-def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
-    """The distinct digests (bucket, digest) with ``maybe``: false is a proof that the snapshot lacks it."""
-    schema = "bucket long, digest binary, maybe boolean"
+def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
+    """The rows of a grouped batch with ``maybe``: false is a proof that the snapshot lacks the digest."""
+    schema = "bucket long, digest binary, chars long, doc_id long, n long, maybe boolean"
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         maybe = FuseFilter.unpack(right["filter"][0].as_py()).has(keys_of(left["digest"])) if right.num_rows and left.num_rows else np.zeros(left.num_rows, bool)
-        return pa.table({"bucket": left["bucket"], "digest": left["digest"], "maybe": pa.array(maybe)})
+        return left.append_column("maybe", pa.array(maybe))
 
-    return digests.select("bucket", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, schema)
+    flat = batch.select("bucket", "digest", "best.chars", doc_id_of(F.col("best")).alias("doc_id"), "n")
+    found = flat.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, schema)
+    return found.select("bucket", "digest", rank().alias("best"), "n", "maybe")
+
+
+def rank() -> Column:
+    """Of two rows the one to keep has the larger: most code points, then a doc_id at all, then the smallest."""
+    return F.struct("chars", F.col("doc_id").isNotNull().alias("named"), F.bitwise_not("doc_id").alias("order"))
+
+
+def doc_id_of(best: Column) -> Column:
+    return F.bitwise_not(best["order"])
 
 
 def group(rows: DataFrame) -> DataFrame:
-    """Of rows (digest, bucket, doc_id, chars, n): one per digest with the keeper and the number of rows."""
-    best = F.max(F.struct("chars", F.negative(F.coalesce("doc_id", F.lit(NULL_ID))).alias("order")))
-    return rows.groupBy("bucket", "digest").agg(best.alias("best"), F.sum("n").alias("n")).select("bucket", "digest", F.nullif(F.negative("best.order"), F.lit(NULL_ID)).alias("doc_id"), F.col("best.chars").alias("chars"), "n")
+    """Of rows (digest, bucket, doc_id, chars): one per digest with the best and the number of rows."""
+    return rows.groupBy("bucket", "digest").agg(F.max(rank()).alias("best"), F.count("*").alias("n"))
 
 
 def exact_groups(docs: DataFrame, batches: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    buckets = max(partitions(spark), -(-size_in_bytes(docs) // (256 << 20)))
+    buckets = max(partitions(spark), -(-size_in_bytes(docs) // BUCKET_BYTES))
     texts = id_text(docs)
     digest = F.unhex(F.sha2(normalised(), 256))
     rows = texts.select("doc_id", digest.alias("digest"), F.char_length("text").cast("long").alias("chars"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches))).withColumn("n", F.lit(1).cast("long"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets))).withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(batches)))
     rows = written(rows, "exact-digests")
-    stored = None  # the snapshots so far: one row for each digest
-    for k in range(batches):
-        new = group(rows.filter(F.col("batch") == k))
-        if stored is None:
-            stored = written(new, "exact-snapshot")
-            continue
-        new = written(new, "exact-batch")
-        screened = screen(new, build_filters(stored))
-        positives = screened.filter("maybe").select("bucket", "digest")
-        hits = checked(texts, stored, new, positives)
-        found = new.join(hits, "digest", "left_semi").unionByName(stored)
-        fresh = new.join(hits, "digest", "left_anti")
-        stored = written(group(found.unionByName(fresh)), "exact-snapshot")
-    keep = stored.select("digest", F.col("doc_id").alias("keep_id"), F.col("chars").alias("keep_chars"), F.col("n").alias("group_size"))
-    out = rows.join(keep, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "chars", "keep_chars")
+    stored = written(group(rows.filter("batch = 0")), "exact-snapshot")
+    for k in range(1, batches):
+        stored = written(with_batch(texts, stored, group(rows.filter(F.col("batch") == k))), "exact-snapshot")
+    keep = stored.select("digest", doc_id_of(F.col("best")).alias("keep_id"), F.col("n").alias("group_size"))
+    out = rows.join(keep, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "chars")
     return single(out).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def with_batch(texts: DataFrame, stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The snapshot after ``batch``: only what passes the filter meets what is stored."""
+    screened = written(screen(batch, build_filters(stored)), "exact-batch")
+    hits = checked(texts, stored, screened.filter("maybe"))
+    both = stored.join(hits.select("digest", F.col("best").alias("new_best"), F.col("n").alias("new_n")), "digest", "left")
+    grown = both.select("bucket", "digest", F.greatest("best", "new_best").alias("best"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"))
+    fresh = screened.filter("not maybe").unionByName(screened.filter("maybe").join(hits.select("digest"), "digest", "left_anti"))
+    return grown.unionByName(fresh.select("bucket", "digest", "best", "n"))
+
+
 def single(out: DataFrame) -> DataFrame:
     """Where rows share the keeper's doc_id, one of them alone is kept: the longest, then any of equals."""
     several = out.filter("kept").groupBy("digest").count().filter("count > 1")
     if not several.limit(1).count():
         return out
-    from pyspark.sql import Window
-
     within = Window.partitionBy("digest").orderBy(F.desc("kept"), F.desc("chars"))
     twice = out.filter("kept").join(several, "digest", "left_semi").withColumn("kept", F.row_number().over(within) == 1)
     return out.join(several, "digest", "left_anti").unionByName(twice).unionByName(out.filter("not kept").join(several, "digest", "left_semi"))
 
 
-def checked(texts: DataFrame, stored: DataFrame, new: DataFrame, positives: DataFrame) -> DataFrame:
-    """Digests that both sides have and whose keepers have the same normalised bytes.
+def checked(texts: DataFrame, stored: DataFrame, positives: DataFrame) -> DataFrame:
+    """The positives that the exact buckets have, by digest and by the normalised bytes of both keepers.
 
-    Only keepers of positives move their texts; one row for each side and digest. A pair of different
-    texts with one SHA-256 would stop the job rather than join two groups.
+    Texts of other documents stay where they are: a bitmap of the keepers' doc_ids, of 8 MB at most however
+    many there are, lets the keepers pass (and few others, or more of them beyond some millions of keepers).
+    A pair of different texts with one SHA-256 would stop the job rather than join two groups.
     """
-    both = new.join(positives, ["bucket", "digest"]).select("digest", F.col("doc_id").alias("a"), F.col("chars").alias("ac")).join(stored.select("digest", F.col("doc_id").alias("b"), F.col("chars").alias("bc")), "digest")
-    both = written(both, "exact-hits")
-    wanted = both.select(F.col("a").alias("doc_id"), "digest").unionByName(both.select(F.col("b").alias("doc_id"), "digest")).withColumnRenamed("digest", "want").withColumn("at", F.coalesce("doc_id", F.lit(NULL_ID))).drop("doc_id")
-    content = texts.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("at"), normalised().alias("content")).join(wanted.hint("merge"), "at").filter(F.unhex(F.sha2("content", 256)) == F.col("want"))
-    same = content.groupBy(F.col("want").alias("digest")).agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    return same.select(F.when(F.col("lo") == F.col("hi"), F.col("digest")).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("digest"))
+    both = written(positives.select("bucket", "digest", "best", "n").join(stored.select("bucket", "digest", F.col("best").alias("old")), ["bucket", "digest"]), "exact-hits")
+    wanted = both.select(doc_id_of(F.col("best")).alias("at"), F.col("digest").alias("want")).unionByName(both.select(doc_id_of(F.col("old")).alias("at"), F.col("digest").alias("want")))
+    passes = bitmap(wanted.select("at"))
+    content = texts.filter(passes(F.xxhash64("doc_id"))).select("doc_id", normalised().alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    found = content.join(wanted.hint("merge"), content["doc_id"].eqNullSafe(wanted["at"]) & (content["digest"] == wanted["want"]))
+    same = found.groupBy("want").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+    equal = same.select(F.when(F.col("lo") == F.col("hi"), F.col("want")).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("digest"))
+    return both.drop("old").join(equal, "digest")
+
+
+def bitmap(ids: DataFrame):
+    """A column function over xxhash64(id): false only for ids that are not among ``ids`` (a Bloom filter)."""
+    spark, bits = ids.sparkSession, 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, BLOOM_BITS):
+        bits *= 2
+    places = bloom_places(F.xxhash64("at"), bits)
+    words = ids.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("x"))
+    table = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # one row for each 64 bits at most
+        table[batch["word"].to_numpy()] = batch["x"].to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def passes(hashes: pa.Array) -> pa.Array:
+        h, held, out = hashes.to_numpy(zero_copy_only=False), sent.value, True
+        for shift in BLOOM_SHIFTS:
+            p = (h >> shift) & (bits - 1)
+            out = out & ((held[p >> 6] >> (p & 63)) & 1).astype(bool)
+        return pa.array(out)
+
+    return passes
+
+
+BLOOM_SHIFTS = (0, 17, 37)
+
+
+def bloom_places(h: Column, bits: int) -> list[Column]:
+    return [F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in BLOOM_SHIFTS]
