@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where the session names none, a local master gets a temporary folder; a cluster gets an error, as its
+    executors would write to their own disks.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -60,6 +63,12 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns as c0, c1, ... so that no added name can clash, and each name's new one."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain), dict(zip(docs.columns, plain, strict=True))
+
+
 def text_bytes(col: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value (null: empty)."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]

@@ -7,11 +7,14 @@ all kept bits of at least one table. No pair is lost, whatever the fingerprints
 
 Distinct fingerprints alone go to the tables (copies are one row), a bucket returns the edges of a
 spanning forest of its links (fewer than it has members, never all pairs), and a bucket above
-``bucket_limit`` is dealt out again by covering masks over the bits that its members do not share yet.
-
-Nulls are empty texts; a text without words has fingerprint zero and is linked like any other. A null
-doc_id is kept, counts as larger than every other and never names a component others are in.
-Rows that share a doc_id are linked as one.
+``bucket_limit`` is dealt out again, as often as it takes, by covering masks over the bits that its members
+do not share yet. With fewer than 2^radius of these a bucket is no longer dealt out: it has at most as many
+distinct members as these bits have values.
+
+Components are those of fingerprints, and take the smallest doc_id of their rows. Nulls are empty texts; a
+text without words has fingerprint zero and is linked like any other. A null doc_id is kept and never names
+a component others are in (one without any doc_id has a null component_id). Rows that share a doc_id are
+linked as one. Only doc_id and text are read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_jaccard
-from .common import checkpointed, id_text, partitions, text_bytes, written
+from .common import checkpointed, id_text, partitions, positional, text_bytes, written
 
 BITS = 64
 BUCKET_LIMIT = 1 << 18
 DENSE = 1500
-NULL_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: bytes, words_each: int, seed: int) -> np.ndarray:
@@ -146,37 +148,33 @@ def forest(fps: np.ndarray, radius: int, shared: int = 0) -> list[tuple[int, int
     return out
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (v, key): links of each bucket, or its rows again (linked null) if it is too large for one task."""
-    names = ["a", "b", "v", "fp", "rep"]
+def _buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shared, key): links (a, b) of each bucket, or its rows again (linked null) if it is to be dealt out."""
+    names = ["a", "b", "shared", "fp", "rep"]
     held: list[tuple[np.ndarray, ...]] = []
     held_rows, current, spilling = 0, None, False
 
-    def batch(a, b, v, fp, rep):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int64()), pa.array(fp, pa.int64()), pa.array(rep, pa.int64())], names)
-
-    def again(v, fp, rep):
+    def again(shared, fp, rep):
         none = pa.nulls(len(fp), pa.int64())
-        return pa.record_batch([none, none, pa.array(np.full(len(fp), v), pa.int64()), pa.array(fp, pa.int64()), pa.array(rep, pa.int64())], names)
+        return pa.record_batch([none, none, pa.array(np.full(len(fp), shared), pa.int64()), pa.array(fp, pa.int64()), pa.array(rep, pa.int64())], names)
 
     def close() -> Iterator[pa.RecordBatch]:
         fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-        if len(fp) > 1:
-            if pairs := forest(fp.view(np.uint64), radius, MASKS[radius][current[0]] if current else 0):
-                i, j = np.array(pairs).T
-                none = pa.nulls(len(i), pa.int64())
-                yield pa.record_batch([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), none, none, none], names)
+        if len(fp) > 1 and (pairs := forest(fp.view(np.uint64), radius, current[0] & (1 << BITS) - 1)):
+            i, j = np.array(pairs).T
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.record_batch([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64()), none, none, none], names)
 
     for x in batches:
-        v, key, fp, rep = (x[n].to_numpy() for n in ("v", "key", "fp", "rep"))
-        cuts = np.flatnonzero((v[1:] != v[:-1]) | (key[1:] != key[:-1])) + 1
-        begin, end = np.concatenate(([0], cuts)).astype(np.int64), np.concatenate((cuts, [len(v)])).astype(np.int64)
-        if not len(v):
+        shared, key, fp, rep = (x[n].to_numpy() for n in ("shared", "key", "fp", "rep"))
+        cuts = np.flatnonzero((shared[1:] != shared[:-1]) | (key[1:] != key[:-1])) + 1
+        begin, end = np.concatenate(([0], cuts)).astype(np.int64), np.concatenate((cuts, [len(shared)])).astype(np.int64)
+        if not len(shared):
             continue
         # buckets of one row inside the batch have no links
-        several = (end - begin > 1) | (begin == 0) | (end == len(v))
+        several = (end - begin > 1) | (begin == 0) | (end == len(shared))
         for s, e in zip(begin[several].tolist(), end[several].tolist(), strict=True):
-            k = (int(v[s]), int(key[s]))
+            k = (int(shared[s]), int(key[s]))
             if current != k:
                 if held:
                     yield from close()
@@ -186,57 +184,59 @@ def _buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int, last: b
                 continue
             held.append((fp[s:e], rep[s:e]))
             held_rows += e - s
-            if held_rows > limit and not last:
+            if held_rows > limit and BITS - (k[0] & (1 << BITS) - 1).bit_count() >= 1 << radius:
                 for f, r in held:
                     yield again(k[0], f, r)
                 held, spilling = [], True
-            elif e < len(v):
+            elif e < len(shared):
                 yield from close()
                 held, current = [], None
     if held:
         yield from close()
 
 
-MASKS = {r: [0, *covering_masks(r)] for r in range(1, 7)}
+def _deal(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Each row under the covering masks over the bits that its bucket does not share."""
+    for x in batches:
+        shared, fp, rep = (x[n].to_numpy() for n in ("shared", "fp", "rep"))
+        for s in np.unique(shared).tolist():
+            own = shared == s
+            for mask in covering_masks(radius, ~s & (1 << BITS) - 1):
+                to = np.full(int(own.sum()), s | signed(mask))
+                yield pa.record_batch([pa.array(to, pa.int64()), pa.array(fp[own] & to, pa.int64()), pa.array(fp[own], pa.int64()), pa.array(rep[own], pa.int64())], ["shared", "key", "fp", "rep"])
 
 
 def links(reps: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) between representatives that connect all distinct fingerprints within ``radius``.
 
-    ``reps``: fp long (distinct), rep long.
+    ``reps``: fp long (distinct), rep long. A bucket is known by the bits that its members share and their values.
     """
     spark = reps.sparkSession
-    schema = "a long, b long, v long, fp long, rep long"
-
-    def dealt(rows: DataFrame, key, last: bool) -> DataFrame:
-        keyed = rows.select("v", key.alias("key"), "fp", "rep").repartition(partitions(spark), "v", "key").sortWithinPartitions("v", "key", "fp")
-        return keyed.mapInArrow(lambda it: _buckets(it, radius, bucket_limit, last), schema)
-
-    tables = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("v"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for v, m in enumerate(MASKS[radius]) if v]))
-    rows = reps.select("fp", "rep", tables.alias("t")).select("t.v", "t.key", "fp", "rep")
-    first = written(dealt(rows, F.col("key"), False), "simhash-buckets")
-    edges = first.filter("a is not null").select("a", "b")
-    large = first.filter("a is null")
-    if large.limit(1).count():  # deal the large buckets out by the bits that their rows do not share
-        finer = F.lit(None).cast("array<struct<w:long,key:string>>")
-        for v, m in enumerate(MASKS[radius]):
-            if v:
-                more = covering_masks(radius, ~m & ((1 << BITS) - 1))
-                finer = F.when(F.col("v") == v, F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.concat_ws(":", F.lit(w), F.col("fp").bitwiseAND(F.lit(signed(m | k)))).alias("key")) for w, k in enumerate(more)])).otherwise(finer)
-        second = large.select("v", "fp", "rep", F.explode(finer).alias("t")).select("v", F.xxhash64("t.key").alias("key"), "fp", "rep")
-        edges = edges.unionByName(dealt(second, F.col("key"), True).filter("a is not null").select("a", "b"))
-    return edges
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    tables = F.explode(F.array(*[F.lit(signed(m)) for m in covering_masks(radius)]))
+    rows = reps.select("fp", "rep", tables.alias("shared")).select("shared", F.col("fp").bitwiseAND(F.col("shared")).alias("key"), "fp", "rep")
+    edges = None
+    while True:
+        placed = rows.repartition(partitions(spark), "shared", "key").sortWithinPartitions("shared", "key", "fp")
+        done = written(placed.mapInArrow(lambda it: _buckets(it, radius, bucket_limit), "a long, b long, shared long, fp long, rep long"), "simhash-buckets")
+        found = done.filter("a is not null").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        large = done.filter("a is null")
+        if not large.limit(1).count():
+            return edges
+        # buckets of several tables can share the same bits: they are one bucket
+        rows = large.select("shared", "fp", "rep").mapInArrow(lambda it: _deal(it, radius), "shared long, key long, fp long, rep long").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` reaches, by alternating stars.
 
-    Each round links every node to the least of its neighbourhood; the number of rounds is logarithmic in
-    the longest path. Rows are distinct edges, so a hub is joined, never gathered in one row.
+    Each round links every node to the least of its neighbourhood, until nothing changes; the number of
+    rounds is logarithmic in the longest path. Rows are distinct edges, so a hub is joined, never gathered
+    in one row.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -245,9 +245,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = checkpointed(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: int = 4, bucket_limit: int = BUCKET_LIMIT, jaccard: float | None = None) -> DataFrame:
@@ -256,19 +255,19 @@ def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: in
     With ``jaccard``, documents whose five-word shingles are at least so similar are linked as well.
     """
     fps = written((fingerprints if jaccard is None else sketches)(docs, words_each, seed), "simhash")
-    rep = F.coalesce(F.min("doc_id"), F.lit(NULL_ID))
-    # rows that share a doc_id are one node, whatever their texts
-    reps = fps.groupBy("fp").agg(rep.alias("rep"))
-    edges = links(reps, radius, bucket_limit)
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    nodes = reps.select("fp", F.col("fp").alias("rep"))
+    edges = links(nodes, radius, bucket_limit)
     if jaccard is not None:
-        edges = edges.unionByName(near_jaccard.links(fps, reps, components, jaccard))
-    same_id = fps.filter("doc_id is not null").join(reps, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi and doc_id is not null").select("doc_id")
-    edges = edges.unionByName(same_id.join(repeated, same_id["a"] == repeated["doc_id"], "left_semi"))
+        edges = edges.unionByName(near_jaccard.links(fps, nodes, components, jaccard))
+    # rows that share a doc_id are linked as one, whatever their texts
+    repeated = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    edges = edges.unionByName(fps.join(repeated, "doc_id").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")))
     found = components(edges)
-    labels = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    out = fps.join(labels, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") == NULL_ID, F.lit(None)).otherwise(F.col("c")).cast("long").alias("component_id"))
+    labels = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = labels.groupBy("c").agg(F.min("least").alias("component_id"))
+    out = fps.select("doc_id", "fp").join(labels.join(named, "c").select("fp", "component_id"), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -277,20 +276,20 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Which of several rows with the kept doc_id stays: the one with the smallest text. Rows without a
     doc_id stay only in groups that have no doc_id at all, one for each fingerprint.
     """
-    groups = near_groups(docs, **options)
-    named = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    kept = rows.join(named.distinct().withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
+    rows, at = positional(docs)
+    plain, id_, text = rows.columns, F.col(at["doc_id"]).cast("long"), F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))
+    groups = written(near_groups(docs, **options), "simhash-groups")
+    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    kept = rows.select("*", id_.alias("id")).join(named, "id", "left_semi")
     several = groups.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if several.limit(1).count():
-        repeated = several.filter("doc_id is not null").select(F.col("doc_id").alias("__id"))
-        first = kept.join(repeated, "__id", "left_semi").groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
+        repeated = several.filter("doc_id is not null").select(F.col("doc_id").alias("id"))
+        first = kept.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct(*plain), text).alias("row"))
         lone = groups.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-        none = docs.filter(F.col("doc_id").isNull())
-        marked = none.withColumn("__fp", fingerprint_of(**{k: v for k, v in options.items() if k in ("words_each", "seed")})(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-        alone = marked.join(lone.withColumnRenamed("fingerprint", "__fp"), "__fp", "left_semi").groupBy("__fp").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("__row"))
-        kept = kept.join(repeated, "__id", "left_anti").select(*docs.columns).unionByName(first.select("__row.*")).unionByName(alone.select("__row.*"))
-    return kept.select(*docs.columns)
+        marked = rows.filter(id_.isNull()).withColumn("fingerprint", fingerprint_of(**{k: v for k, v in options.items() if k in ("words_each", "seed")})(text))
+        alone = marked.join(lone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min_by(F.struct(*plain), text).alias("row"))
+        kept = kept.join(repeated, "id", "left_anti").select(*plain).unionByName(first.select("row.*")).unionByName(alone.select("row.*"))
+    return kept.select(*plain).toDF(*docs.columns)
 
 
 def fingerprint_of(words_each: int = 4, seed: int = 42):

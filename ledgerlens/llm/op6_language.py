@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, positional
 
 UNKNOWN = "und"
 CODES = 64
@@ -206,5 +206,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with a recognised language."""
     model = model or learn(docs)
-    marked = docs.withColumn("__language", predictor(model)(F.col("text").cast("string"))["lang"])
-    return marked.filter(F.col("__language") != UNKNOWN).select(*docs.columns)
+    rows, at = positional(docs)
+    marked = rows.select("*", predictor(model)(F.col(at["text"]).cast("string"))["lang"].alias("language"))
+    return marked.filter(F.col("language") != UNKNOWN).drop("language").toDF(*docs.columns)
