@@ -86,6 +86,28 @@ def test_large_buckets_are_dealt_again(spark):
     assert groups(5) == label
 
 
+def test_dealing_goes_on_until_buckets_fit(spark, monkeypatch):
+    r = random.Random(7)
+    fps = list({sum(1 << b for b in r.sample(range(30), r.randint(0, 5))) for _ in range(400)})
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    rounds, deal = [], op.written
+    monkeypatch.setattr(op, "written", lambda d, n: rounds.append(n) or deal(d, n))
+    comp = {x.node: x.component for x in op.components(op.links(df, 4, 3)).collect()}
+    a = np.array(fps, np.uint64)
+    label = list(range(len(fps)))
+    for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ a[None, :]) <= 4)):
+        x, y = label[i], label[j]
+        if x != y:
+            label = [min(x, y) if z in (x, y) else z for z in label]
+    assert [comp.get(i, i) for i in range(len(fps))] == label and len(rounds) > 2
+
+
+def test_a_long_chain_is_one_component(spark):
+    n = 3000
+    got = op.components(spark.range(n).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert {x.component for x in got} == {0} and len(got) == n
+
+
 def test_forest_splits_exactly(monkeypatch):
     monkeypatch.setattr(op, "DENSE", 8)
     r = random.Random(6)
@@ -99,3 +121,6 @@ def test_empty_and_null_ids(spark):
     assert op.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = op.near_groups(spark.createDataFrame([(None, "a b c d e", ""), (None, None, ""), (3, "a b c d e", "")], SCHEMA)).collect()
     assert sorted((x.doc_id or 0, x.component_id or 0) for x in got) == [(0, 0), (0, 3), (3, 3)]
+    largest = (1 << 63) - 1
+    got = op.near_groups(spark.createDataFrame([(largest, "one two", ""), (None, "one two", "")], SCHEMA)).collect()
+    assert {x.component_id for x in got} == {largest}

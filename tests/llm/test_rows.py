@@ -20,6 +20,7 @@ from ledgerlens.llm import op4_decontaminate as op4
 from ledgerlens.llm import op5_mix as op5
 from ledgerlens.llm import op6_language as op6
 from ledgerlens.llm import op7_exact as op7
+from ledgerlens.llm import op10_simhash as op10
 
 SF = "/root/testdata/sf0.001"
 PAGES = "page_id long, url string, html string, host string, verdict string"
@@ -145,13 +146,58 @@ def test_leaks(spark, block_items):
     assert op4.leaks(df, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_block_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("radius", [0, 3, 17, 20])
+def test_block_index_finds_all_within_the_radius(radius):
     r = random.Random(1)
-    vocabulary = [f"t{i}" for i in range(30)]
-    index = op4.Index([(i, " ".join(r.choice(vocabulary) for _ in range(20))) for i in range(200)], radius=20)
+    sizes = [20] * 150 + [21] * 50
+    fps = np.array([r.getrandbits(64) for _ in sizes], np.uint64)
+    index = op4.HammingIndex(fps, sizes, radius)
+    asked = np.array([int(r.choice(fps)) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, radius + 3))) for _ in range(80)], np.uint64)
+    window, item = index.near(asked, 20)
+    want = {(w, n) for w, x in enumerate(asked) for n in range(150) if (int(x) ^ int(fps[n])).bit_count() <= radius}
+    assert set(zip(window.tolist(), item.tolist())) == want and len(window) == len(want) > 0
+    assert not len(index.near(asked, 22)[0])
+
+
+def edited(r, vocabulary, items):
+    words = r.choice(items)[1].split()
+    for _ in range(r.randint(0, 3)):
+        at, to = sorted((r.randrange(len(words) + 1), r.randrange(len(words) + 1)))
+        kind = r.choice(["change", "insert", "rotate", "move", "drop"])
+        if kind in ("change", "drop"):
+            words[at : at + 1] = [r.choice(vocabulary)] * (kind == "change")
+        elif kind == "insert":
+            words.insert(at, "new")
+        elif kind == "rotate":
+            words = words[at:] + words[:at]
+        else:
+            words = words[:at] + words[to:] + words[at:to]
+    return " ".join([r.choice(vocabulary) for _ in range(r.randint(0, 9))] + words + [r.choice(vocabulary) for _ in range(r.randint(0, 9))])
+
+
+def test_only_windows_that_cannot_pass_are_left_out():
+    r = random.Random(12)
     for _ in range(60):
-        fp = r.choice(index.fingerprints) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 24)))
-        assert index.within(fp, 20) == {n for n, x in enumerate(index.fingerprints) if (x ^ fp).bit_count() <= 20}
+        vocabulary = [f"w{i}" for i in range(r.choice([3, 30, 300]))]
+        items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 5, 9, 25, 59, 59])]
+        every, some = op4.Index(items, prune=False), op4.Index(items)
+        for _ in range(5):
+            text = edited(r, vocabulary, items)
+            assert every.match(text) == some.match(text)
+
+
+def test_the_block_index_decides(monkeypatch):
+    """With an index that finds nothing, no document is contaminated; with one that finds all, what brute force finds."""
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(30))) for i in range(5)]
+    texts = [edited(r, vocabulary, items) for _ in range(60)]
+    want = [brute_leaks([(0, t)], items) for t in texts]
+    as_set = lambda f: {(0, f is not None, f[0] if f else None, f[2] if f else 0)}
+    assert [as_set(op4.Index(items).match(t)) for t in texts] == want
+    assert [as_set(op4.Index(items, radius=64).match(t)) for t in texts] == want
+    monkeypatch.setattr(op4.HammingIndex, "near", lambda self, fps, size: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not any(op4.Index(items).match(t) for t in texts)
 
 
 # mixing -----------------------------------------------------------------------------------------------
@@ -219,6 +265,36 @@ def test_exact(spark):
     assert len(got) == 4 and sum(x.kept for x in got) == 1 and {x.group_size for x in got} == {4}
 
 
+def test_the_filter_decides(spark, monkeypatch):
+    """A filter that wrongly says no leaves copies apart; one that wrongly says yes changes nothing."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}", "", "", 0, "", "") for i in range(200)], DOCS)
+    right = {tuple(x) for x in op7.exact_groups(docs).collect()}
+    real = op7.screen
+    monkeypatch.setattr(op7, "screen", lambda batch, filters: real(batch, filters).withColumn("maybe", F.lit(True)))
+    assert {tuple(x) for x in op7.exact_groups(docs).collect()} == right
+    monkeypatch.setattr(op7, "screen", lambda batch, filters: real(batch, filters).withColumn("maybe", F.lit(False)))
+    assert {tuple(x) for x in op7.exact_groups(docs).collect()} != right
+
+
+def test_exact_with_many_nameless_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "same", "d", 1) for _ in range(60)] + [((1 << 63) - 1, "same ", "d", 1), (-(1 << 63), "other", "d", 1)], "doc_id long, text string, digest string, best long")
+    got = op7.exact_groups(docs, 3).collect()
+    assert sum(x.kept for x in got) == 2 and {(x.keep_id, x.group_size) for x in got} == {((1 << 63) - 1, 61), (-(1 << 63), 1)}
+
+
+def test_no_column_of_the_users_is_touched(spark):
+    names = ["__language", "__leak0", "__id", "__fp", "__row", "leak", "language", "id", "c0", "c1", "fingerprint"]
+    rows = [(i, t, "en", "s", *["mine"] * len(names)) for i, t in enumerate(["the cat and the dog", "the cat and the dog", "of the and in"])]
+    rows += [(1, "again the same id", "en", "s", *["mine"] * len(names)), (None, "no id at all here", "en", "s", *["mine"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "of the and in", "x")], "item_id long, text string, leak string")
+    for out in (op6.keep(docs), op4.clean(docs, bench), op10.keep_first(docs), op10.keep_first(docs, jaccard=0.8), op5.mixed_rows(docs)):
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(x[n] == "mine" for x in kept for n in names)
+    assert op4.leaks(docs, bench).filter("contaminated").count() == 1
+
+
 def test_filters_have_no_false_negatives():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 10, 100, 1000, 30_000):
