@@ -7,15 +7,20 @@ A  per document group: distinct anchor hashes, dealt out to hash buckets (6 byte
 B  per bucket: which hashes occur in two documents or more -> a bit mask back to each group
 C  per group: suffixes at the surviving anchors as a sorted, front-coded run per bucket
 D  per bucket: a loser tree merges the runs; the cached common prefixes (from front coding and from
-   lost matches) decide most matches, and bytes below a known prefix are never compared again. The
-   merged order gives for each window the smallest document that has it -> a verdict per group
+   lost matches) decide most matches, and bytes below a known prefix are never compared again. The same
+   prefixes cut the merged order into the stretches that share a window, and these give for each window the
+   smallest document that has it -> a verdict per group
 E  per group: bytes covered by windows of smaller documents are removed
 
-The text is shuffled once (by group; the exchange is reused by A, C and E), runs hold a repeated
-suffix once per group however often it occurs, and nothing is collected to the driver.
+The text is shuffled once (by group; the exchange is reused by A, C and E, which find the anchors anew rather
+than move them), runs hold a repeated suffix once per group however often it occurs, and nothing is collected
+to the driver. Groups and buckets grow in number with the bytes of the table, and go to four times as many
+partitions, so that few partitions get several of them. A document, and the distinct contexts of one 24-gram,
+are held by one task.
 
-Nulls and empty texts have nothing to remove. A null doc_id counts as smaller than all others. Rows
-that share a doc_id are one document for the comparison and give one result row each.
+Nulls and empty texts have nothing to remove. A null doc_id counts as smaller than all others (and as the
+smallest long). Rows that share a doc_id are one document for the comparison and give one result row each.
+Only doc_id and text are read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,11 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, n_groups, partitions, text_bytes
+from .common import id_text, n_groups, text_bytes
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 CHUNK = 1 << 19
+FLUSH = 1 << 16  # suffixes judged at once, up to the end of a 24-gram
 STOP = b"\xff"  # never part of UTF-8
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -228,71 +234,99 @@ def merge(runs: list[Iterator[tuple[int, bytes, int]]]) -> Iterator[tuple[int, b
             node >>= 1
 
 
-def window_minima(keys: list[bytes], docs: list[int]) -> list[list[int]]:
-    """For each suffix of one anchor gram and each of its windows, the least document that has the window."""
-    parts = [k.split(STOP) for k in keys]
-    texts = [left[::-1] + right for right, left in parts]
-    lefts = [len(left) for _, left in parts]
-    out = [[0] * (len(t) - LENGTH + 1) for t in texts]
-    for offset in range(WINDOW):
-        least: dict[bytes, int] = {}
-        use = [(i, lefts[i] - offset) for i in range(len(keys)) if 0 <= lefts[i] - offset < len(out[i])]
-        for i, j in use:
-            w = texts[i][j : j + LENGTH]
-            if docs[i] < least.get(w, 1 << 63):
-                least[w] = docs[i]
-        for i, j in use:
-            out[i][j] = least[texts[i][j : j + LENGTH]]
-    return out
+def window_minima(keys: list[bytes], shared: list[int], docs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes in merged order: how many pieces each has, their lengths in windows, the least document of each.
+
+    ``shared``: the prefix that a suffix shares with the one before, as the merge found it. A window that
+    starts ``o`` bytes before the anchor is equal for two suffixes if they share LENGTH - o bytes after the
+    anchor and o bytes before it. The first are neighbours in the merged order with no smaller ``shared``
+    between them; the others are so in the order of what comes before the anchor. Each window start thus
+    cuts both orders into stretches, and a pair of stretches is one window.
+    """
+    n, many = len(keys), LENGTH - GRAM + 1
+    data = np.frombuffer(b"".join(keys), np.uint8)
+    size = np.fromiter(map(len, keys), np.int64, n)
+    end = np.cumsum(size)
+    right = np.flatnonzero(data == STOP[0]) - (end - size)
+    left = size - right - 1
+    before = np.full((n, 32), STOP[0], np.uint8)
+    row = np.repeat(np.arange(n), left)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(left) - left, left)
+    before[row, at] = data[np.repeat(end - left, left) + at]
+    lcp, least = np.array(shared, np.int64), np.array(docs, np.int64)
+    new_block = lcp < GRAM
+    new_block[0] = True
+    block = np.cumsum(new_block)
+    order = np.lexsort((*before.view(">u8").astype(np.uint64).T[::-1], block))
+    ranked = before[order]
+    differs = ranked[1:] != ranked[:-1]
+    same = np.zeros(n, np.int64)
+    same[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), many)
+    same[1:][block[order][1:] != block[order][:-1]] = -1
+    same[0] = -1
+    found = np.empty((many, n), np.int64)  # by offset, largest first: the order of window starts
+    valid = np.empty((many, n), bool)
+    for j in range(many):
+        o = many - 1 - j
+        valid[j] = (left >= o) & (right >= LENGTH - o)
+        by_left = np.empty(n, np.int64)
+        by_left[order] = np.cumsum(same < o)
+        use = np.flatnonzero(valid[j])
+        pair = np.cumsum(new_block | (lcp < LENGTH - o))[use] * (n + 1) + by_left[use]
+        place = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(pair[place]) != 0))) if len(use) else place
+        if len(use):
+            found[j, use[place]] = np.repeat(np.minimum.reduceat(least[use[place]], first), np.diff(np.concatenate((first, [len(use)]))))
+    key, j = np.nonzero(valid.T)
+    doc = found[j, key]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+    first = np.flatnonzero(new)
+    return np.bincount(key[first], minlength=n), np.diff(np.concatenate((first, [len(key)]))), doc[first]
 
 
 def judge(runs: list[bytes]) -> list[bytes]:
     """Merge the runs of a bucket; per run, for each of its suffixes (count, least document) pairs over its windows."""
-    counts: list[list[int]] = [[] for _ in runs]
-    pieces: list[list[int]] = [[] for _ in runs]
-    docs: list[list[int]] = [[] for _ in runs]
+    counts: list[list[np.ndarray]] = [[] for _ in runs]
+    pieces: list[list[np.ndarray]] = [[] for _ in runs]
+    docs: list[list[np.ndarray]] = [[] for _ in runs]
     keys: list[bytes] = []
+    shared: list[int] = []
     least: list[int] = []
-    members: list[tuple[int, int]] = []
+    owner: list[int] = []
+    number: list[int] = []
 
     def flush() -> None:
         if not keys:
             return
-        if len(keys) == 1:
-            k = keys[0]
-            found = [[(len(k) - 1 - LENGTH + 1, least[0])]]
-        else:
-            found = []
-            for row in window_minima(keys, least):
-                own: list[tuple[int, int]] = []
-                for d in row:
-                    if own and own[-1][1] == d:
-                        own[-1] = (own[-1][0] + 1, d)
-                    else:
-                        own.append((1, d))
-                found.append(own)
-        for run, i in members:
-            own = found[i]
-            counts[run].append(len(own))
-            for c, d in own:
-                pieces[run].append(c)
-                docs[run].append(d)
-        keys.clear()
-        least.clear()
-        members.clear()
+        n, size, doc = window_minima(keys, shared, least)
+        start = np.cumsum(n) - n
+        run = np.array(owner)
+        order = np.argsort(run, kind="stable")
+        own = np.array(number)[order]
+        for part, r in zip(np.split(own, np.flatnonzero(np.diff(run[order])) + 1), np.unique(run).tolist(), strict=True):
+            m = n[part]
+            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[part], m)
+            counts[r].append(m)
+            pieces[r].append(size[at])
+            docs[r].append(doc[at])
+        for held in (keys, shared, least, owner, number):
+            held.clear()
 
     for lcp, key, d, run in merge([read_run(x) for x in runs]):
         if keys and lcp == len(key) == len(keys[-1]):
             least[-1] = min(least[-1], d)
         else:
-            if lcp < GRAM:
+            if lcp < GRAM and len(keys) >= FLUSH:
                 flush()
             keys.append(key)
+            shared.append(lcp)
             least.append(d)
-        members.append((run, len(keys) - 1))
+        owner.append(run)
+        number.append(len(keys) - 1)
     flush()
     pack = zstandard.ZstdCompressor(level=1).compress
-    return [pack(struct.pack("<II", len(c), len(p)) + np.array(c, np.uint8).tobytes() + np.array(p, np.uint8).tobytes() + np.array(d, "<i8").tobytes()) for c, p, d in zip(counts, pieces, docs, strict=True)]
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return [pack(struct.pack("<II", len(c), len(p)) + c.astype(np.uint8).tobytes() + p.astype(np.uint8).tobytes() + d.astype("<i8").tobytes()) for c, p, d in zip(map(joined, counts), map(joined, pieces), map(joined, docs), strict=True)]
 
 
 def read_verdict(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,9 +356,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     ``removed``: the removed runs as little-endian (start, end) pairs of unsigned 64-bit byte offsets.
     """
-    groups = n_groups(docs)
-    buckets = 2 * partitions(docs.sparkSession)
-    texts = id_text(docs).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    groups = buckets = n_groups(docs)
+    parts = 4 * groups
+    spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    texts = id_text(docs).withColumn("g", F.pmod(spread, F.lit(groups))).repartition(parts, "g")
     schemas = [_arrow(x) for x in (A_SCHEMA, B_SCHEMA, C_SCHEMA, D_SCHEMA, E_SCHEMA)]
 
     def distinct(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -411,8 +446,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         return _table(schemas[4], rows)
 
     by_group = texts.groupBy("g")
-    masks = by_group.applyInArrow(distinct, A_SCHEMA).groupBy("bucket").applyInArrow(screen, B_SCHEMA)
-    merged = by_group.cogroup(masks.groupBy("g")).applyInArrow(runs, C_SCHEMA).groupBy("bucket").applyInArrow(verdicts, D_SCHEMA)
+    seen = by_group.applyInArrow(distinct, A_SCHEMA).repartition(parts, "bucket")
+    masks = seen.groupBy("bucket").applyInArrow(screen, B_SCHEMA).repartition(parts, "g")
+    sorted_ = by_group.cogroup(masks.groupBy("g")).applyInArrow(runs, C_SCHEMA).repartition(parts, "bucket")
+    merged = sorted_.groupBy("bucket").applyInArrow(verdicts, D_SCHEMA).repartition(parts, "g")
     return by_group.cogroup(merged.groupBy("g")).applyInArrow(remove, E_SCHEMA)
 
 
