@@ -43,7 +43,7 @@ def rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def brute_scores(rows, damping=0.85, rounds=12):
+def brute_scores(rows, damping=0.85, rounds=300):
     hosts, edges = {}, Counter()
     for _, url, html, *_ in rows:
         host, path = parts(url)
@@ -83,7 +83,7 @@ def brute_pages(rows):
     for page, url, *_ in rows:
         host, path = parts(url)
         r, v = rule(host, path)
-        t, d = round(trust[host], 9), round(distrust[host], 9)
+        t, d = round(trust[host], 4), round(distrust[host], 4)
         out.append((page, host, path, r, v or ("block" if d > 0 and d > t else "allow")))
     return sorted(out, key=repr)
 
@@ -101,6 +101,31 @@ def test_urls(spark):
     assert op2.url_verdicts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_a_long_chain_of_links_settles(spark):
+    """Sixteen hosts in a row lead to a blocked one; the far end has a page that a rule allows."""
+    rows = [(0, "http://x.com/de/1", "", "", "")] + [(i, f"http://h{i}.net/", f"<a href='http://{'x.com' if i == 1 else f'h{i - 1}.net'}/'>", "", "") for i in range(1, 17)] + [(50, "http://far.org/", "<a href='http://h16.net/'>", "", "")]
+    got = op2.url_verdicts(spark.createDataFrame(rows, PAGES)).collect()
+    trust, distrust = brute_scores(rows)
+    assert all(abs(x.trust - trust[x.host]) < 2e-4 and abs(x.distrust - distrust[x.host]) < 2e-4 for x in got)
+    assert sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in got), key=repr) == brute_pages(rows)
+    assert all(x.trust > 0 and x.distrust > 0 for x in got)
+
+
+def test_the_sql_propagates_the_same(spark):
+    import duckdb
+
+    r = random.Random(5)
+    hosts = ["a.com", "x.example.org", "example.org", "c.net", "d.net", "e.net", "f.net"]
+    rows = [(i, f"http://{r.choice(hosts)}{r.choice(['/', '/fr/1', '/de/2', '/es/'])}", " ".join(f'<a href="https://{r.choice(hosts)}/z">' for _ in range(r.randint(0, 2))), "", "") for i in range(60)]
+    pages = spark.createDataFrame(rows, PAGES).drop("host", "verdict")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.sql(op2.url_sql()).fetchall()
+    got = [tuple(x) for x in op2.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust").collect()]
+    key = lambda x: (*map(str, x[:5]), round(x[5], 3), round(x[6], 3))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({x[4] for x in got}) == 2
+
+
 # decontamination --------------------------------------------------------------------------------------
 
 
