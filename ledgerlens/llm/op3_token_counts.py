@@ -7,10 +7,13 @@ The normalised content is the text itself with null as empty: anything more woul
 version is the digest of the tokenizer's bytes, so a changed file never meets old counts.
 
 The library encodes each distinct piece between safe cuts once per worker: before a single space with
-non-space characters on both sides, where the byte-level split pattern always starts anew.
+non-space characters on both sides, where the byte-level split pattern always starts anew. A worker takes
+about SLICE characters at once (a longer text in stretches between cuts) and remembers pieces of up to
+MEMO_LENGTH characters, MEMO_PIECES of them, so its memory has a bound unless one piece alone exceeds it.
 
-Nulls are empty texts with no tokens. doc_id is carried, never compared: null or repeated ids give one
-row each.
+Nulls are empty texts with no tokens. doc_id is carried, and compared only to find one row of each missing
+digest: null or repeated ids give one row each. Only doc_id and text are read, so other columns may have any
+name; an empty table gives no rows and an empty cache.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from pathlib import Path
 
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import id_text, written
 from .pieces import Pieces
 
-MEMO_PIECES = 400_000
+MEMO_PIECES, MEMO_LENGTH = 400_000, 64
+SLICE = 1 << 21
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -41,19 +45,27 @@ def version_of(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def stretches(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in stretches of about ``size`` characters that begin at safe cuts."""
+    at = 0
+    while len(text) - at > size and (cut := CUT.search(text, at + size - 1)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class Counter:
     """Counts tokens of whole texts, with remembered pieces."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.known: dict[str, int] = {}
-        self.pieces = CUT.split
+        self.cuts = False
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.sizes = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-            self.pieces = None  # its merges may cross spaces
+            self.sizes = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]  # its merges may cross spaces
         else:
             from tokenizers import Tokenizer
 
@@ -62,33 +74,62 @@ class Counter:
             if setup.get("normalizer") is None and setup.get("pre_tokenizer") == BYTE_LEVEL and setup["model"]["type"] == "BPE":
                 parts: dict = {}
                 model = Pieces(path, words=False)
+                self.cuts = True
 
                 def sizes(texts: list[str]) -> list[int]:
                     if len(parts) > MEMO_PIECES:
                         parts.clear()
-                    return [len(x) // 4 for x in model.encode(texts, parts)]
+                    return [len(x) // 4 for x in model.encode(texts, parts, MEMO_LENGTH)]
 
                 self.sizes = sizes
             else:
                 self.sizes = lambda texts: [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-                self.pieces = None
-
-    def count(self, texts: list[str]) -> list[int]:
-        if self.pieces is None:
-            return self.sizes(texts)
-        known, split = self.known, []
-        for t in texts:
-            parts = self.pieces(t)
-            split.append(parts)
-        first = [p[0] for p in split]
+
+    def count(self, texts: Iterable[str]) -> list[int]:
+        """Tokens of each text, a slice at a time."""
+        out: list[int] = []
+        held: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def close() -> None:
+            for i, n in zip(owner, self._count(held), strict=True):
+                out[i] += n
+            held.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            out.append(0)
+            for part in stretches(text) if self.cuts else (text,):
+                held.append(part)
+                owner.append(i)
+                size += len(part) + 256
+                if size > SLICE:
+                    close()
+                    size = 0
+        close()
+        return out
+
+    def _count(self, texts: list[str]) -> list[int]:
+        if not self.cuts:
+            return self.sizes(texts) if texts else []
+        # a stretch that begins at a cut begins with its space, and so has no other cut there
+        split = [CUT.split(t) for t in texts]
+        first = {p[0] for p in split}
         rest = set().union(*(p[1:] for p in split))
-        if len(known) + len(rest) + len(first) > MEMO_PIECES:
-            known.clear()
-        new = [x for x in {*first, *(" " + x for x in rest)} if x not in known]
+        if len(self.known) > MEMO_PIECES:
+            self.known.clear()
+        known = self.known
+        all_ = first | {" " + x for x in rest}
+        new = [x for x in all_ if x not in known]
+        long = {}
         for s in range(0, len(new), 4096):
-            known.update(zip(new[s : s + 4096], self.sizes(new[s : s + 4096]), strict=True))
-        spaced = {x: known[" " + x] for x in rest}
-        return [known[p[0]] + sum(map(spaced.__getitem__, p[1:])) for p in split]
+            part = new[s : s + 4096]
+            for x, n in zip(part, self.sizes(part), strict=True):
+                (known if len(x) <= MEMO_LENGTH else long)[x] = n
+        count = lambda x: long[x] if len(x) > MEMO_LENGTH else known[x]
+        spaced = {x: count(" " + x) for x in rest}
+        return [count(p[0]) + sum(map(spaced.__getitem__, p[1:])) for p in split]
 
 
 @cache
@@ -102,9 +143,7 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
         for batch in batches:
-            counts: list[int] = []
-            for s in range(0, batch.num_rows, 256):
-                counts += counter.count(batch["text"].slice(s, 256).to_pylist())
+            counts = counter.count(x.as_py() for x in batch["text"])
             yield pa.record_batch([batch["digest"], pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")

@@ -15,15 +15,20 @@ File layout, little-endian:
 Each block subtracts its minimum and packs the low ``width`` bits; ``width`` is what holds the
 ``percentile`` share of its values. Values above keep their high bits in the block's exception list.
 
+Texts are encoded in slices of SLICE bytes, a longer text in parts that end at white space (or one word), so
+what a worker holds is bounded by that, by ``file_tokens`` and by its longest document.
+
 A null text is empty and has the end id alone. A null doc_id sorts before all others; rows that share a
-doc_id stay next to each other, in the order of their texts.
+doc_id stay next to each other, in the order of their texts. Only doc_id and text are read, so other columns
+may have any name; an empty table has no files.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -31,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, text_bytes, written
+from .common import id_text, partitions, written
 from .pieces import Pieces
 
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_TOKENS = 1 << 20
 MEMO_WORDS, WIDE = 1_000_000, 24
+SLICE = 1 << 19
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 HEAD = struct.Struct("<4sHHQQQ")
 
 
@@ -103,8 +110,44 @@ class Words:
             todo, slot = todo[left], (slot[left] + 1) & (self.SLOTS - 1)
         return rows
 
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
+    def encode(self, texts: Iterable[bytes], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end id; holds a slice of texts, or of one text, at a time."""
+        end = np.array([end_id], np.uint32)
+        held: list[bytes] = []
+        closes: list[bool] = []
+        whole: list[np.ndarray] = []
+        size = 0
+
+        def close() -> Iterator[np.ndarray]:
+            for ids, last in zip(self._encode(held), closes, strict=True):
+                whole.append(ids)
+                if last:
+                    yield np.concatenate((*whole, end))
+                    whole.clear()
+            held.clear()
+            closes.clear()
+
+        for text in texts:
+            at = 0
+            while True:
+                to = len(text)
+                if to - at > SLICE:  # no word goes on across white space
+                    gap = GAP.search(text, at + SLICE)
+                    to = gap.start() if gap else to
+                held.append(text[at:to])
+                closes.append(to == len(text))
+                size += to - at + 1
+                at = to
+                if size > SLICE:
+                    yield from close()
+                    size = 0
+                if at == len(text):
+                    break
+        if held:
+            yield from close()
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         data = b"".join([(t if b"<|" in t else t.lower()) + b" " for t in texts])  # ASCII letters alone change
         raw = np.frombuffer(data + b" " * WIDE, np.uint8)
         word = ~SPACES[raw]
@@ -145,8 +188,7 @@ class Words:
         ends = np.cumsum(count)
         out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)]
         cuts = np.concatenate(([0], ends))[last].tolist()
-        end = np.array([end_id], np.uint32)
-        return [np.concatenate((out[a:b], end)) for a, b in zip([0, *cuts], cuts, strict=False)]
+        return [out[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @cache
@@ -284,15 +326,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, percenti
             return pa.record_batch([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([write_file(held_docs, held, percentile)], pa.binary())], ["part", "file", "before", "n_ids", "payload"])
 
         for batch in batches:
-            for s in range(0, batch.num_rows, 200):
-                piece = batch.slice(s, 200)
-                for doc, ids in zip(piece["doc_id"].to_pylist(), words.encode(text_bytes(piece["text"]), end_id), strict=True):
-                    if held and size + len(ids) > file_tokens:
-                        yield out()
-                        held_docs, held, size, number, before = [], [], 0, number + 1, before + size
-                    held_docs.append(doc)
-                    held.append(ids)
-                    size += len(ids)
+            texts = (x.as_py() for x in batch["text"].cast(pa.binary()))
+            for doc, ids in zip(batch["doc_id"].to_pylist(), words.encode(texts, end_id), strict=True):
+                if held and size + len(ids) > file_tokens:
+                    yield out()
+                    held_docs, held, size, number, before = [], [], 0, number + 1, before + size
+                held_docs.append(doc)
+                held.append(ids)
+                size += len(ids)
         if held:
             yield out()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import ChainMap
 from collections.abc import Iterable
 
 import numpy as np
@@ -93,8 +94,8 @@ class Pieces:
                 total += len(ids[-1])
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), start, count
 
-    def encode(self, chunks: Iterable[str], known: dict[str, bytes]) -> list[bytes]:
-        """Ids of each chunk, as little-endian u32; ``known`` holds pieces seen before and is added to."""
+    def encode(self, chunks: Iterable[str], known: dict[str, bytes], longest: int = 1 << 30) -> list[bytes]:
+        """Ids of each chunk, as little-endian u32; ``known`` holds pieces seen before, and gets new ones of up to ``longest``."""
         chunks = list(chunks)
         every = "".join(chunks)
         all_simple = SIMPLE.fullmatch(every) is not None and "<|" not in every
@@ -110,5 +111,9 @@ class Pieces:
         odd = [c for c, p in zip(chunks, split, strict=True) if p is None]
         whole = iter([np.array(e.ids, "<u4").tobytes() for s in range(0, len(odd), 1024) for e in self.whole.encode_batch_fast(odd[s : s + 1024], add_special_tokens=False)])
         new = list({x for p in split if p for x in p}.difference(known))
-        known.update(zip(new, self.ids_of_pieces(new), strict=True))
+        brief = [x for x in new if len(x) <= longest]
+        known.update(zip(brief, self.ids_of_pieces(brief), strict=True))
+        if len(brief) < len(new):
+            long = [x for x in new if len(x) > longest]
+            known = ChainMap(dict(zip(long, self.ids_of_pieces(long), strict=True)), known)
         return [next(whole) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]

@@ -88,10 +88,38 @@ def test_words_forget_and_relearn(monkeypatch):
     words = op8.Words(path)
     for _ in range(40):
         texts = ["".join(r.choice(["a", "Be", "é", "ß", "!", " ", "\n", "x" * 30, "日本", "<|endoftext|>", "'s", "\x00"]) for _ in range(r.randint(0, 30))) for _ in range(6)]
-        got = words.encode([t.encode() for t in texts], 1)
+        got = list(words.encode([t.encode() for t in texts], 1))
         assert [g.tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_slices_change_nothing(monkeypatch):
+    """Long texts in parts, with and without white space, at sizes that cut everywhere."""
+    r = random.Random(6)
+    alphabet = ["a", "Be", "é", " ", "  ", "\n", "x" * 30, "日本", "<|endoftext|>", "'s", "word", " the"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 400))) for _ in range(25)] + ["", " ", "x" * 3000, "日本" * 900, "a b " * 2000]
+    monkeypatch.setattr(op3, "SLICE", 300)
+    monkeypatch.setattr(op3.stretches, "__defaults__", (100,))
+    monkeypatch.setattr(op8, "SLICE", 100)
+    monkeypatch.setattr(op3, "MEMO_PIECES", 50)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counter = op3.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert counter.count(texts) == [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(x) <= op3.MEMO_LENGTH for x in counter.known)
+    assert all("".join(op3.stretches(t)) == t for t in texts)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = op8.Words(public_tokenizers.path("word_bpe_49k.json")).encode((t.encode() for t in texts), 1)
+    assert [g.tolist() for g in got] == [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_with_clashing_columns_and_long_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["word " * 60_000, "x" * 20_000, "", None, "a b"]
+    df = spark.createDataFrame([(i, t, "mine", 1) for i, t in enumerate(texts)], "doc_id long, text string, digest string, n_tokens long")
+    got = {x.doc_id: x.n_tokens for x in op3.token_counts(df, path, str(tmp_path / "c")).collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_token_files_edges(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     files = op8.write_tokens(spark.createDataFrame([(2, "b", "", ""), (None, "a", "", ""), (2, "a", "", ""), (1, None, "", "")], SCHEMA), path)
