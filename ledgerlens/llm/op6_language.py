@@ -1,17 +1,18 @@
 """Language ID with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A trigram binds its letters: the first rotated twice, the
-second once, the third as it is, multiplied. A document bundles (adds) its trigrams' vectors, a language
-bundles the documents it learned from, each scaled to length one. The language with the highest cosine
-wins; ties go to the first name. The vectors depend on ``seed`` alone.
+Each letter has a random vector of +1 and -1, made from a hash of the seed and its code point, so that every
+letter of every script has its own. A trigram binds its letters: the first rotated twice, the second once,
+the third as it is, multiplied. A document bundles (adds) its trigrams' vectors, a language bundles the
+documents it learned from, each scaled to length one. The language with the highest cosine wins; ties go to
+the first name. The vectors depend on ``seed`` alone.
 
-Letters are lower-cased; everything else separates words. Letters outside a-z share 37 vectors by code
-point, so any script has a defined profile. Learning reads the documents with crc32(doc_id as text)
-mod 3 other than 1 and a language, about ``per_lang`` of each language, chosen by a hash of doc_id:
-their counts alone go to the driver, at most 2^18 sums for each language.
+Letters are lower-cased; everything else separates words (and takes part in trigrams as one sign). Learning
+reads the documents with crc32(doc_id as text) mod 3 other than 1 and a language, about ``per_lang`` of each
+language, chosen by a hash of doc_id: one row of ``dimensions`` sums for each language goes to the driver.
 
 A null text, or one without letters, is ``und`` with score 0, as is everything if nothing was learned. A
-null doc_id is not held out and teaches nothing. Rows that share a doc_id give one row each.
+null doc_id is not held out and teaches nothing. Rows that share a doc_id give one row each. Long texts are
+taken in pieces of PIECE characters. Other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,55 +29,84 @@ from pyspark.sql import functions as F
 from .common import id_text, positional
 
 UNKNOWN = "und"
-CODES = 64
 DIMENSIONS = 1024
 PER_LANG = 3000
 SEED = 20
 PIECE, SLICE = 1 << 19, 256  # characters and texts at once
+WIDTH = 21  # bits of a code point
 
 
 @cache
-def letter_codes() -> np.ndarray:
-    """Code of each code point: 0 no letter, 1-26 a-z, 27-63 the other letters."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.int64)
-    table[letters] = 27 + letters * 2654435761 % (1 << 32) % 37
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-@cache
-def letter_vectors(seed: int, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vectors of the codes at the three places of a trigram."""
-    v = np.random.default_rng(seed).integers(0, 2, (CODES, dimensions), np.int8) * np.int8(2) - np.int8(1)
-    return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
+def letter_vectors(points: np.ndarray, seed: int, dimensions: int) -> np.ndarray:
+    """A row of +1 and -1 for each code point (0: no letter); 64 of them from each hash."""
+    words = -(-dimensions // 64)
+    h = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(words, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return bits[:, :dimensions].astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def trigram_vectors(trigrams: np.ndarray, seed: int, dimensions: int) -> np.ndarray:
-    first, second, third = letter_vectors(seed, dimensions)
-    return first[trigrams >> 12] * second[trigrams >> 6 & 63] * third[trigrams & 63]
+    parts = np.stack([trigrams >> 2 * WIDTH, trigrams >> WIDTH & (1 << WIDTH) - 1, trigrams & (1 << WIDTH) - 1])
+    points, at = np.unique(parts, return_inverse=True)
+    v = letter_vectors(points, seed, dimensions)
+    first, second, third = at.reshape(3, -1)
+    return np.roll(v, 2, axis=1)[first] * np.roll(v, 1, axis=1)[second] * v[third]
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(texts, pieces) of PIECE characters or so together; a piece has the sign before and after it at its ends."""
+    owner: list[int] = []
+    part: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        t = t.lower()
+        for s in range(0, len(t), PIECE):
+            owner.append(i)
+            part.append((t[s - 1] if s else " ") + t[s : s + PIECE] + (t[s + PIECE] if s + PIECE < len(t) else " "))
+            size += len(part[-1])
+            if size >= PIECE:
+                yield owner, part
+                owner, part, size = [], [], 0
+    if owner:
+        yield owner, part
 
 
 def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigram, count) in order of text, and whether each text has letters."""
+    """(text, trigram, count) in order of text, and whether each text has letters.
+
+    A trigram is three code points in one number, 0 for what is no letter; the middle one is a letter. A
+    text of several pieces may have a trigram more than once.
+    """
     out = []
     has = np.zeros(len(texts), bool)
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < PIECE):
-            size += len(texts[to]) + 2
-            to += 1
-        part = [t.lower() for t in texts[at:to]]
-        points = np.frombuffer(("  ".join(part) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.concatenate(([0], letter_codes()[points], [0])).astype(np.int64)
-        middle = np.flatnonzero(codes[1:-1])
-        owner = np.repeat(np.arange(len(part)), [len(t) + 2 for t in part])[middle]
-        key = np.sort(owner << 18 | codes[middle] << 12 | codes[middle + 1] << 6 | codes[middle + 2])
-        has[at + np.unique(key >> 18)] = True
+    for owner, part in _pieces(texts):
+        points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(letters()[points], points, 0)
+        met = np.zeros(0x110000, bool)
+        met[points] = True
+        met[0] = True
+        present = np.flatnonzero(met)
+        short = np.zeros(0x110000, np.int64)
+        short[present] = np.arange(len(present))
+        codes, bits = short[points], max(1, int(len(present) - 1).bit_length())
+        sizes = np.array([len(p) for p in part])
+        inner = codes > 0
+        inner[np.cumsum(sizes) - 1] = inner[np.cumsum(sizes) - sizes] = False
+        middle = np.flatnonzero(inner)
+        key = np.sort(np.repeat(owner, sizes)[middle] << 3 * bits | codes[middle - 1] << 2 * bits | codes[middle] << bits | codes[middle + 1])
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        out.append(((key[first] >> 18) + at, key[first] & (1 << 18) - 1, np.diff(np.concatenate((first, [len(key)])))))
-        at = to
+        own, low = key[first], (1 << bits) - 1
+        has[np.unique(own >> 3 * bits)] = True
+        tri = present[own >> 2 * bits & low] << 2 * WIDTH | present[own >> bits & low] << WIDTH | present[own & low]
+        out.append((own >> 3 * bits, tri, np.diff(np.concatenate((first, [len(key)])))))
     doc, tri, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
     return doc, tri, n, has
 
@@ -84,38 +114,51 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Profiles:
     """Bundles documents; holds the vectors of the trigrams met."""
 
-    LIMIT = 30_000
+    LIMIT, STEP = 30_000, 4096
 
     def __init__(self, seed: int, dimensions: int) -> None:
         self.seed, self.dimensions = seed, dimensions
+        self.vectors = np.zeros((self.LIMIT, dimensions), np.int8)
         self.forget()
 
     def forget(self) -> None:
-        self.place = np.full(1 << 18, -1, np.int64)
-        self.vectors = np.zeros((0, self.dimensions), np.int8)
+        self.keys = self.place = np.zeros(0, np.int64)
 
     def rows(self, trigrams: np.ndarray) -> np.ndarray:
-        new = np.unique(trigrams[self.place[trigrams] < 0])
+        """The rows of distinct trigrams, at most STEP of them."""
+        at = np.searchsorted(self.keys, trigrams)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            new = trigrams[self.keys[near] != trigrams]
+        else:
+            new = trigrams
         if len(new):
-            if len(self.vectors) + len(new) > self.LIMIT and len(self.vectors):
+            if len(self.keys) + len(new) > self.LIMIT:
                 self.forget()
                 return self.rows(trigrams)
-            self.place[new] = len(self.vectors) + np.arange(len(new))
-            self.vectors = np.concatenate((self.vectors, trigram_vectors(new, self.seed, self.dimensions)))
-        return self.place[trigrams]
+            to = len(self.keys) + np.arange(len(new))
+            self.vectors[to] = trigram_vectors(new, self.seed, self.dimensions)
+            keys, place = np.concatenate((self.keys, new)), np.concatenate((self.place, to))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.place = keys[order], place[order]
+            at = np.searchsorted(self.keys, trigrams)
+        return self.place[at]
 
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of the texts scaled to length one, and whether they have letters."""
         doc, tri, n, has = trigram_counts(texts)
-        out = np.zeros((len(texts), self.dimensions), np.float32)
+        out = np.zeros((len(texts), self.dimensions), np.float64)
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         for i in np.flatnonzero(has).tolist():
-            s, e = cut[i], cut[i + 1]
-            for k in range(s, e, 4096):
-                own = self.rows(tri[k : min(k + 4096, e)])
-                out[i] += n[k : min(k + 4096, e)].astype(np.float32) @ self.vectors[own].astype(np.float32)
+            for s in range(cut[i], cut[i + 1], self.STEP):
+                e = min(s + self.STEP, cut[i + 1])
+                own, many = tri[s:e], n[s:e]
+                if (own[1:] <= own[:-1]).any():  # the end of one piece and the start of the next
+                    own, at = np.unique(own, return_inverse=True)
+                    many = np.bincount(at, many)
+                out[i] += many.astype(np.float32) @ self.vectors[self.rows(own)].astype(np.float32)
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size > 0, size, 1), has
+        return (out / np.where(size > 0, size, 1)).astype(np.float32), has
 
 
 @dataclass(frozen=True)

@@ -186,17 +186,59 @@ def test_structures_are_confirmed(spark):
     assert op9.scan(df.limit(0)).count() == 0
 
 
-def test_trigrams_by_hand():
+def plain_vector(text, seed=op6.SEED, dimensions=op6.DIMENSIONS):
+    """A document's bundle, letter by letter."""
+    points = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    letter = {p: op6.letter_vectors(np.array([p]), seed, dimensions)[0].astype(float) for p in set(points)}
+    out = np.zeros(dimensions)
+    for x, y, z in zip(points, points[1:], points[2:]):
+        if y:
+            out += np.roll(letter[x], 2) * np.roll(letter[y], 1) * letter[z]
+    return out / n if (n := np.linalg.norm(out)) else out
+
+
+def test_trigrams_by_hand(monkeypatch):
     doc, tri, n, has = op6.trigram_counts(["Ab ab", "", "1 2", "a"])
-    a, b = 1, 2
+    a, b, w = ord("a"), ord("b"), op6.WIDTH
     assert has.tolist() == [True, False, False, True]
-    assert sorted(zip(doc.tolist(), tri.tolist(), n.tolist())) == sorted([(0, a << 6 | b, 2), (0, a << 12 | b << 6, 2), (3, a << 6, 1)])
-    text = "the end of the day"
-    v = op6.letter_vectors(1, 64)[2]
-    codes = [0, *(int(op6.letter_codes()[ord(c)]) for c in text), 0]
-    want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z].astype(int) for x, y, z in zip(codes, codes[1:], codes[2:]) if y)
-    got, _ = op6.Profiles(1, 64).bundle([text])
-    assert np.allclose(got[0], want / np.linalg.norm(want), atol=1e-6)
+    assert sorted(zip(doc.tolist(), tri.tolist(), n.tolist())) == sorted([(0, a << w | b, 2), (0, a << 2 * w | b << w, 2), (3, a << w, 1)])
+    texts = ["the end of the day", "Ünder ß, ελληνικά και русский 日本語 текст عربى", "", "?", "a" * 700, "x y " * 300]
+    monkeypatch.setattr(op6, "PIECE", 50)
+    monkeypatch.setattr(op6.Profiles, "LIMIT", 60)
+    monkeypatch.setattr(op6.Profiles, "STEP", 16)
+    got, has = op6.Profiles(op6.SEED, op6.DIMENSIONS).bundle(texts)
+    assert has.tolist() == [True, True, False, False, True, True]
+    assert np.allclose(got, [plain_vector(t) for t in texts], atol=1e-5)
+
+
+def test_letters_of_other_scripts_differ():
+    points = np.array([ord(c) for c in "aeαеاע日本語한éèřđ"])
+    v = op6.letter_vectors(points, 20, 1024).astype(int)
+    assert np.abs(v @ v.T - 1024 * np.eye(len(points))).max() < 200
+
+
+def test_every_row_against_a_plain_version(spark):
+    """Learning and prediction of the whole query, document by document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(x.doc_id, x.text, x.lang) for x in docs.collect()] + [(10**6, None, "en"), (10**6 + 1, "", None), (10**6 + 2, "… 12", "de"), (10**6 + 3, "Ελλάδα και γλώσσα", "el"), (10**6 + 5, "γλώσσα της Ελλάδας", "el")]
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d, *_ in rows}
+    sums = {}
+    for d, t, lang in rows:
+        if not held[d] and lang is not None and t is not None:
+            sums[lang] = sums.get(lang, 0) + plain_vector(t)
+    languages = sorted(sums)
+    prototypes = [sums[x] / (np.linalg.norm(sums[x]) or 1) for x in languages]
+    got = {x.doc_id: x for x in op6.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        v = plain_vector(t or "")
+        cosines = [float(v @ p) for p in prototypes]
+        assert got[d].held_out == held[d]
+        if not any(v):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        assert abs(got[d].score - max(cosines)) < 1e-3
+        assert max(cosines) - cosines[languages.index(got[d].lang_pred)] < 1e-4
 
 
 def test_language_accuracy_on_held_out_documents(spark):
