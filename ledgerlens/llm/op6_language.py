@@ -17,7 +17,8 @@ taken in pieces of PIECE characters. Other columns may have any name; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -32,6 +33,7 @@ UNKNOWN = "und"
 DIMENSIONS = 1024
 PER_LANG = 3000
 SEED = 20
+NOISE, ENOUGH = 3.0, 40
 PIECE, SLICE = 1 << 19, 256  # characters and texts at once
 WIDTH = 21  # bits of a code point
 
@@ -246,9 +248,21 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows and columns of ``docs`` with a recognised language."""
+def keep(docs: DataFrame, model: Model | None = None, languages: Collection[str] | None = None, noise: float = NOISE, letters_needed: int = ENOUGH) -> DataFrame:
+    """The rows and columns of ``docs`` in a recognised language, one of ``languages`` if these are given.
+
+    Without letters no language is recognised. The cosine of unrelated vectors has a standard deviation of
+    1 / sqrt(dimensions), so a text of ``letters_needed`` letters or more that is no nearer to any prototype
+    than ``noise`` of these is in none of the learned languages. Shorter texts get the benefit of the doubt.
+    """
     model = model or learn(docs)
     rows, at = positional(docs)
-    marked = rows.select("*", predictor(model)(F.col(at["text"]).cast("string"))["lang"].alias("language"))
-    return marked.filter(F.col("language") != UNKNOWN).drop("language").toDF(*docs.columns)
+    text = F.col(at["text"]).cast("string")
+    marked = rows.select("*", predictor(model)(text).alias("p"))
+    good = F.col("p.lang") != UNKNOWN
+    if model.languages:
+        strange = (F.col("p.score") < noise / math.sqrt(model.dimensions)) & (F.char_length(text) >= letters_needed) & (F.char_length(F.regexp_replace(text, r"\P{L}", "")) >= letters_needed)
+        good &= ~strange
+    if languages is not None:
+        good &= F.col("p.lang").isin(*languages)
+    return marked.filter(good).drop("p").toDF(*docs.columns)

@@ -5,12 +5,18 @@ prove by parsing; a span is reported only if its structure holds:
 
     token  header.payload[.signature] in base64url whose header is a JSON object with a text "alg"
     der    base64 or hex that decodes to a DER SEQUENCE whose nested lengths add up exactly and whose
-           fields are those of an RSA, EC or PKCS#8 private key
-    armor  BEGIN ... PRIVATE KEY lines around base64 that decodes to such a key, or to the magic and
-           nested length-prefixed fields of the OpenSSH key encoding
+           fields are those of an RSA, DSA, EC, PKCS#8 or encrypted PKCS#8 private key
+    armor  BEGIN ... PRIVATE KEY lines around base64 that decodes to such a key, to the magic and nested
+           length-prefixed fields of the OpenSSH key encoding, or, below headers that name the cipher and
+           its start vector, to whole blocks of that cipher
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. doc_id is carried, never
-compared; each row gives one row.
+The length in a DER key's first bytes says how much base64 it takes, so a key is found behind other base64
+characters and over line ends (plain, or written as \\n), with or without armor. It has to end where the
+base64 does.
+
+Offsets are code points, ends exclusive. Null and empty texts have no spans. Long texts are searched as they
+are. doc_id is carried, never compared: each row gives one row, repeated rows alike. Only doc_id and text are
+read, so other columns may have any name; spans that begin together are ordered by kind.
 """
 
 from __future__ import annotations
@@ -32,10 +38,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # the same runs as with +, where all shorter ones are dropped
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+HEADER = re.compile(r"e[yw][A-Za-z0-9_-]{2,}(?=\.)")
+AFTER = re.compile(r"\.([A-Za-z0-9_-]+)(?:\.([A-Za-z0-9_-]*))?")
+KEY_START = re.compile(r"M(?:[A-H]|I[E-L])[A-Za-z0-9+/]{14,}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]+")
+LINE_END = re.compile(r"[ \t]*(?:(?:\\r)?\\n|\r?\n)[ \t]*")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----", re.ASCII)
+ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----END ))*)-----END \1PRIVATE KEY-----", re.ASCII)
+HEADERS = re.compile(r"(?:[ \t]*[A-Za-z-]+: [^\n]*\n)+\s*\n")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]+)\s")
+#: The object identifiers of password-based encryption in PKCS#5 and PKCS#12.
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def der(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, object]] | None:
@@ -68,7 +81,7 @@ def der(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, objec
 
 
 def private_key(data: bytes) -> str | None:
-    """rsa, ec or pkcs8 if the whole of ``data`` is such a key encoding."""
+    """rsa, dsa, ec, pkcs8 or encrypted if the whole of ``data`` is such a key encoding."""
     if len(data) < 24 or data[0] != 0x30:
         return None
     tree = der(data, 0, len(data))
@@ -76,11 +89,15 @@ def private_key(data: bytes) -> str | None:
         return None
     fields = tree[0][1]
     tags = [t for t, _ in fields]
+    if tags == [0x30, 4] and fields[0][1] and fields[0][1][0][0] == 6 and fields[0][1][0][1].startswith(ENCRYPTION):
+        return "encrypted"
     if tags[:1] != [2]:
         return None
     version = fields[0][1]
     if version in (b"\0", b"\1") and len(tags) >= 9 and set(tags[:9]) == {2}:
         return "rsa"
+    if version == b"\0" and tags == [2] * 6 and len(fields[1][1]) >= 64 and len(fields[2][1]) >= 20:
+        return "dsa"
     if version == b"\1" and tags[1:2] == [4] and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return "ec"
     if version in (b"\0", b"\1") and tags[1:3] == [0x30, 4] and fields[1][1] and fields[1][1][0][0] == 6:
@@ -88,6 +105,50 @@ def private_key(data: bytes) -> str | None:
     return None
 
 
+def key_size(head: bytes) -> int:
+    """Bytes of the DER value that begins with ``head``; 0 if it cannot be a private key."""
+    n = head[1] & 127 if head[1] >= 128 else 0
+    if head[0] != 0x30 or n > 4 or head[1] == 128:
+        return 0
+    size = int.from_bytes(head[2 : 2 + n], "big") if n else head[1]
+    return 2 + n + size if head[2 + n] in (2, 0x30) else 0
+
+
+def key_at(text: str, start: int) -> int:
+    """The end of the base64 private key that begins at ``start``, line ends inside it or not; 0 if there is none."""
+    wanted = -(-key_size(base64.b64decode(text[start : start + 12])) * 4 // 3)
+    parts: list[str] = []
+    at, have = start, 0
+    while have < wanted:
+        run = BASE64.match(text, at)
+        if not run:
+            return 0
+        parts.append(run[0])
+        have, at = have + len(run[0]), run.end()
+        if have < wanted:
+            gap = LINE_END.match(text, at)
+            if not gap:
+                return 0
+            at = gap.end()
+    if not wanted or have > wanted:
+        return 0
+    data = unbase64("".join(parts))
+    if not data or not private_key(data):
+        return 0
+    return at + len(text[at : at + 2]) - len(text[at : at + 2].lstrip("="))
+
+
+def armored(headers: str, body: str) -> bool:
+    """Whether what stands between the armor lines is a key."""
+    data = unbase64(re.sub(r"\\[rn]|\s", "", body))
+    if not data:
+        return False
+    if "ENCRYPTED" in headers:
+        cipher = CIPHER.search(headers)
+        return bool(cipher) and len(cipher[1]) in (16, 32) and len(data) % (len(cipher[1]) // 2) == 0
+    return bool(private_key(data) or openssh_key(data))
+
+
 def openssh_key(data: bytes) -> bool:
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
@@ -117,17 +178,28 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def signed_token(text: str) -> bool:
-    head, payload, *rest = text.split(".")
-    data = unbase64(head.replace("-", "+").replace("_", "/"))
+def signed_header(text: str) -> str | None:
+    """The "alg" of a token's header."""
+    data = unbase64(text.replace("-", "+").replace("_", "/"))
     if data is None or data[:1] != b"{":
-        return False
+        return None
     try:
         header = json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    body = unbase64(payload.replace("-", "+").replace("_", "/"))
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and body is not None and (header["alg"] == "none" or bool(rest and rest[0]))
+        return None
+    return header["alg"] if isinstance(header, dict) and isinstance(header.get("alg"), str) else None
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of signed tokens, leftmost first, also behind other base64url characters."""
+    at = 0
+    while (m := HEADER.search(text, at)) is not None:
+        at = m.start() + 2
+        if (after := AFTER.match(text, m.end())) is None or (alg := signed_header(m[0])) is None:
+            continue
+        if unbase64(after[1].replace("-", "+").replace("_", "/")) is not None and (alg == "none" or after[2]):
+            yield m.start(), after.end()
+            at = after.end()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -142,18 +214,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def keys(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of base64 private keys outside of armor, leftmost first."""
+    at = 0
+    while (m := KEY_START.search(text, at)) is not None:
+        at = m.start() + 1
+        if inside := [e for s, _, e in taken if s <= m.start() < e]:
+            at = max(inside)
+        elif end := key_at(text, m.start()):
+            yield m.start(), end
+            at = end
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what parses as a signed token or a key."""
     out = []
-    if "ey" in text or "ew" in text:  # base64 of '{"' and of '{' before white space
-        out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if m[0].startswith(("ey", "ew")) and signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in ARMOR.finditer(text):
-            data = unbase64(re.sub(r"\s", "", m[2]))
-            if data and (private_key(data) or openssh_key(data)):
+            headers = found[0] if (found := HEADERS.match(m[2].lstrip())) else ""
+            if armored(headers, m[2].lstrip()[len(headers) :]):
                 out.append((m.start(), 5, m.end()))
-    # a DER key starts with SEQUENCE: "M" in base64, "30" in hex
-    out += [(m.start(), 4, m.end()) for m in BASE64.finditer(text) if m[0][0] == "M" and (data := unbase64(m[0])) and private_key(data)]
+    out += [(s, 4, e) for s, e in keys(text, out)]
+    if "ey" in text or "ew" in text:  # base64 of '{"' and of '{' before white space
+        out += [(s, 3, e) for s, e in tokens(text)]
     for m in LONG_HEX.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
             out.append((m.start(), 4, m.end()))
