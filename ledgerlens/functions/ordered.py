@@ -1,23 +1,20 @@
 """Running values over one global order without a single-partition window.
 
-Rows are range-partitioned by the order and pinned by a checkpoint; each partition runs its own window,
+Rows are range-partitioned by the order and pinned; each partition runs its own window,
 and the partitions' totals (one number each) come back as a broadcast prefix.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-    return df.checkpoint()
+    """A written table in the shared folder: computed once (a checkpoint computes twice), and without lineage."""
+    return written(df, "pinned")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -50,3 +47,18 @@ def numbered(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy("__part", by).agg(F.count("*").alias("n")).select("__part", by, F.coalesce(before, F.lit(0)).alias("__before"))
     return local.join(starts, ["__part", by]).withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")
+
+
+def followed(df: DataFrame, by: list[str], order: str, columns: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: a struct of ``columns`` of the next row of its ``by`` in the order of ``order``; null at the end.
+
+    Ranges of rows are solved on their own, however few groups there are; the last row of a group in a range
+    meets the group's first row in a later one.
+    """
+    rows = pinned(df.repartitionByRange(shuffle_partitions(df.sparkSession), order).withColumn("__part", F.spark_partition_id()))
+    local = rows.withColumn(out, F.lead(F.struct(*columns)).over(Window.partitionBy("__part", *by).orderBy(order)))
+    firsts = rows.groupBy("__part", *by).agg(F.min(F.struct(F.col(order).alias("__at"), F.struct(*columns).alias("__row"))).alias("__first"))
+    carried = firsts.select("__part", *[F.col(c).alias(f"__{c}") for c in by], F.lead("__first.__row").over(Window.partitionBy(*by).orderBy("__part")).alias("__next"))
+    same = [F.col("at.__part") == F.col("next.__part"), *[F.col(f"at.{c}").eqNullSafe(F.col(f"next.__{c}")) for c in by]]
+    last = local.filter(F.col(out).isNull()).drop(out).alias("at").join(carried.alias("next"), same, "left").select("at.*", F.col("next.__next").alias(out))
+    return local.filter(F.col(out).isNotNull()).unionByName(last).drop("__part")
