@@ -37,16 +37,21 @@ def running_max(df: DataFrame, order: list[str], value: str, out: str, strictly_
     return local.join(prefix, "__part").withColumn(out, F.greatest("__local", "__before")).drop("__part", "__local", "__before")
 
 
-def numbered(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
-    """``df`` with ``out``: 1, 2, ... within each ``by`` in the order of ``order``, which begins with ``by``.
+def running_sum(df: DataFrame, by: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of its ``by`` up to this one, by ``order``, which begins with ``by``.
 
-    Ranges of rows are numbered on their own; the counts (one for each range and ``by``) give what comes before.
+    Ranges of rows are summed on their own; the totals (one for each range and ``by``) give what comes before.
     """
     rows = pinned(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()))
-    local = rows.withColumn(out, F.row_number().over(Window.partitionBy("__part", by).orderBy(*order)))
+    local = rows.withColumn("__local", F.sum(value).over(Window.partitionBy("__part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     before = F.sum("n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy("__part", by).agg(F.count("*").alias("n")).select("__part", by, F.coalesce(before, F.lit(0)).alias("__before"))
-    return local.join(starts, ["__part", by]).withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")
+    starts = rows.groupBy("__part", by).agg(F.sum(value).alias("n")).select("__part", by, F.coalesce(before, F.lit(0)).alias("__before"))
+    return local.join(starts, ["__part", by]).withColumn(out, F.col("__local") + F.col("__before")).drop("__part", "__before", "__local")
+
+
+def numbered(df: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... within each ``by`` in the order of ``order``, which begins with ``by``."""
+    return running_sum(df.withColumn("__one", F.lit(1).cast("long")), by, order, "__one", out).drop("__one")
 
 
 def followed(df: DataFrame, by: list[str], order: str, columns: list[str], out: str) -> DataFrame:

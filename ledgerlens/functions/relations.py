@@ -14,6 +14,7 @@ DATA = ANY_WW | ANY_WR
 PRIORITY = {
     "list": (WW, WR, RW, WWP, WRP, RWP, REALTIME, PROCESS),
     "register": (WR, WW, RW, WWP, WRP, RWP, REALTIME, PROCESS),
+    "monotonic": (WW, WR, RW, WWP, WRP, RWP, REALTIME, PROCESS),
     "predicate": (WW, WWP, WR, WRP, RW, RWP, REALTIME, PROCESS),
 }
 

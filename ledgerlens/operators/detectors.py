@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import is_prefix, last_or_null, matches
+from ..functions.expressions import is_prefix, last_or_null
+from ..functions.ordered import pinned
+from .edges import matching_versions
 from .txn import element_frequencies, failed_writes, intermediate_writes
+from .validate import require_none
 from .versions import list_versions, list_writers, observed_lists
 
 
@@ -79,6 +82,11 @@ def incompatible_order(mops: DataFrame) -> DataFrame:
     return bad.groupBy("k").agg(F.min(F.struct(F.size("a").alias("n"), "a", "b")).alias("m")).select("k", "m.a", "m.b")
 
 
+def require_total_order(mops: DataFrame) -> None:
+    """Raises if some key's reads have no common order (V9)."""
+    require_none(incompatible_order(mops), "no-total-state-order")
+
+
 def duplicate_elements(mops: DataFrame) -> DataFrame:
     """Elements that occur more than once in one read."""
     reads = mops.filter("f = 'r' and type in ('ok', 'info') and vs is not null").filter(F.size("vs") != F.size(F.array_distinct("vs")))
@@ -93,13 +101,15 @@ def future_read(mops: DataFrame) -> DataFrame:
     return rows.groupBy("index").agg(F.min(F.struct("mop_idx", "read_at", "k", "v")).alias("m")).select("index", F.col("m.read_at").alias("mop_idx"), F.col("m.mop_idx").alias("append_at"), "m.k", "m.v")
 
 
-def dirty_update(mops: DataFrame) -> DataFrame:
+def dirty_update(mops: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """Committed appends on top of an aborted one, with no committed element between (A10).
 
     (k, fail_pos, ok_pos, fail_writer, ok_writer, values): from the first aborted element since the last
-    committed one; elements of unknown outcome change nothing.
+    committed one; elements of unknown outcome change nothing. Elements that nobody appended are no part of
+    it (``validate.garbage_elements`` has them).
     """
-    order = list_versions(mops).join(list_writers(mops, "ok", "info", "fail"), ["k", "v"])
+    order = (list_versions(mops) if order is None else order).join(list_writers(mops, "ok", "info", "fail"), ["k", "v"])
+    order = pinned(order)
     before = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = order.withColumn("last_ok", F.coalesce(F.max(F.when(F.col("writer_type") == "ok", F.col("pos"))).over(before), F.lit(-1)))
     island = Window.partitionBy("k", "last_ok")
@@ -110,24 +120,35 @@ def dirty_update(mops: DataFrame) -> DataFrame:
 
 
 def lost_update(mops: DataFrame, read_version: str = "v") -> DataFrame:
-    """(k, v, n, txns): versions from which several committed transactions went on to write.
+    """(k, v, n, first_txn, last_txn): versions from which several committed transactions went on to write.
 
     The first read of a key counts, and a write of the key after it. ``read_version`` is an expression of
-    the version read: v for registers, the spelled list for lists; null is a version too.
+    the version read: v for registers, the spelled list for lists; null is a version too. All transactions
+    of a case are in ``lost_update_txns``.
     """
+    return _updates(mops, read_version).groupBy("k", "v").agg(F.count("*").alias("n"), F.min("index").alias("first_txn"), F.max("index").alias("last_txn")).filter("n >= 2")
+
+
+def _updates(mops: DataFrame, read_version: str) -> DataFrame:
+    """(k, v, index): the version that each committed transaction read of a key and then wrote over."""
     rows = mops.filter("type = 'ok' and k is not null")
     reads = rows.filter("f = 'r'").groupBy("index", "k").agg(F.min(F.struct("mop_idx", F.expr(read_version).alias("v"))).alias("r"))
     writes = rows.filter("f in ('append', 'w', 'insert', 'delete')").groupBy("index", "k").agg(F.max("mop_idx").alias("w"))
-    both = reads.join(writes, ["index", "k"]).filter("w > r.mop_idx")
-    return both.groupBy("k", F.col("r.v").alias("v")).agg(F.count("*").alias("n"), F.min("index").alias("first_txn"), F.max("index").alias("last_txn")).filter("n >= 2")
+    return reads.join(writes, ["index", "k"]).filter("w > r.mop_idx").select("k", F.col("r.v").alias("v"), "index")
+
+
+def lost_update_txns(mops: DataFrame, read_version: str = "v") -> DataFrame:
+    """(k, v, n, index): a row for each transaction of a lost update, however many there are."""
+    rows, cases = _updates(mops, read_version).alias("u"), lost_update(mops, read_version).alias("l")
+    return rows.join(cases, (F.col("u.k") == F.col("l.k")) & F.col("u.v").eqNullSafe(F.col("l.v"))).select("u.k", "u.v", "n", "index")
 
 
 def predicate_read_miss(mops: DataFrame, versions: DataFrame) -> DataFrame:
     """(index, mop_idx, k): committed predicate reads without a key whose every version matches.
 
-    Versions are condensed per key and distinct predicate first, so reads never meet single versions.
+    Versions that match are counted for each key and distinct predicate, so reads never meet single versions.
     """
     reads = mops.filter("f = 'rp' and type = 'ok'").select("index", "mop_idx", "pred", F.coalesce(F.map_keys("seen"), F.array().cast("array<string>")).alias("found"))
-    kinds = reads.select("pred").distinct()
-    always = kinds.crossJoin(versions.select("k", "state", "v")).groupBy("pred", "k").agg(F.bool_and(matches(F.col("pred.kind"), F.col("pred.a"), F.col("pred.b"), F.col("state"), F.col("v"))).alias("always")).filter("always")
+    hits = matching_versions(pinned(reads.select("pred").distinct()), versions).groupBy("pred", "k").agg(F.count("*").alias("hits"))
+    always = hits.join(versions.groupBy("k").agg(F.count("*").alias("all")), "k").filter("hits = all").select("pred", "k")
     return reads.join(always, reads["pred"].eqNullSafe(always["pred"])).filter(~F.array_contains("found", F.col("k"))).select("index", "mop_idx", "k")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import relations as rel
 from ..functions.expressions import matches
-from ..functions.ordered import running_max
+from ..functions.ordered import followed, pinned, running_max
 from .versions import list_readers, list_writers, navigated, previous_elements, resolved_reads
 
 FACTS = "src long, dst long, rel int, k string, v1 long, v2 long, a_mop int, b_mop int"
@@ -40,30 +40,32 @@ def edge_union(facts: DataFrame) -> DataFrame:
 # lists -----------------------------------------------------------------------------------------------
 
 
-def list_ww(mops: DataFrame) -> DataFrame:
-    """Who appended the element before -> who appended."""
-    prev = previous_elements(mops).filter("prev is not null")
-    w = list_writers(mops).select("k", F.col("v").alias("prev"), F.col("writer").alias("src"), F.col("mop").alias("a_mop"))
+def list_ww(mops: DataFrame, previous: DataFrame | None = None, writers: DataFrame | None = None) -> DataFrame:
+    """Who appended the element before -> who appended (E1). ``previous`` and ``writers`` are made of ``mops`` if not given."""
+    prev = (previous_elements(mops) if previous is None else previous).filter("prev is not null")
+    w = (list_writers(mops) if writers is None else writers).select("k", F.col("v").alias("prev"), F.col("writer").alias("src"), F.col("mop").alias("a_mop"))
     return _facts(prev.join(w, ["k", "prev"]).select("src", F.col("index").alias("dst"), "k", F.col("prev").alias("v1"), F.col("v").alias("v2"), "a_mop", F.col("mop_idx").alias("b_mop")), rel.WW)
 
 
-def list_wr(mops: DataFrame) -> DataFrame:
+def list_wr(mops: DataFrame, readers: DataFrame | None = None, writers: DataFrame | None = None) -> DataFrame:
     """Who appended the last element read -> who read it."""
-    w = list_writers(mops).select("k", "v", F.col("writer").alias("src"), F.col("mop").alias("a_mop"))
-    r = list_readers(mops).filter("v is not null").select("k", "v", F.col("reader").alias("dst"), F.col("mop").alias("b_mop"))
+    w = (list_writers(mops) if writers is None else writers).select("k", "v", F.col("writer").alias("src"), F.col("mop").alias("a_mop"))
+    r = (list_readers(mops) if readers is None else readers).filter("v is not null").select("k", "v", F.col("reader").alias("dst"), F.col("mop").alias("b_mop"))
     return _facts(w.join(r, ["k", "v"]).withColumn("v1", F.col("v")), rel.WR)
 
 
-def list_rw(mops: DataFrame) -> DataFrame:
+def list_rw(mops: DataFrame, previous: DataFrame | None = None, readers: DataFrame | None = None) -> DataFrame:
     """Who read the state before an append -> who appended (E3). The initial state is a version like others."""
     init = F.lit(-(1 << 63))  # equi-joins need a value where the initial state is null
-    r = list_readers(mops).select("k", F.coalesce("v", init).alias("prev"), F.col("reader").alias("src"), F.col("mop").alias("a_mop"))
-    a = previous_elements(mops).select("k", F.coalesce("prev", init).alias("prev"), F.col("prev").alias("v1"), F.col("v").alias("v2"), F.col("index").alias("dst"), F.col("mop_idx").alias("b_mop"))
+    r = (list_readers(mops) if readers is None else readers).select("k", F.coalesce("v", init).alias("prev"), F.col("reader").alias("src"), F.col("mop").alias("a_mop"))
+    a = (previous_elements(mops) if previous is None else previous).select("k", F.coalesce("prev", init).alias("prev"), F.col("prev").alias("v1"), F.col("v").alias("v2"), F.col("index").alias("dst"), F.col("mop_idx").alias("b_mop"))
     return _facts(r.join(a, ["k", "prev"]), rel.RW)
 
 
-def list_facts(mops: DataFrame) -> DataFrame:
-    return union(list_ww(mops), list_wr(mops), list_rw(mops))
+def list_facts(mops: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """All three; what they share is made once. ``order``: the version order, if there is one already."""
+    previous, writers, readers = pinned(previous_elements(mops, order)), pinned(list_writers(mops)), pinned(list_readers(mops))
+    return union(list_ww(mops, previous, writers), list_wr(mops, readers, writers), list_rw(mops, previous, readers))
 
 
 # registers -------------------------------------------------------------------------------------------
@@ -108,19 +110,40 @@ def item_reads(mops: DataFrame, versions: DataFrame) -> DataFrame:
     return resolved_reads(mops.filter("f = 'r' and type = 'ok' and k is not null").select("k", "v", "index", "mop_idx"), versions)
 
 
+FEW = 100_000
+
+
+def matching_versions(preds: DataFrame, versions: DataFrame) -> DataFrame:
+    """(pred, k, pos): live versions that match, by joins on the value, or on its remainder for each modulus."""
+    live = versions.filter("state = 'live' and v is not null").select("k", "pos", "v")
+    every = versions.filter("state = 'live'").select("k", "pos").join(F.broadcast(preds.filter("pred.kind = 'true'").select("pred").limit(1)), F.lit(True))  # one row
+    equal = live.join(preds.filter("pred.kind = '='").select("pred", F.col("pred.a").alias("v")), "v").select("k", "pos", "pred")
+    moduli = preds.filter("pred.kind = 'mod' and pred.a <> 0").select(F.col("pred.a").alias("a")).distinct()
+    rests = live.join(moduli, F.lit(True)).select("k", "pos", "a", F.pmod("v", "a").alias("b"))
+    modulo = rests.join(preds.filter("pred.kind = 'mod'").select("pred", F.col("pred.a").alias("a"), F.col("pred.b").alias("b")), ["a", "b"]).select("k", "pos", "pred")
+    return every.select("k", "pos", "pred").unionByName(equal).unionByName(modulo).select("pred", "k", "pos")
+
+
 def version_sets(mops: DataFrame, versions: DataFrame) -> DataFrame:
     """(index, mop_idx, pred, k, pos): the version of each key that a predicate read must have seen.
 
     A key in the result: the version read. A key that is not: its only version that does not match; unborn
-    if all match; unknown (no row) if several do not. Unseen keys are condensed for each distinct predicate.
+    if all match; unknown (no row) if several do not. Unseen keys are condensed for each distinct predicate:
+    versions that match are found by equi-joins, and what does not match is what is left of the key's number
+    and sum of positions. A result row for each read and key is what is asked for.
     """
     reads = mops.filter("f = 'rp' and type = 'ok'").select("index", "mop_idx", "pred", "seen")
     seen = reads.select("index", "mop_idx", "pred", F.explode("seen").alias("k", "v"))
     known = resolved_reads(seen, versions).filter("pos is not null").select("index", "mop_idx", "pred", "k", "pos")
-    hit = matches(F.col("pred.kind"), F.col("pred.a"), F.col("pred.b"), F.col("state"), F.col("v"))
-    by_pred = reads.select("pred").distinct().crossJoin(versions.select("k", "pos", "state", "v"))
-    misses = by_pred.groupBy("pred", "k").agg(F.count(F.when(~hit, 1)).alias("n"), F.max(F.when(~hit, F.col("pos"))).alias("miss"), F.max(F.when(F.col("state") == "unborn", F.col("pos"))).alias("unborn"))
-    only = misses.filter("n <= 1").select(F.col("pred").alias("p"), "k", F.when(F.col("n") == 1, F.col("miss")).otherwise(F.col("unborn")).alias("pos"))
+    preds = pinned(reads.select("pred").distinct())
+    whole = pinned(versions.groupBy("k").agg(F.count("*").alias("all"), F.sum("pos").alias("sum"), F.max(F.when(F.col("state") == "unborn", F.col("pos"))).alias("unborn")))
+    some = pinned(matching_versions(preds, versions).groupBy("pred", "k").agg(F.count("*").alias("hits"), F.sum("pos").alias("hit_sum")))
+    left = F.col("all") - F.col("hits")
+    several = some.join(whole, "k").filter(left <= 1).select("pred", "k", F.when(left == 1, F.col("sum") - F.col("hit_sum")).otherwise(F.col("unborn")).cast("int").alias("pos"))
+    # of keys without a match only those with one version have one miss: a row for each predicate, as each read needs it
+    lone = whole.filter("all = 1").select("k", F.col("sum").cast("int").alias("pos"))
+    none = preds.join(F.broadcast(lone) if lone.count() <= FEW else lone, F.lit(True)).alias("x").join(some.alias("y"), F.col("x.pred").eqNullSafe(F.col("y.pred")) & (F.col("x.k") == F.col("y.k")), "left_anti")
+    only = several.unionByName(none.select("pred", "k", "pos")).withColumnRenamed("pred", "p")
     names = F.coalesce(F.map_keys("seen"), F.array().cast("array<string>"))
     unseen = reads.select("index", "mop_idx", "pred", names.alias("names")).join(only, F.col("pred").eqNullSafe(F.col("p"))).filter(~F.array_contains("names", F.col("k"))).filter("pos is not null")
     return known.unionByName(unseen.select("index", "mop_idx", "pred", "k", "pos"))
@@ -164,8 +187,8 @@ def predicate_facts(mops: DataFrame, versions: DataFrame, vsets: DataFrame, fait
 
 def process_facts(ops: DataFrame) -> DataFrame:
     """Consecutive committed operations of a process."""
-    w = Window.partitionBy("process").orderBy("index")
-    return _facts(ops.filter("type = 'ok'").select(F.col("index").alias("src"), F.lead("index").over(w).alias("dst")).filter("dst is not null"), rel.PROCESS)
+    rows = followed(ops.filter("type = 'ok'").select("index", "process"), ["process"], "index", ["index"], "next")
+    return _facts(rows.filter("next is not null").select(F.col("index").alias("src"), F.col("next.index").alias("dst")), rel.PROCESS)
 
 
 def realtime_facts(spans: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import uniform
+from ..functions.ordered import running_sum
 from ..sources.history import from_rows, mop
 
 
@@ -14,29 +16,37 @@ def register_txns(spark: SparkSession, txns: int, seed: int = 0, key_dist: str =
     """(index, type, process, mop_idx, f, k, v): random reads and writes.
 
     Keys are drawn exponentially (each next slot ``base`` times likelier), uniformly or by Zipf from
-    ``key_count`` live slots. A slot's key retires after ``max_writes_per_key`` writes, and its k-th write
-    has value k, so values are unique for each key. All by hashes of positions: no state, any order.
+    ``key_count`` live slots. A slot's key retires after a number of writes that is drawn anew for each key,
+    up to ``max_writes_per_key`` and inversely likely to its size, and its k-th write has value k, so values
+    are unique for each key. All by hashes of positions: no state, any order.
     """
     slots = key_count or {"exponential": 10, "uniform": 3, "zipf": 10}[key_dist]
-    u = lambda salt: F.pmod(F.xxhash64("index", "mop_idx", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
-    length = F.lit(min_length) + F.pmod(F.xxhash64("index", F.lit(seed), F.lit(3)), F.lit(max_length - min_length + 1)).cast("int")
+    u = lambda *salt: uniform(F.lit(str(seed)), *salt)
+    at = lambda salt: u(F.lit(salt), F.col("index").cast("string"), F.col("mop_idx").cast("string"))
+    length = (F.lit(min_length) + F.floor(u(F.lit("length"), F.col("index").cast("string")) * (max_length - min_length + 1))).cast("int")
     rows = spark.range(txns).select(F.col("id").alias("index")).withColumn("mop_idx", F.explode(F.sequence(F.lit(0), length - 1)))
     if key_dist == "exponential":
-        slot = F.floor(F.log(u(1) * (base**slots - 1) + 1) / F.log(F.lit(base)))
+        slot = F.floor(F.log(at("slot") * (base**slots - 1) + 1) / F.log(F.lit(base)))
     elif key_dist == "uniform":
-        slot = F.floor(u(1) * slots)
+        slot = F.floor(at("slot") * slots)
     else:
         weights = [1 / (i + 1) for i in range(slots)]
-        slot, at = F.lit(slots - 1), 1.0
+        slot, left = F.lit(slots - 1), 1.0
         for i in range(slots - 1, 0, -1):
-            at -= weights[i] / sum(weights)
-            slot = F.when(u(1) < at, i - 1).otherwise(slot)
-    rows = rows.select("index", "mop_idx", F.least(slot.cast("long"), F.lit(slots - 1).cast("long")).alias("slot"), (u(2) < 0.5).alias("writes"))
-    order = Window.partitionBy("slot").orderBy("index", "mop_idx")
-    rows = rows.withColumn("nth", F.sum(F.col("writes").cast("long")).over(order))
-    epoch = F.floor((F.col("nth") - F.col("writes").cast("long")) / max_writes_per_key)
-    value = F.when(F.col("writes"), F.col("nth") - epoch * max_writes_per_key)
-    return rows.select("index", F.lit("invoke").alias("type"), (F.col("index") % 5).alias("process"), "mop_idx", F.when(F.col("writes"), "w").otherwise("r").alias("f"), (F.col("slot") + slots * epoch).cast("string").alias("k"), value.alias("v"))
+            left -= weights[i] / sum(weights)
+            slot = F.when(at("slot") < left, i - 1).otherwise(slot)
+    rows = rows.select("index", "mop_idx", F.least(slot.cast("long"), F.lit(slots - 1).cast("long")).alias("slot"), (at("kind") < 0.5).alias("writes"))
+    rows = rows.withColumn("w", F.col("writes").cast("long"))
+    # a read is of the key that the next write of its slot goes to
+    rows = running_sum(rows, "slot", ["slot", "index", "mop_idx"], "w", "nth").withColumn("place", F.col("nth") - F.col("w"))
+    most = rows.groupBy("slot").agg(F.max("place").alias("most"))
+    drawn = most.select("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("epoch"))
+    size = F.floor(F.pow(F.lit(float(max_writes_per_key + 1)), u(F.lit("writes"), F.col("slot").cast("string"), F.col("epoch").cast("string"))))
+    ends = running_sum(drawn.withColumn("size", F.least(F.greatest(size, F.lit(1)), F.lit(max_writes_per_key)).cast("long")), "slot", ["slot", "epoch"], "size", "end")
+    begin = F.col("end") - F.col("size")
+    places = ends.join(most, "slot").filter(begin <= F.col("most")).select("slot", "epoch", begin.alias("begin"), F.explode(F.sequence(begin, F.col("end") - 1)).alias("place"))
+    rows = rows.join(places, ["slot", "place"])
+    return rows.select("index", F.lit("invoke").alias("type"), (F.col("index") % 5).alias("process"), "mop_idx", F.when(F.col("writes"), "w").otherwise("r").alias("f"), (F.col("slot") + slots * F.col("epoch")).cast("string").alias("k"), F.when(F.col("writes"), F.col("place") - F.col("begin") + 1).alias("v"))
 
 
 def list_txns(spark: SparkSession, txns: int, **options) -> DataFrame:

@@ -14,8 +14,6 @@ from ..functions.ordered import pinned, running_max
 EDGES = "src long, dst long, rels int"
 #: Edges that one task may hold as one group; larger ones are solved by distributed colouring.
 ISLAND_EDGES = 1_000_000
-#: Graphs up to this many edges are one group at once.
-SMALL_EDGES = 20_000
 
 
 # construction and change (G1-G5) ------------------------------------------------------------------------
@@ -30,6 +28,28 @@ def link(edges: DataFrame, pairs: DataFrame, rels: int = 0) -> DataFrame:
     return union(edges, pairs.select("src", "dst", F.lit(rels).alias("rels")))
 
 
+def link_to_all(edges: DataFrame, source: int, targets: DataFrame, rels: int = 0) -> DataFrame:
+    """With one vertex linked to each of ``targets.vertex``."""
+    return link(edges, targets.select(F.lit(source).cast("long").alias("src"), F.col("vertex").alias("dst")), rels)
+
+
+def link_all_to(edges: DataFrame, sources: DataFrame, target: int, rels: int = 0) -> DataFrame:
+    """With each of ``sources.vertex`` linked to one vertex."""
+    return link(edges, sources.select(F.col("vertex").alias("src"), F.lit(target).cast("long").alias("dst")), rels)
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(src, dsts): a row for each vertex with its successors in order, as host structures have them."""
+    return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("dsts"))
+
+
+def to_map(edges: DataFrame, most: int = 1_000_000) -> dict[int, list[int]]:
+    """The graph on the driver; raises if it has more than ``most`` edges."""
+    if edges.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges")
+    return {r.src: list(r.dsts) for r in adjacency(edges).toLocalIterator()}
+
+
 def link_all_to_all(edges: DataFrame, sources: DataFrame, targets: DataFrame, by: list[str], rels: int = 0) -> DataFrame:
     """With every source linked to every target of its group ``by`` (vertex columns src and dst)."""
     return link(edges, sources.join(targets, by).select("src", "dst"), rels)
@@ -205,37 +225,76 @@ def _scc_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vertex": [v for p in parts for v in p], "scc": [p[0] for p in parts for _ in p]}, dtype="int64")
 
 
-def components(edges: DataFrame, island_edges: int = ISLAND_EDGES, small_edges: int = SMALL_EDGES) -> DataFrame:
+def components(edges: DataFrame, island_edges: int = ISLAND_EDGES) -> DataFrame:
     """(vertex, scc) of components with more than one vertex; scc is the smallest of them."""
     schema = "vertex long, scc long"
     rows = pinned(edges.filter("src <> dst").select("src", "dst", "rels"))
-    state = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("dst") < F.col("src"), 1)).alias("back")).first()
-    if not state["back"]:
+    if not rows.filter("dst < src").limit(1).count():
         return edges.sparkSession.createDataFrame([], schema)
-    if state["n"] <= small_edges:
-        return rows.groupBy(F.lit(0).alias("all")).applyInPandas(_scc_group, schema)
     placed = pinned(in_islands(rows, backward_islands(rows)))
-    large = placed.groupBy("island").count().filter(F.col("count") > island_edges).select("island")
+    large = pinned(placed.groupBy("island").count().filter(F.col("count") > island_edges).select("island"))
     found = placed.join(large, "island", "left_anti").groupBy("island").applyInPandas(_scc_group, schema)
     if large.limit(1).count():
         found = found.unionByName(coloured(placed.join(large, "island", "left_semi").select("src", "dst")))
     return found
 
 
-def coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Components by forward colouring and backward search, with joins alone; for islands beyond one task."""
-    left = pinned(edges.select("src", "dst").distinct())
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Without vertices that have no way in or no way out: they are on no cycle."""
+    left, n = edges, edges.count()
+    while n:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = pinned(kept.select("src", "dst"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def without_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between the ends of chains, chains: vertex, start, end).
+
+    A chain vertex has one way in and one way out, and so is in a component if the ends of its chain are in
+    it together. Ends are found by doubling: each round a vertex looks twice as far, so a ring of n vertices
+    takes log2 n rounds. A ring of chain vertices alone keeps its smallest vertex as both ends.
+    """
+    degree = edges.select(F.col("src").alias("vertex"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("vertex"), F.lit(0).alias("o"), F.lit(1).alias("i"))).groupBy("vertex").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    inner = pinned(degree.filter("o = 1 and i = 1").select("vertex"))
+    ahead = edges.join(inner.select(F.col("vertex").alias("src")), "src", "left_semi")
+    stops = F.col("inner").isNull()
+    # at: the vertex looked at; low: the smallest chain vertex passed, itself included; done: at is no chain vertex
+    state = pinned(ahead.join(inner.select(F.col("vertex").alias("dst"), F.lit(1).alias("inner")), "dst", "left").select(F.col("src").alias("vertex"), F.col("dst").alias("at"), F.col("src").alias("low"), F.col("src").alias("last"), stops.alias("done")))
+    reach, n = 1, state.count()
+    while reach <= n and state.filter("not done").limit(1).count():
+        far = state.select(F.col("vertex").alias("at"), F.col("at").alias("far"), F.col("low").alias("far_low"), F.col("last").alias("far_last"), F.col("done").alias("far_done"))
+        open_ = state.filter("not done").join(far, "at").select("vertex", F.col("far").alias("at"), F.least("low", "far_low").alias("low"), F.col("far_last").alias("last"), F.col("far_done").alias("done"))
+        state = pinned(state.filter("done").unionByName(open_))
+        reach *= 2
+    ring = state.filter("not done").select("vertex", F.col("low").alias("start"), F.col("low").alias("end"))
+    # the first vertex of a chain is the one that a vertex outside leads to; its start is that vertex
+    entry = edges.join(inner.select(F.col("vertex").alias("dst")), "dst", "left_semi").join(inner.select(F.col("vertex").alias("src")), "src", "left_anti").select(F.col("dst").alias("vertex"), F.col("src").alias("start"))
+    by_last = entry.join(state.filter("done"), "vertex").select("last", "start")
+    chain = state.filter("done").join(by_last, "last").select("vertex", "start", F.col("at").alias("end"))
+    chains = pinned(chain.unionByName(ring))
+    plain = edges.join(inner.select(F.col("vertex").alias("src")), "src", "left_anti").join(inner.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst")
+    short = plain.union(chains.filter("start <> end").select(F.col("start").alias("src"), F.col("end").alias("dst"))).distinct()
+    return pinned(short), chains
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """Components with joins alone, for islands beyond one task: chains are taken out, the rest is coloured.
+
+    The smallest vertex that reaches each vertex is its colour, and what reaches a colour's own vertex inside
+    the colour is its component; what is left is trimmed and goes on. Spreading a colour takes as many rounds
+    as its path is long, once chains are gone.
+    """
+    left = trimmed(pinned(edges.filter("src <> dst").select("src", "dst").distinct()))
     done = edges.sparkSession.createDataFrame([], "vertex long, scc long")
-    for _ in range(rounds):
-        # vertices without a way in or out are components of their own
-        while True:
-            n = left.count()
-            if not n:
-                return done
-            kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            left = pinned(kept.select("src", "dst"))
-            if left.count() == n:
-                break
+    if not left.limit(1).count():
+        return done
+    left, chains = without_chains(left)
+    while left.limit(1).count():
+        left = trimmed(left.filter("src <> dst"))
         colors = pinned(vertices(left).withColumn("color", F.col("vertex")))
         while True:
             got = left.join(colors.withColumnRenamed("vertex", "src"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.min("color").alias("other"))
@@ -256,7 +315,19 @@ def coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         several = found.groupBy("scc").count().filter("count > 1").select("scc")
         done = pinned(done.unionByName(found.join(several, "scc", "left_semi").select("vertex", "scc")))
         left = pinned(left.join(found.select(F.col("vertex").alias("src")), "src", "left_anti").join(found.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return done
+    return _with_chains(done, chains)
+
+
+def _with_chains(found: DataFrame, chains: DataFrame) -> DataFrame:
+    """Components of the ends of chains with the chains' own vertices, named after their smallest again."""
+    a, b = found.select(F.col("vertex").alias("start"), F.col("scc").alias("s")), found.select(F.col("vertex").alias("end"), F.col("scc").alias("e"))
+    ends = chains.join(a, "start", "left").join(b, "end", "left")
+    # a chain from a vertex back to itself is a component even if that vertex is in no other
+    rows = ends.filter("start = end or s = e").select("vertex", F.coalesce("s", "start").alias("c"))
+    loops = ends.filter("start = end and s is null").select(F.col("start").alias("vertex"), F.col("start").alias("c"))
+    own = found.select("vertex", F.col("scc").alias("c")).unionByName(rows).unionByName(loops).distinct()
+    names = own.groupBy("c").agg(F.min("vertex").alias("scc"), F.count("*").alias("n")).filter("n > 1")
+    return own.join(names, "c").select("vertex", "scc")
 
 
 def component_edges(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import last_or_null
+from ..functions.ordered import pinned
 
 
 # lists -----------------------------------------------------------------------------------------------
@@ -113,16 +114,25 @@ def linearizable_versions(spans: DataFrame, reads: DataFrame, writes: DataFrame)
 def reduced_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Real-time order within each key, reduced: a -> b if a (ok) ended before b began and no ok c fits between.
 
-    ``rows``: keys, inv, comp, type and more columns; the result has keys, a_* and b_*. A key's rows are
-    ordered by a window, and the next ok completion bounds how far each row looks.
+    ``rows``: keys, inv, comp, type and more columns; the result has keys, a_* and b_*. The next ok
+    completion among those that begin after a bounds how far it looks, so the rows that follow a are
+    neighbours in the order of their beginnings: a running count over each key gives the first and the last
+    of them, and a join by number yields the pairs of the result and no others.
     """
-    begin = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marks = rows.filter("type = 'ok'").select(*keys, F.col("inv").alias("at"), F.lit(1).alias("kind"), "comp", F.lit(None).cast("long").alias("a")).unionByName(rows.filter("type = 'ok'").select(*keys, F.col("comp").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("comp"), F.col("comp").alias("a")))
-    bound = marks.withColumn("bound", F.min("comp").over(begin)).filter("kind = 0").select(*keys, "a", "bound")
+    rows = pinned(rows)
+    oks = rows.filter("type = 'ok'")
+    after = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    none = F.lit(None).cast("long")
+    marks = oks.select(*keys, F.col("inv").alias("at"), "comp", none.alias("a")).unionByName(oks.select(*keys, F.col("comp").alias("at"), none.alias("comp"), F.col("comp").alias("a")))
+    bounds = marks.withColumn("bound", F.min("comp").over(after)).filter("a is not null").select(*keys, "a", F.coalesce("bound", F.lit((1 << 63) - 1)).alias("bound"))
+    begun = rows.select(*keys, F.col("inv").alias("at"), F.lit(1).alias("one"), none.alias("lo_of"), none.alias("hi_of"))
+    asked = bounds.select(*keys, F.col("a").alias("at"), F.lit(0).alias("one"), F.col("a").alias("lo_of"), none.alias("hi_of")).unionByName(bounds.select(*keys, F.col("bound").alias("at"), F.lit(0).alias("one"), none.alias("lo_of"), F.col("a").alias("hi_of")))
+    counted = begun.unionByName(asked).withColumn("n", F.sum("one").over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter("one = 0")
+    spans = counted.groupBy(*keys, F.coalesce("lo_of", "hi_of").alias("a_comp")).agg(F.max(F.when(F.col("lo_of").isNotNull(), F.col("n"))).alias("lo"), F.max(F.when(F.col("hi_of").isNotNull(), F.col("n"))).alias("hi")).filter("hi > lo")
     others = [c for c in rows.columns if c not in keys]
-    a = rows.filter("type = 'ok'").join(bound.withColumnRenamed("a", "comp"), [*keys, "comp"]).select(*keys, *[F.col(c).alias(f"a_{c}") for c in others], "bound")
-    b = rows.select(*keys, *[F.col(c).alias(f"b_{c}") for c in others])
-    return a.join(b, keys).filter("a_comp < b_inv and (bound is null or b_inv < bound)").drop("bound")
+    a = oks.select(*keys, *[F.col(c).alias(f"a_{c}") for c in others]).join(spans, [*keys, "a_comp"]).withColumn("rank", F.explode(F.sequence(F.col("lo") + 1, F.col("hi")))).drop("lo", "hi")
+    b = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("inv")).cast("long")).select(*keys, "rank", *[F.col(c).alias(f"b_{c}") for c in others])
+    return a.join(b, [*keys, "rank"]).drop("rank")
 
 
 # predicates: versions (k, pos, state, v, writer, mop) ----------------------------------------------------

@@ -241,8 +241,8 @@ allv AS (SELECT * FROM mops),
 bestall AS (SELECT k, arg_max(vs, (len(vs), vs)) AS vs FROM allv WHERE f = 'r' AND len(vs) > 0 GROUP BY k),
 loneall AS (SELECT k, [max(v)] AS vs FROM allv WHERE f = 'append' AND k NOT IN (SELECT k FROM bestall) GROUP BY k HAVING count(*) = 1),
 versall AS (SELECT k, CAST(unnest(range(len(vs))) AS INT) AS pos, unnest(vs) AS v FROM (SELECT k, list_filter(vs, lambda x, i: list_position(vs, x) = i) AS vs FROM bestall UNION ALL SELECT * FROM loneall)),
-wr AS (SELECT k, v, max(index) AS writer, arg_max(type, index) AS t FROM mops WHERE f = 'append' AND type <> 'invoke' GROUP BY 1, 2),
-walk AS (SELECT k, pos, v, writer, t, coalesce(max(CASE WHEN t = 'ok' THEN pos END) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_ok FROM versall JOIN wr USING (k, v)),
+wrote AS (SELECT k, v, max(index) AS writer, arg_max(type, index) AS t FROM mops WHERE f = 'append' AND type <> 'invoke' GROUP BY 1, 2),
+walk AS (SELECT k, pos, v, writer, t, coalesce(max(CASE WHEN t = 'ok' THEN pos END) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_ok FROM versall JOIN wrote USING (k, v)),
 isl AS (SELECT *, min(CASE WHEN t = 'fail' THEN pos END) OVER (PARTITION BY k, last_ok) AS fail_pos FROM walk),
 dirty AS (SELECT i.k, i.fail_pos, i.pos AS ok_pos, f.writer AS fail_writer, i.writer AS ok_writer FROM isl i JOIN walk f ON f.k = i.k AND f.pos = i.fail_pos WHERE i.t = 'ok' AND i.fail_pos < i.pos)
 """
@@ -456,7 +456,7 @@ def _predicate(sql: str):
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    mops = pinned(synthetic.predicate_history(spark, sf_dir).mops)
+    mops = synthetic.predicate_history(spark, sf_dir).mops
     return mops, pinned(versions.state_versions(mops))
 
 
@@ -535,7 +535,7 @@ def pred_read_miss(spark, sf_dir):
 @_query()
 def predicate_check_summary(spark, sf_dir):
     """The whole closed-predicate check."""
-    result = check.check_closed_predicate(_pinned_history(synthetic.predicate_history(spark, sf_dir)), ["serializable"])
+    result = check.check_closed_predicate(synthetic.predicate_history(spark, sf_dir), ["serializable"])
     return result.summary()
 
 
@@ -592,8 +592,8 @@ def scc_members(spark, sf_dir):
 
 @_query(_REACH + "SELECT * FROM members", recursive=True)
 def scc_members_by_islands(spark, sf_dir):
-    """The way that large graphs take, whatever the size."""
-    return graph.components(_list_edges(spark, sf_dir), small_edges=0)
+    """Islands of over 200 edges take the way of those beyond one task."""
+    return graph.components(_list_edges(spark, sf_dir), island_edges=200)
 
 
 @_query(_REACH + "SELECT * FROM members", recursive=True)
@@ -603,9 +603,9 @@ def scc_members_by_colour(spark, sf_dir):
     return graph.coloured(graph.in_islands(pairs, graph.backward_islands(pairs)))
 
 
-@_query(_LIST_EDGES + ", start AS (SELECT min(src) AS vertex FROM edges), reached AS (SELECT vertex FROM start UNION SELECT dst FROM reached JOIN edges ON src = vertex WHERE dst < 2000) SELECT vertex FROM reached", recursive=True)
+@_query(_LIST_EDGES + ", start AS (SELECT min(src) AS vertex FROM edges), reached AS (SELECT vertex FROM start UNION SELECT dst FROM reached JOIN edges ON src = vertex) SELECT vertex FROM reached", recursive=True)
 def reachable(spark, sf_dir):
-    """What the first transaction reaches. The SQL text still stops at position 2000 and gives fewer rows."""
+    """What the first transaction reaches."""
     pairs = pinned(_list_edges(spark, sf_dir))
     start = pairs.agg(F.min("src").alias("vertex"))
     return graph.reachable(pairs, start)
@@ -627,7 +627,56 @@ def g_single_two_cycles(spark, sf_dir):
     return pairs.filter("rels & 4 <> 0 and rels & 3 = 0").join(back, ["src", "dst"]).select("src", "dst")
 
 
-@_query()
+_INSIDE = _REACH + """, comp AS (SELECT e.src, e.dst, e.rels, a.scc FROM edges e JOIN members a ON a.vertex = e.src JOIN members b ON b.vertex = e.dst AND a.scc = b.scc),
+sub AS (
+  SELECT DISTINCT 'ww' AS g, src, dst FROM comp WHERE rels & 1 <> 0
+  UNION ALL SELECT DISTINCT 'dep', src, dst FROM comp WHERE rels & 3 <> 0
+  UNION ALL SELECT DISTINCT 'all', src, dst FROM comp
+  UNION ALL SELECT DISTINCT 'ext', src, dst FROM (SELECT src, dst FROM comp WHERE rels & 3 <> 0 UNION SELECT d.src, w.dst FROM comp d JOIN comp w ON d.dst = w.src WHERE d.rels & 3 <> 0 AND w.rels & 4 <> 0)),
+went AS (SELECT g, src, dst FROM sub UNION SELECT w.g, w.src, s.dst FROM went w JOIN sub s ON s.g = w.g AND s.src = w.dst),
+part AS (SELECT a.g, a.src AS vertex, count(*) AS size FROM went a JOIN went b ON a.g = b.g AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2),
+least_part AS (SELECT g, scc, min(size) AS size FROM part JOIN members USING (vertex) GROUP BY 1, 2)
+"""
+
+
+def _sub_graph(mask: int, extend: bool) -> str:
+    """Which graph of the SQL text a model looks at, where edges are of writes, reads and anti-dependencies of items alone."""
+    return "ext" if extend else {1: "ww", 3: "dep", 7: "all"}[mask & 7]
+
+
+_MODELS = ", ".join(f"('{m}', {i}, '{_sub_graph(*spec)}')" for i, (m, spec) in enumerate(cycles.EXISTENCE.items()))
+_RULED_OUT = ", ".join(f"('{c}', '{m}')" for c in cycles.EXISTENCE for m in sorted(models.all_impossible_models([c])) if m in cycles.EXISTENCE)
+_EXISTENCE = f""", asked(model, place, g) AS (VALUES {_MODELS}), out_by(cause, model) AS (VALUES {_RULED_OUT}),
+shown AS (SELECT scc, model, place, size FROM asked JOIN least_part USING (g)),
+existence AS (SELECT scc, model, size FROM shown s WHERE NOT EXISTS (SELECT 1 FROM shown c JOIN out_by o ON o.cause = c.model WHERE c.scc = s.scc AND c.place < s.place AND o.model = s.model))
+"""
+_ITEM_TYPES = ("G-single-item", "G0", "G-nonadjacent-item", "G1c", "G2-item")
+_TYPE_RULES_OUT = ", ".join(f"('{t}', '{m}')" for t in _ITEM_TYPES for m in sorted(models.anomalies_to_impossible_models([t])) if m in cycles.EXISTENCE)
+#: Types of cycles of a component. One anti-dependency closed by a path of dependencies, and cycles without
+#: any, show in reachability; two or more need the simple cycles, which only components without a single one
+#: are asked for.
+_CYCLE_TYPES = _INSIDE + _EXISTENCE + f""", single AS (SELECT DISTINCT c.scc FROM comp c JOIN went w ON w.g = 'dep' AND w.src = c.dst AND w.dst = c.src WHERE c.rels & 3 = 0),
+g0 AS (SELECT DISTINCT scc FROM comp c JOIN went w ON w.g = 'ww' AND w.src = c.dst AND w.dst = c.src WHERE c.rels & 1 <> 0),
+g1c AS (SELECT DISTINCT scc FROM comp c JOIN went w ON w.g = 'dep' AND w.src = c.dst AND w.dst = c.src WHERE c.rels & 2 <> 0),
+path AS (
+  SELECT scc, src AS start, dst AS at, [src, dst] AS vs, (rels & 3 = 0)::INT AS n, rels & 3 = 0 AS first, rels & 3 = 0 AS last, false AS next_to FROM comp WHERE dst > src AND scc NOT IN (SELECT scc FROM single)
+  UNION ALL
+  SELECT p.scc, start, c.dst, list_append(vs, c.dst), n + (c.rels & 3 = 0)::INT, first, c.rels & 3 = 0, next_to OR (last AND c.rels & 3 = 0)
+  FROM path p JOIN comp c ON c.src = p.at AND c.scc = p.scc WHERE c.dst > start AND NOT list_contains(vs, c.dst)),
+closed AS (SELECT DISTINCT p.scc, next_to OR (c.rels & 3 = 0 AND (last OR first)) OR (first AND last AND n = 1 AND c.rels & 3 = 0) AS touch FROM path p JOIN comp c ON c.src = p.at AND c.dst = start WHERE n + (c.rels & 3 = 0)::INT >= 2),
+found AS (
+  SELECT scc, 'G-single-item' AS type FROM single UNION ALL SELECT scc, 'G0' FROM g0
+  UNION ALL SELECT scc, 'G-nonadjacent-item' FROM closed WHERE NOT touch
+  UNION ALL SELECT scc, 'G1c' FROM g1c WHERE scc NOT IN (SELECT scc FROM g0)
+  UNION ALL SELECT scc, 'G2-item' FROM closed WHERE touch AND scc NOT IN (SELECT scc FROM closed WHERE NOT touch)),
+type_out(type, model) AS (VALUES {_TYPE_RULES_OUT}),
+cycle_types AS (
+  SELECT scc, type, type AS spec FROM found
+  UNION ALL SELECT scc, model || '-cycle-exists', model FROM existence e WHERE NOT EXISTS (SELECT 1 FROM found f JOIN type_out o ON o.type = f.type WHERE f.scc = e.scc AND o.model = e.model))
+"""
+
+
+@_query(_INSIDE + _EXISTENCE + "SELECT scc, model, size::INTEGER AS size FROM existence", recursive=True)
 def cycle_existence(spark, sf_dir):
     """Models that some cycle rules out, with the size of the smallest component that shows it."""
     pairs = pinned(_list_edges(spark, sf_dir))
@@ -642,55 +691,107 @@ def cycle_existence(spark, sf_dir):
     return inside.groupBy("scc").applyInPandas(run, "scc long, model string, size int")
 
 
-@_query()
+def _holding(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``found`` (scc, cycle, ...) with ``holds``: each step of the cycle is an edge, and no vertex comes twice."""
+    key = [c for c in found.columns if c != "cycle"]
+    body = F.slice("cycle", F.lit(1), F.greatest(F.size("cycle") - 1, F.lit(0)))
+    simple = found.withColumn("simple", F.size(F.array_distinct(body)) == F.size(body))
+    steps = simple.select(*key, "simple", F.explode_outer(F.arrays_zip(body.alias("src"), F.slice("cycle", F.lit(2), F.greatest(F.size("cycle") - 1, F.lit(0))).alias("dst"))).alias("s"))
+    met = steps.select(*key, "simple", "s.src", "s.dst").join(pairs.select("src", "dst", F.lit(1).alias("edge")), ["src", "dst"], "left")
+    return met.groupBy(*key).agg((F.min("simple") & (F.count("*") == F.count("edge"))).alias("holds"))
+
+
+@_query(_REACH + "SELECT scc, count(*) AS size, true AS holds FROM members GROUP BY 1", recursive=True)
 def plain_cycles(spark, sf_dir):
-    """One short cycle of each component, whatever its relations."""
-    return cycles.plain_cycles(_list_edges(spark, sf_dir)).select("scc", "size", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+    """One short cycle of each component, whatever its relations: that it is one."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return _holding(cycles.plain_cycles(pairs), pairs)
 
 
 @_query()
 def cycle_explanations(spark, sf_dir):
     """The text that says why each cycle is one."""
-    h = _pinned_history(synthetic.list_history(spark, sf_dir))
+    h = synthetic.list_history(spark, sf_dir)
     facts = pinned(edges.list_facts(h.possible().mops))
     found = pinned(cycles.cycle_cases(edges.edge_union(facts), timeout_s=10.0).filter(~F.col("type").endswith("-cycle-exists")).withColumn("cycle_id", F.concat_ws("/", "scc", "spec")))
     return explain.rendered(found, facts, h.ops)
 
 
-@_query()
+_DOTS = _REACH + """, inner_edges AS (SELECT e.src, e.dst, e.rels, a.scc FROM edges e JOIN members a ON a.vertex = e.src JOIN members b ON b.vertex = e.dst AND a.scc = b.scc),
+label AS (SELECT index, type, string_agg(concat_ws(' ', f, k, CASE WHEN f = 'r' THEN coalesce('[' || array_to_string(vs, ',') || ']', 'nil') ELSE coalesce(v::VARCHAR, 'nil') END), ' | ' ORDER BY mop_idx) AS label FROM mops GROUP BY 1, 2),
+line AS (
+  SELECT scc, 0 AS kind, vertex AS a, 0 AS b, '  T' || vertex || ' [label="' || coalesce(label, '') || '",color="' || CASE coalesce(type, 'ok') WHEN 'ok' THEN '#2e7d32' WHEN 'info' THEN '#f9a825' WHEN 'fail' THEN '#c62828' ELSE '#333333' END || '"];' AS line FROM members LEFT JOIN label ON index = vertex
+  UNION ALL
+  SELECT scc, 1, src, dst, '  T' || src || ' -> T' || dst || ' [label="' || concat_ws(',', CASE WHEN rels & 1 <> 0 THEN 'ww' END, CASE WHEN rels & 2 <> 0 THEN 'wr' END, CASE WHEN rels & 4 <> 0 THEN 'rw' END) || '",color="' || CASE WHEN rels & 1 <> 0 THEN '0.000' WHEN rels & 2 <> 0 THEN '0.167' ELSE '0.333' END || ' 0.8 0.7"];' FROM inner_edges)
+SELECT scc, 'digraph G {' || chr(10) || '  rankdir=LR;' || chr(10) || '  node [shape=record];' || chr(10) || string_agg(line, chr(10) ORDER BY kind, a, b, line) || chr(10) || '}' || chr(10) AS dot
+FROM line GROUP BY scc HAVING sum(strlen(line) + 1) <= 65536
+"""
+
+
+@_query(_DOTS, recursive=True)
 def component_dots(spark, sf_dir):
     """Each component as DOT text."""
-    h = _pinned_history(synthetic.list_history(spark, sf_dir))
+    h = synthetic.list_history(spark, sf_dir)
     pairs = pinned(edges.edge_union(edges.list_facts(h.possible().mops)))
     return render.dots(graph.component_edges(pairs, graph.components(pairs)), h.mops)
 
 
-@_query()
+@_query(_ORDER + """, shown AS (SELECT k, index, mop_idx, vs FROM mops WHERE type IN ('ok', 'info') AND f = 'r' AND len(vs) > 0 AND k IN (SELECT k FROM incompatible)),
+longest AS (SELECT k, arg_max(vs, (len(vs), vs)) AS best FROM shown GROUP BY 1),
+row_ AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY len(vs), index, mop_idx) AS nth, '<tr><th>' || index || '</th>' ||
+  array_to_string(list_transform(vs, lambda x, i: '<td style="background:hsl(' || (x * 47) % 360 || ',70%,' || CASE WHEN best[i] IS NOT DISTINCT FROM x THEN '95%' ELSE '75%' END || ')">' || x || '</td>'), '') || '</tr>' AS line FROM shown JOIN longest USING (k)),
+paged AS (SELECT k, ceil(nth / 10000)::INTEGER AS page, string_agg(line, chr(10) ORDER BY nth) AS body FROM row_ GROUP BY 1, 2)
+SELECT k, page, '<html><body><h1>All reads of ' || k || CASE WHEN page > 1 THEN ', page ' || page ELSE '' END || '</h1><table>' || chr(10) || body || chr(10) || '</table></body></html>' || chr(10) AS html FROM paged
+""")
 def incompatible_order_pages(spark, sf_dir):
     """For each key with incompatible orders, all its reads as an HTML table."""
-    mops = pinned(_possible(spark, sf_dir))
+    mops = _possible(spark, sf_dir)
     return render.incompatible_pages(detectors.incompatible_order(mops), mops)
 
 
-@_query()
+@_query(_CYCLE_TYPES + "SELECT scc, type, spec, true AS holds FROM cycle_types", recursive=True)
 def cycle_cases(spark, sf_dir):
-    """One witness for each type of cycle in each component, and how it runs."""
-    found = cycles.cycle_cases(_list_edges(spark, sf_dir), timeout_s=10.0)
-    return found.select("scc", "type", "spec", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), F.array_join("steps", ",").alias("steps"))
+    """One witness for each type of cycle in each component, and that it is a cycle."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    found = pinned(cycles.cycle_cases(pairs, timeout_s=None, steps_most=None).select("scc", "type", "spec", "cycle"))
+    sure = F.col("type").endswith("-cycle-exists")
+    return _holding(found.filter(~sure), pairs).unionByName(found.filter(sure).select("scc", "type", "spec", F.lit(True).alias("holds")))
+
+
+@_query(_LOST + "SELECT l.k, l.v, n, index FROM lost l JOIN first_read f ON f.k = l.k AND f.v = l.v JOIN last_write w USING (index) WHERE w.k = l.k AND w > first_at")
+def lost_update_txns(spark, sf_dir):
+    """All transactions of each lost update."""
+    return detectors.lost_update_txns(_lists(spark, sf_dir), "array_join(transform(vs, x -> cast(x as string)), ',')")
 
 
 # whole checks -----------------------------------------------------------------------------------------
 
 
+_LOCAL = (("G1a", "g1a"), ("G1b", "g1b"), ("internal", "internal"), ("incompatible-order", "incompatible"), ("dirty-update", "dirty"), ("lost-update", "lost"))
+_REPEATS = "repeats AS (SELECT index FROM (SELECT index, mop_idx, k, unnest(vs) AS element FROM mops WHERE type IN ('ok', 'info') AND f = 'r') GROUP BY index, mop_idx, k, element HAVING count(*) > 1)"
+_FUTURE = "future AS (SELECT DISTINCT r.index FROM (SELECT index, mop_idx, k, unnest(vs) AS v FROM mops WHERE type = 'ok' AND f = 'r') r JOIN mops a ON a.index = r.index AND a.k = r.k AND a.v = r.v AND a.f = 'append' AND r.mop_idx < a.mop_idx)"
+
+
+def _counts(parts) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS n FROM {v}" for t, v in parts)
+
+
 def _check_sql() -> str:
-    parts = [("G1a", "g1a"), ("G1b", "g1b"), ("internal", "internal"), ("incompatible-order", "incompatible"), ("dirty-update", "dirty"), ("lost-update", "lost")]
-    return ", ".join((_G1A, _G1B, _INTERNAL, _ORDER, _DIRTY, _LOST)) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS n FROM {v}" for t, v in parts) + ") WHERE n > 0"
+    return ", ".join((_G1A, _G1B, _INTERNAL, _ORDER, _DIRTY, _LOST)) + f" SELECT * FROM ({_counts(_LOCAL)}) WHERE n > 0"
+
+
+def _whole_check_sql() -> str:
+    """Local anomalies and cycles of the list check, without orders between transactions."""
+    parts = (*_LOCAL, ("duplicate-elements", "repeats"), ("future-read", "future"))
+    local = ", ".join((_G1A, _G1B, _INTERNAL, _ORDER, _DIRTY, _LOST, _REPEATS, _FUTURE))
+    bad = ", ".join(f"'{a}'" for a in sorted(models.prohibited(["serializable"])))
+    return f"{_CYCLE_TYPES}, {local} SELECT type, n, type IN ({bad}) AS forbidden FROM ({_counts(parts)} UNION ALL SELECT type, count(*) FROM cycle_types GROUP BY 1) WHERE n > 0"
 
 
 @_query(_check_sql())
 def list_local_anomalies(spark, sf_dir):
     """The anomalies of the list history that show without a cycle."""
-    mops = pinned(_lists(spark, sf_dir))
+    mops = _lists(spark, sf_dir)
     possible = mops.filter("type in ('ok', 'info')")
     found = {
         "G1a": detectors.g1a_list(mops),
@@ -707,21 +808,23 @@ def list_local_anomalies(spark, sf_dir):
     return out.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def _pinned_history(h):
-    return type(h)(pinned(h.ops), pinned(h.mops))
+@_query(_whole_check_sql(), recursive=True)
+def list_check_serializable(spark, sf_dir):
+    """The whole list-append check against serializability, which needs no order between transactions."""
+    result = check.check_list_append(synthetic.list_history(spark, sf_dir), ["serializable"], timeout_s=None)
+    return result.summary().withColumn("forbidden", F.col("type").isin(*sorted(models.prohibited(["serializable"]))))
 
 
 @_query()
 def list_check_summary(spark, sf_dir):
     """The whole list-append check: anomaly types, how many cases prove them, and whether the asked model forbids them."""
-    result = check.check_list_append(_pinned_history(synthetic.list_history(spark, sf_dir)))
-    bad = sorted(models.prohibited())
-    return result.summary().withColumn("forbidden", F.col("type").isin(*bad))
+    result = check.check_list_append(synthetic.list_history(spark, sf_dir))
+    return result.summary().withColumn("forbidden", F.col("type").isin(*sorted(models.prohibited())))
 
 
 @_query()
 def register_check_summary(spark, sf_dir):
-    result = check.check_rw_register(_pinned_history(synthetic.register_history(spark, sf_dir)), wfr_keys=True)
+    result = check.check_rw_register(synthetic.register_history(spark, sf_dir), wfr_keys=True)
     return result.summary().withColumn("forbidden", F.col("type").isin(*sorted(models.prohibited())))
 
 
@@ -743,14 +846,18 @@ _IMPLIED_SQL = _closure_sql(models.edges(models.IMPLIED), "anomaly implies", "SE
 _CONTAINED_SQL = _closure_sql(models.edges(models.MODELS), "model contains", "SELECT a, b FROM c")
 
 
+def _rows(spark: SparkSession, pairs, schema: str) -> DataFrame:
+    return spark.createDataFrame(sorted(pairs), schema)
+
+
 @_query(_IMPLIED_SQL, history=False)
 def implied_anomalies(spark, sf_dir):
-    return spark.sql(_IMPLIED_SQL)
+    return _rows(spark, {(a, b) for a in models.IMPLIED for b in models.all_implied_anomalies([a]) - {a}}, "anomaly string, implies string")
 
 
 @_query(_CONTAINED_SQL, history=False)
 def implied_models(spark, sf_dir):
-    return spark.sql(_CONTAINED_SQL)
+    return _rows(spark, {(a, b) for a in models.MODELS for b in models.all_implied_models([a]) - {a}}, "model string, contains string")
 
 
 _IMPOSSIBLE_SQL = f"""
@@ -767,7 +874,24 @@ SELECT anomaly, model FROM direct UNION SELECT d.anomaly, mc.a FROM direct d JOI
 
 @_query(_IMPOSSIBLE_SQL, history=False)
 def impossible_models(spark, sf_dir):
-    return spark.sql(_IMPOSSIBLE_SQL)
+    """The models that each anomaly rules out."""
+    return _rows(spark, {(a, m) for a in models.ALL_ANOMALIES for m in models.anomalies_to_impossible_models([a])}, "anomaly string, model string")
+
+
+_PROHIBITED_SQL = f"""
+WITH RECURSIVE me(a, b) AS (SELECT * FROM (VALUES {_values(models.edges(models.MODELS))}) AS t(a, b)),
+ie(a, b) AS (SELECT * FROM (VALUES {_values(models.edges(models.IMPLIED))}) AS t(a, b)),
+p(model, anomaly) AS (SELECT * FROM (VALUES {_values(models.edges(models.PROSCRIBED))}) AS t(model, anomaly)),
+below(model, b) AS (SELECT a, a FROM me UNION SELECT b, b FROM me UNION SELECT model, model FROM p UNION SELECT below.model, me.b FROM below JOIN me ON below.b = me.a),
+bad(model, anomaly) AS (SELECT below.model, anomaly FROM below JOIN p ON p.model = below.b UNION SELECT bad.model, ie.a FROM bad JOIN ie ON ie.b = bad.anomaly)
+SELECT DISTINCT model, anomaly FROM bad
+"""
+
+
+@_query(_PROHIBITED_SQL, history=False)
+def prohibited_anomalies(spark, sf_dir):
+    """The anomalies that each model forbids."""
+    return _rows(spark, {(m, a) for m in models.ALL_MODELS for a in models.anomalies_prohibited_by([m])}, "model string, anomaly string")
 
 
 @_query(f"SELECT anomaly, model FROM ({_IMPOSSIBLE_SQL}) x WHERE NOT EXISTS (SELECT 1 FROM ({_IMPOSSIBLE_SQL}) y JOIN ({_CONTAINED_SQL}) c ON c.contains = y.model WHERE y.anomaly = x.anomaly AND c.model = x.model)", history=False)
@@ -777,23 +901,49 @@ def boundary(spark, sf_dir):
     return spark.createDataFrame(rows, "anomaly string, model string")
 
 
-@_query()
+_DEPTH_EDGES = sorted({*models.edges(models.IMPLIED), *models.edges(models.SEVERITY)})
+_DEPTH_SQL = f"""
+WITH RECURSIVE e(a, b) AS (SELECT * FROM (VALUES {_values(_DEPTH_EDGES)}) AS t(a, b)),
+p(model, anomaly) AS (SELECT * FROM (VALUES {_values(models.edges(models.PROSCRIBED))}) AS t(model, anomaly)),
+d(anomaly, depth) AS (SELECT a, 0 FROM e UNION SELECT anomaly, 0 FROM p UNION SELECT e.b, d.depth + 1 FROM d JOIN e ON e.a = d.anomaly)
+SELECT anomaly, max(depth)::INTEGER AS depth FROM d GROUP BY 1
+"""
+
+
+@_query(_DEPTH_SQL, history=False)
 def anomaly_depths(spark, sf_dir):
-    return spark.createDataFrame(sorted(models.DEPTHS.items()), "anomaly string, depth int")
+    """How many worse anomalies come before each, at most."""
+    return _rows(spark, models.DEPTHS.items(), "anomaly string, depth int")
 
 
 # generators -------------------------------------------------------------------------------------------
 
 
-@_query()
+def _generated_sql(write: str, txns: int = 2000, seed: int = 53) -> str:
+    u = lambda *salt: f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(salt)})), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
+    return f"""
+WITH txn AS (SELECT range AS index, 1 + floor({u("'length'", "range::VARCHAR")} * 4)::INT AS n FROM range({txns})),
+mop AS (SELECT index, unnest(range(n))::INT AS mop_idx FROM txn),
+drawn AS (SELECT index, mop_idx, least(floor(ln({u("'slot'", "index::VARCHAR", "mop_idx::VARCHAR")} * 1023 + 1) / ln(2))::BIGINT, 9) AS slot, {u("'kind'", "index::VARCHAR", "mop_idx::VARCHAR")} < 0.5 AS writes FROM mop),
+placed AS (SELECT *, (sum(writes::BIGINT) OVER (PARTITION BY slot ORDER BY index, mop_idx) - writes::BIGINT)::BIGINT AS place FROM drawn),
+most AS (SELECT slot, max(place) AS most FROM placed GROUP BY 1),
+epoch AS (SELECT slot, unnest(range(most + 1)) AS epoch, most FROM most),
+sized AS (SELECT *, least(greatest(floor(pow(257.0, {u("'writes'", "slot::VARCHAR", "epoch::VARCHAR")}))::BIGINT, 1), 256) AS size FROM epoch),
+ends AS (SELECT *, (sum(size) OVER (PARTITION BY slot ORDER BY epoch))::BIGINT AS fin FROM sized),
+keyed AS (SELECT p.*, e.epoch, p.place - (e.fin - e.size) + 1 AS value FROM placed p JOIN ends e ON e.slot = p.slot AND p.place >= e.fin - e.size AND p.place < e.fin)
+SELECT (slot + 10 * epoch)::VARCHAR AS k, CASE WHEN writes THEN '{write}' ELSE 'r' END AS f, count(*) AS n, max(CASE WHEN writes THEN value END) AS v FROM keyed GROUP BY 1, 2
+"""
+
+
+@_query(_generated_sql("w"), history=False)
 def generated_registers(spark, sf_dir):
-    """How often the generator meets each key."""
-    return generators.register_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"))
+    """How often the generator meets each key, and the last value written."""
+    return generators.register_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"), F.max("v").alias("v"))
 
 
-@_query()
+@_query(_generated_sql("append"), history=False)
 def generated_lists(spark, sf_dir):
-    return generators.list_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"))
+    return generators.list_txns(spark, 2000, seed=53).groupBy("k", "f").agg(F.count("*").alias("n"), F.max("v").alias("v"))
 
 
 def queries() -> dict[str, Query]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.ordered import pinned
-from ..operators import detectors, edges, graph, search, txn, validate, versions
+from ..operators import detectors, edges, explain, graph, render, search, txn, validate, versions
 from ..sources.history import History, pair_index
 
 Analyzer = Callable[[History], "Analysis"]
@@ -37,6 +37,7 @@ class Result:
     kind: str
     models: tuple[str, ...] | None
     extra: tuple[str, ...] = ()
+    history: History | None = None
 
     def summary(self) -> DataFrame:
         """(type, n): anomaly types and how many cases prove them."""
@@ -50,6 +51,24 @@ class Result:
         """valid, anomaly_types, not, also_not."""
         return models.verdict(self.counts(), self.models, self.extra)
 
+    def witnesses(self) -> DataFrame:
+        """(cycle_id, type, scc, cycle): the cycles proper, without what is known to exist only."""
+        real = "size(cycle) > 1 and element_at(cycle, 1) = element_at(cycle, -1) and not endswith(type, '-cycle-exists')"
+        return self.cycles.filter(real).select(F.concat_ws("-", "scc", "spec").alias("cycle_id"), "type", "scc", "cycle")
+
+    def write(self, folder: str) -> None:
+        """Everything for people below ``folder``: cycles by type (S8), graphs of components and cycles (S9), pages of keys."""
+        found = pinned(self.witnesses())
+        texts = explain.rendered(found.select("cycle_id", "cycle"), self.facts, self.history.ops, self.kind).join(found.select("cycle_id", "type"), "cycle_id")
+        render.write_cycles(texts.select("type", "text"), f"{folder}/cycles")
+        steps = pinned(explain.explained_steps(found.select("cycle_id", "cycle"), self.facts, self.kind))
+        render.write_files(render.cycle_dots(steps, self.history.mops), ["cycle_id"], "dot", f"{folder}/cycle-graphs")
+        inside = graph.component_edges(edges.edge_union(self.facts), graph.components(edges.edge_union(self.facts)))
+        render.write_files(render.dots(inside, self.history.mops), ["scc"], "dot", f"{folder}/component-graphs")
+        if "incompatible-order" in self.anomalies:
+            pages = render.incompatible_pages(self.anomalies["incompatible-order"], self.history.possible().mops)
+            render.write_files(pages, ["k", "page"], "html", f"{folder}/incompatible-orders")
+
 
 def needed_orders(consistency: Iterable[str] | None, anomalies: Iterable[str] = ()) -> list[str]:
     """Which orders between transactions matter for these models (C11): real time, else the process, else none."""
@@ -82,31 +101,40 @@ def _finish(history: History, facts: list[DataFrame], anomalies: dict[str, DataF
     all_facts = pinned(edges.union(*facts, *order_facts(history, needed_orders(consistency, extra))))
     pairs = edges.edge_union(all_facts)
     cycles = pinned(search.cycle_cases(pairs, kind, timeout_s))
-    anomalies = anomalies | {"empty-transaction-graph": all_facts.agg(F.count("*").alias("edges")).filter("edges = 0")}
-    return Result(anomalies, cycles, all_facts, kind, None if consistency is None else tuple(consistency), tuple(extra))
+    anomalies = {name: pinned(rows) for name, rows in anomalies.items()} | {"empty-transaction-graph": all_facts.agg(F.count("*").alias("edges")).filter("edges = 0")}
+    return Result(anomalies, cycles, all_facts, kind, None if consistency is None else tuple(consistency), tuple(extra), history)
+
+
+def _prepared(history: History) -> History:
+    """Client operations, each table written once: everything else reads what it needs of them."""
+    validate.require_types(history)
+    history = history.clients()
+    return History(pinned(history.ops), pinned(history.mops))
 
 
 def check_list_append(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), more: Iterable[Analyzer] = (), timeout_s: float = search.TIMEOUT_S, validated: bool = True) -> Result:
     """Keys hold lists; writes append unique elements; reads return whole lists."""
     if consistency is not None:
         models.validated(consistency)
-    history = history.clients()
+    history = _prepared(history)
     mops = history.mops
+    possible = mops.filter("type in ('ok', 'info')")
+    order = pinned(versions.list_versions(possible))
     if validated:
         validate.require_none(validate.unexpected_mops(mops, ("r", "append")), "unexpected-txn-micro-op-types")
         validate.require_none(validate.duplicate_appends(mops), "duplicate-appends")
-    possible = mops.filter("type in ('ok', 'info')")
+        validate.require_none(validate.garbage_elements(order, mops), "garbage-elements")
     found = {
         "G1a": detectors.g1a_list(mops),
         "G1b": detectors.g1b_list(mops),
         "internal": detectors.internal_list(mops),
-        "dirty-update": detectors.dirty_update(mops),
+        "dirty-update": detectors.dirty_update(mops, order),
         "duplicate-elements": detectors.duplicate_elements(possible),
         "incompatible-order": detectors.incompatible_order(possible),
         "future-read": detectors.future_read(mops),
         "lost-update": detectors.lost_update(mops, "array_join(transform(vs, x -> cast(x as string)), ',')"),
     }
-    return _finish(history, [edges.list_facts(possible)], found, "list", consistency, anomalies, more, timeout_s)
+    return _finish(history, [edges.list_facts(possible, order)], found, "list", consistency, anomalies, more, timeout_s)
 
 
 def version_sources(history: History, reads: DataFrame, writes: DataFrame, sequential: bool, linearizable: bool, wfr: bool, order: DataFrame | None) -> list[tuple[str, DataFrame]]:
@@ -159,7 +187,7 @@ def check_rw_register(history: History, consistency: Iterable[str] | None = mode
     """Keys hold one value; writes are blind and unique; reads return the value."""
     if consistency is not None:
         models.validated(consistency)
-    history = history.clients()
+    history = _prepared(history)
     mops = history.mops
     validate.require_none(validate.unexpected_mops(mops, ("r", "w")), "unexpected-txn-micro-op-types")
     reads, writes = pinned(txn.ext_reads(mops)), pinned(txn.ext_writes(mops))
@@ -180,7 +208,7 @@ def check_closed_predicate(history: History, consistency: Iterable[str] | None =
     """Rows with inserts, updates, deletes and predicate reads over a known universe."""
     if consistency is not None:
         models.validated(consistency)
-    history = history.clients()
+    history = _prepared(history)
     mops = history.mops
     validate.require_none(validate.repeated_state_writes(txn.ext_state_writes(mops)), "multiple-writes-of-same-value")
     states = pinned(versions.state_versions(mops))
@@ -206,7 +234,7 @@ class GraphResult:
 
 def check_graph(history: History, *analyzers: Analyzer) -> GraphResult:
     """Any analyzers: a history is valid if their graph has no cycle."""
-    history = history.clients()
+    history = _prepared(history)
     analysis = combine(*analyzers)(history)
     facts = pinned(analysis.facts)
     return GraphResult(pinned(search.plain_cycles(edges.edge_union(facts))), facts, analysis.anomalies)

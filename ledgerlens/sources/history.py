@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordered import followed
+
 PREDICATE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 MOP = T.StructType(
     [
@@ -97,9 +99,9 @@ def pair_index(ops: DataFrame) -> DataFrame:
 
     comp is null for a transaction that never ended.
     """
-    w = Window.partitionBy("process").orderBy("index")
-    rows = ops.select("index", "process", F.col("type") == "invoke", "type", F.lead("index").over(w).alias("comp"), F.lead("type").over(w).alias("comp_type"))
-    return rows.filter("type = 'invoke'").select(F.col("index").alias("inv"), F.when(F.col("comp_type") != "invoke", F.col("comp")).alias("comp"), "process", F.when(F.col("comp_type") != "invoke", F.col("comp_type")).alias("type"))
+    rows = followed(ops.select("index", "process", "type"), ["process"], "index", ["index", "type"], "next")
+    ended = F.col("next.type") != "invoke"
+    return rows.filter("type = 'invoke'").select(F.col("index").alias("inv"), F.when(ended, F.col("next.index")).alias("comp"), "process", F.when(ended, F.col("next.type")).alias("type"))
 
 
 def distinct_keys(mops: DataFrame) -> DataFrame:

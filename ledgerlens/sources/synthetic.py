@@ -11,8 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from .history import History
 
+_STORED: dict[tuple[str, str, str], History] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, make) -> History:
+    """A history of a folder is written once for each application, and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
 _MOPS = """
 raw AS (SELECT event_id, user_id, event_type, CAST(floor(event_id / 3.0) AS BIGINT) AS txn, CAST(event_id % 3 AS INT) AS mop_idx FROM {events}),
 keyed AS (SELECT *, first_value(user_id) OVER (PARTITION BY txn ORDER BY event_id) AS first_user FROM raw),
@@ -53,19 +64,27 @@ ops AS (SELECT DISTINCT index, type, process FROM mops)
 
 
 def mops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_history(spark, sf_dir).mops
+
+
+def _mops(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     text = "WITH " + _MOPS.format(events="{events}", **_SPARK) + "SELECT index, type, process, mop_idx, f, k, v, vs FROM mops"
     return spark.sql(text, events=events)
 
 
 def list_history(spark: SparkSession, sf_dir: str) -> History:
-    rows = mops(spark, sf_dir)
-    return History(_ops(rows), rows)
+    def make() -> History:
+        rows = written(_mops(spark, sf_dir), "list-history")
+        return History(written(_ops(rows), "list-operations"), rows)
+
+    return _stored(spark, sf_dir, "list", make)
 
 
 def register_history(spark: SparkSession, sf_dir: str) -> History:
-    rows = mops(spark, sf_dir).selectExpr("index", "type", "process", "mop_idx", "CASE WHEN f = 'append' THEN 'w' ELSE f END AS f", "k", "CASE WHEN f = 'append' THEN v WHEN size(vs) > 0 THEN element_at(vs, -1) END AS v")
-    return History(_ops(rows), rows)
+    history = list_history(spark, sf_dir)
+    rows = history.mops.selectExpr("index", "type", "process", "mop_idx", "CASE WHEN f = 'append' THEN 'w' ELSE f END AS f", "k", "CASE WHEN f = 'append' THEN v WHEN size(vs) > 0 THEN element_at(vs, -1) END AS v")
+    return History(history.ops, rows)
 
 
 def _ops(rows: DataFrame) -> DataFrame:
@@ -114,5 +133,9 @@ def predicate_history(spark: SparkSession, sf_dir: str) -> History:
            CASE WHEN f = 'rp' THEN named_struct('kind', 'mod', 'a', 2L, 'b', 0L) END AS pred,
            CASE WHEN f = 'rp' THEN coalesce(seen, CAST(map() AS MAP<STRING, BIGINT>)) END AS seen
     FROM pmops p LEFT JOIN maps ON p.index = maps.index AND p.mop_idx = maps.mop_idx"""
-    rows = spark.sql(text, events=events)
-    return History(rows.select("index", (F.col("index") * 1000000).alias("time"), "type", "process", F.lit("txn").alias("f")).distinct(), rows)
+
+    def make() -> History:
+        rows = written(spark.sql(text, events=events), "predicate-history")
+        return History(written(rows.select("index", (F.col("index") * 1000000).alias("time"), "type", "process", F.lit("txn").alias("f")).distinct(), "predicate-operations"), rows)
+
+    return _stored(spark, sf_dir, "predicate", make)
