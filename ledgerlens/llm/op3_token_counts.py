@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import id_text, written
 from .pieces import Pieces
 
-MEMO_PIECES, MEMO_LENGTH = 400_000, 64
-SLICE = 1 << 21
+MEMO_PIECES, MEMO_PARTS, MEMO_LENGTH = 300_000, 50_000, 64
+SLICE = 1 << 19
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -77,7 +77,7 @@ class Counter:
                 self.cuts = True
 
                 def sizes(texts: list[str]) -> list[int]:
-                    if len(parts) > MEMO_PIECES:
+                    if len(parts) > MEMO_PARTS:
                         parts.clear()
                     return [len(x) // 4 for x in model.encode(texts, parts, MEMO_LENGTH)]
 
@@ -117,7 +117,7 @@ class Counter:
         split = [CUT.split(t) for t in texts]
         first = {p[0] for p in split}
         rest = set().union(*(p[1:] for p in split))
-        if len(self.known) > MEMO_PIECES:
+        if len(self.known) + len(first) + len(rest) > MEMO_PIECES:
             self.known.clear()
         known = self.known
         all_ = first | {" " + x for x in rest}
