@@ -97,15 +97,18 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int
 MIX_SQL = """
 WITH RECURSIVE counts AS (SELECT coalesce(source, chr(0) || 'null') AS s, count(*) AS n FROM documents GROUP BY 1),
 total AS (SELECT sum(n)::DOUBLE AS n, count(*)::DOUBLE AS w FROM counts),
-rates AS (SELECT s, (total.n / total.w) / counts.n AS rate FROM counts, total),
+whole AS (SELECT s, (total.n / total.w) / counts.n AS rate FROM counts, total),
+rates AS (SELECT s, greatest(1, ceil(rate / 600))::INTEGER AS parts, rate / greatest(1, ceil(rate / 600)) AS rate FROM whole),
 cdf AS (
-  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  SELECT s, parts, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
-  SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k + 1 <= floor(rate + 12 * sqrt(rate) + 30)
+  SELECT s, parts, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k + 1 <= floor(rate + 12 * sqrt(rate) + 30)
 ),
-cdfs AS (SELECT s, list(c ORDER BY k) AS cs FROM cdf GROUP BY s),
+cdfs AS (SELECT s, parts, list(c ORDER BY k) AS cs FROM cdf GROUP BY s, parts),
 drawn AS (
-  SELECT d.*, len(list_filter(cs, lambda c: u >= c)) AS m FROM (
+  SELECT d.*, CASE WHEN parts = 1 THEN len(list_filter(cs, lambda c: u >= c)) ELSE (
+    SELECT sum(len(list_filter(cs, lambda c: ('0x' || substr(md5('17:draw:' || i || ':' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 >= c))) FROM (SELECT unnest(range(1, parts + 1)) AS i)
+  ) END::BIGINT AS m FROM (
     SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents
   ) d JOIN cdfs ON s = coalesce(source, chr(0) || 'null')
 )

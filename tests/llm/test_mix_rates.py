@@ -26,3 +26,14 @@ def test_large_rates_have_the_poissons_mean_and_variance(spark):
     n = [c for _, c in op5.mix(docs, epochs=1500.0).groupBy("doc_id").count().collect()]
     mean = sum(n) / len(n)
     assert len(n) == 300 and abs(mean - 1500) < 12 and 1000 < sum((x - mean) ** 2 for x in n) / len(n) < 2100
+
+
+def test_the_sql_draws_large_rates_the_same(spark):
+    import duckdb
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 6, "one").otherwise("big").alias("source"), F.lit(1).alias("n_chars"))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(con.sql(f"SELECT doc_id, copy, mix_key FROM ({op5.MIX_SQL})").fetchall())
+    got = sorted(map(tuple, op5.mix(docs).select("doc_id", "copy", "mix_key").collect()))
+    assert got == want and sum(d == 6 for d, _, _ in got) > 600
