@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+T = TypeVar("T")
+
+
+def together(*makers: Callable[[], T]) -> list[T]:
+    """The results of jobs that do not need each other, submitted at once; the first error is raised."""
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        return [f.result() for f in [pool.submit(m) for m in makers]]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import relations as rel
 from ..functions.expressions import matches
 from ..functions.ordered import followed, pinned, running_max
+from ..functions.shared import together
 from .versions import list_readers, list_writers, navigated, previous_elements, resolved_reads
 
 FACTS = "src long, dst long, rel int, k string, v1 long, v2 long, a_mop int, b_mop int"
@@ -64,7 +65,7 @@ def list_rw(mops: DataFrame, previous: DataFrame | None = None, readers: DataFra
 
 def list_facts(mops: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """All three; what they share is made once. ``order``: the version order, if there is one already."""
-    previous, writers, readers = pinned(previous_elements(mops, order)), pinned(list_writers(mops)), pinned(list_readers(mops))
+    previous, writers, readers = together(lambda: pinned(previous_elements(mops, order)), lambda: pinned(list_writers(mops)), lambda: pinned(list_readers(mops)))
     return union(list_ww(mops, previous, writers), list_wr(mops, readers, writers), list_rw(mops, previous, readers))
 
 

@@ -15,7 +15,7 @@ from ..functions.expressions import relation_names, spelled
 from ..functions.ordered import pinned
 from ..operators import detectors, edges, explain, generators, graph, render, txn, validate, versions
 from ..operators import search as cycles
-from ..sources import synthetic
+from ..sources import simulators, synthetic
 from ..sources.history import distinct_keys, pair_index
 from . import check
 
@@ -828,6 +828,16 @@ def register_check_summary(spark, sf_dir):
     return result.summary().withColumn("forbidden", F.col("type").isin(*sorted(models.prohibited())))
 
 
+#: What each simulated level keeps, and what it breaks.
+_SIMULATED = (("serial", "strict-serializable", "true"), ("serializable-si", "strict-serializable", "true"), ("si", "strong-snapshot-isolation", "true"), ("si", "serializable", "false"), ("prefix", "snapshot-isolation", "false"), ("sloppy", "read-committed", "false"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _SIMULATED) + ") AS t(level, model, valid)", history=False)
+def simulated_verdicts(spark, sf_dir):
+    """The list check of simulated databases against models that their level keeps or breaks."""
+    return simulators.verdicts(spark, [x[:2] for x in _SIMULATED], check.check_list_append, txns=150, shards=4)
+
+
 # lattices ---------------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.ordered import pinned
+from ..functions.shared import together
 from ..operators import detectors, edges, explain, graph, render, search, txn, validate, versions
 from ..sources.history import History, pair_index
 
@@ -93,26 +94,32 @@ def combine(*analyzers: Analyzer) -> Analyzer:
     return run
 
 
-def _finish(history: History, facts: list[DataFrame], anomalies: dict[str, DataFrame], kind: str, consistency, extra, more: Iterable[Analyzer], timeout_s: float) -> Result:
-    for analyzer in more:
-        a = analyzer(history)
-        facts.append(a.facts)
-        anomalies |= a.anomalies
-    all_facts = pinned(edges.union(*facts, *order_facts(history, needed_orders(consistency, extra))))
-    pairs = edges.edge_union(all_facts)
-    cycles = pinned(search.cycle_cases(pairs, kind, timeout_s))
-    anomalies = {name: pinned(rows) for name, rows in anomalies.items()} | {"empty-transaction-graph": all_facts.agg(F.count("*").alias("edges")).filter("edges = 0")}
-    return Result(anomalies, cycles, all_facts, kind, None if consistency is None else tuple(consistency), tuple(extra), history)
+def _finish(history: History, facts: Callable[[], DataFrame], anomalies: dict[str, Callable[[], DataFrame]], kind: str, consistency, extra, more: Iterable[Analyzer], timeout_s: float | None) -> Result:
+    """Evidence and edges do not need each other; the search needs all edges."""
+    others = [analyzer(history) for analyzer in more]
+    orders = needed_orders(consistency, extra)
+    made = together(
+        *[lambda rows=rows: pinned(rows()) for rows in anomalies.values()],
+        lambda: facts(),
+        *[lambda order=order: order_facts(history, [order])[0] for order in orders],
+    )
+    found = dict(zip(anomalies, made, strict=False))
+    for a in others:
+        found |= a.anomalies
+    all_facts = pinned(edges.union(*made[len(anomalies) :], *(a.facts for a in others)))
+    cycles = pinned(search.cycle_cases(edges.edge_union(all_facts), kind, timeout_s))
+    found["empty-transaction-graph"] = all_facts.limit(1).agg(F.count("*").alias("edges")).filter("edges = 0")
+    return Result(found, cycles, all_facts, kind, None if consistency is None else tuple(consistency), tuple(extra), history)
 
 
 def _prepared(history: History) -> History:
     """Client operations, each table written once: everything else reads what it needs of them."""
     validate.require_types(history)
     history = history.clients()
-    return History(pinned(history.ops), pinned(history.mops))
+    return History(*together(lambda: pinned(history.ops), lambda: pinned(history.mops)))
 
 
-def check_list_append(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), more: Iterable[Analyzer] = (), timeout_s: float = search.TIMEOUT_S, validated: bool = True) -> Result:
+def check_list_append(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), more: Iterable[Analyzer] = (), timeout_s: float | None = search.TIMEOUT_S, validated: bool = True) -> Result:
     """Keys hold lists; writes append unique elements; reads return whole lists."""
     if consistency is not None:
         models.validated(consistency)
@@ -121,20 +128,22 @@ def check_list_append(history: History, consistency: Iterable[str] | None = mode
     possible = mops.filter("type in ('ok', 'info')")
     order = pinned(versions.list_versions(possible))
     if validated:
-        validate.require_none(validate.unexpected_mops(mops, ("r", "append")), "unexpected-txn-micro-op-types")
-        validate.require_none(validate.duplicate_appends(mops), "duplicate-appends")
-        validate.require_none(validate.garbage_elements(order, mops), "garbage-elements")
+        together(
+            lambda: validate.require_none(validate.unexpected_mops(mops, ("r", "append")), "unexpected-txn-micro-op-types"),
+            lambda: validate.require_none(validate.duplicate_appends(mops), "duplicate-appends"),
+            lambda: validate.require_none(validate.garbage_elements(order, mops), "garbage-elements"),
+        )
     found = {
-        "G1a": detectors.g1a_list(mops),
-        "G1b": detectors.g1b_list(mops),
-        "internal": detectors.internal_list(mops),
-        "dirty-update": detectors.dirty_update(mops, order),
-        "duplicate-elements": detectors.duplicate_elements(possible),
-        "incompatible-order": detectors.incompatible_order(possible),
-        "future-read": detectors.future_read(mops),
-        "lost-update": detectors.lost_update(mops, "array_join(transform(vs, x -> cast(x as string)), ',')"),
+        "G1a": lambda: detectors.g1a_list(mops),
+        "G1b": lambda: detectors.g1b_list(mops),
+        "internal": lambda: detectors.internal_list(mops),
+        "dirty-update": lambda: detectors.dirty_update(mops, order),
+        "duplicate-elements": lambda: detectors.duplicate_elements(possible),
+        "incompatible-order": lambda: detectors.incompatible_order(possible),
+        "future-read": lambda: detectors.future_read(mops),
+        "lost-update": lambda: detectors.lost_update(mops, "array_join(transform(vs, x -> cast(x as string)), ',')"),
     }
-    return _finish(history, [edges.list_facts(possible, order)], found, "list", consistency, anomalies, more, timeout_s)
+    return _finish(history, lambda: edges.list_facts(possible, order), found, "list", consistency, anomalies, more, timeout_s)
 
 
 def version_sources(history: History, reads: DataFrame, writes: DataFrame, sequential: bool, linearizable: bool, wfr: bool, order: DataFrame | None) -> list[tuple[str, DataFrame]]:
@@ -173,8 +182,9 @@ def fold_versions(sources: list[tuple[str, DataFrame]]) -> tuple[DataFrame, Data
     cases: list[DataFrame] = []
     for name, source in sources:
         candidate = pinned((source if kept is None else kept.unionByName(source)).distinct())
-        bad = pinned(cyclic_versions(candidate))
-        if bad.limit(1).count():
+        # what leads from the initial state alone cannot come back
+        bad = pinned(cyclic_versions(candidate)) if candidate.filter("v1 is not null").limit(1).count() else None
+        if bad is not None and bad.limit(1).count():
             cases.append(bad.withColumn("sources", F.lit(",".join([*names, name]))))
         else:
             kept, names = candidate, [*names, name]
@@ -183,28 +193,28 @@ def fold_versions(sources: list[tuple[str, DataFrame]]) -> tuple[DataFrame, Data
     return kept if kept is not None else empty, found, names
 
 
-def check_rw_register(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), sequential_keys: bool = False, linearizable_keys: bool = False, wfr_keys: bool = False, transaction_order: DataFrame | None = None, more: Iterable[Analyzer] = (), timeout_s: float = search.TIMEOUT_S) -> Result:
+def check_rw_register(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), sequential_keys: bool = False, linearizable_keys: bool = False, wfr_keys: bool = False, transaction_order: DataFrame | None = None, more: Iterable[Analyzer] = (), timeout_s: float | None = search.TIMEOUT_S) -> Result:
     """Keys hold one value; writes are blind and unique; reads return the value."""
     if consistency is not None:
         models.validated(consistency)
     history = _prepared(history)
     mops = history.mops
     validate.require_none(validate.unexpected_mops(mops, ("r", "w")), "unexpected-txn-micro-op-types")
-    reads, writes = pinned(txn.ext_reads(mops)), pinned(txn.ext_writes(mops))
+    reads, writes = together(lambda: pinned(txn.ext_reads(mops)), lambda: pinned(txn.ext_writes(mops)))
     validate.require_none(validate.ambiguous_reads(reads, writes), "ambiguous-writers")
     order, cyclic, _ = fold_versions(version_sources(history, reads, writes, sequential_keys, linearizable_keys, wfr_keys, transaction_order))
     found = {
-        "G1a": detectors.g1a_register(mops),
-        "G1b": detectors.g1b_register(mops),
-        "internal": detectors.internal_register(mops),
-        "lost-update": detectors.lost_update(mops),
-        "cyclic-versions": cyclic,
+        "G1a": lambda: detectors.g1a_register(mops),
+        "G1b": lambda: detectors.g1b_register(mops),
+        "internal": lambda: detectors.internal_register(mops),
+        "lost-update": lambda: detectors.lost_update(mops),
+        "cyclic-versions": lambda: cyclic,
     }
-    facts = [edges.register_wr(reads, writes), edges.register_ww(order, writes), edges.register_rw(order, reads, writes)]
-    return _finish(history, facts, found, "register", consistency, anomalies, more, timeout_s)
+    facts = edges.union(edges.register_wr(reads, writes), edges.register_ww(order, writes), edges.register_rw(order, reads, writes))
+    return _finish(history, lambda: facts, found, "register", consistency, anomalies, more, timeout_s)
 
 
-def check_closed_predicate(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), faithful: bool = True, more: Iterable[Analyzer] = (), timeout_s: float = search.TIMEOUT_S) -> Result:
+def check_closed_predicate(history: History, consistency: Iterable[str] | None = models.STRICT, anomalies: Iterable[str] = (), faithful: bool = True, more: Iterable[Analyzer] = (), timeout_s: float | None = search.TIMEOUT_S) -> Result:
     """Rows with inserts, updates, deletes and predicate reads over a known universe."""
     if consistency is not None:
         models.validated(consistency)
@@ -213,8 +223,8 @@ def check_closed_predicate(history: History, consistency: Iterable[str] | None =
     validate.require_none(validate.repeated_state_writes(txn.ext_state_writes(mops)), "multiple-writes-of-same-value")
     states = pinned(versions.state_versions(mops))
     vsets = pinned(edges.version_sets(mops, states))
-    found = {"predicate-read-miss": detectors.predicate_read_miss(mops, states)}
-    return _finish(history, [edges.predicate_facts(mops, states, vsets, faithful)], found, "predicate", consistency, anomalies, more, timeout_s)
+    found = {"predicate-read-miss": lambda: detectors.predicate_read_miss(mops, states)}
+    return _finish(history, lambda: edges.predicate_facts(mops, states, vsets, faithful), found, "predicate", consistency, anomalies, more, timeout_s)
 
 
 @dataclass(frozen=True)
