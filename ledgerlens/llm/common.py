@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch_dir, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session names none, a local master gets a temporary folder; a cluster gets an error, as its
-    executors would write to their own disks.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["checkpointed", "turn", "id_text", "n_groups", "partitions", "positional", "scratch_dir", "shared_dir", "size_in_bytes", "text_bytes", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder (reliable checkpoint, survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut the lineage through the shared folder; a written table is computed once, a checkpoint twice."""
+    return written(df, "lineage")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,13 +35,48 @@ def n_groups(df: DataFrame, target: int = 16 << 20) -> int:
     return max(2 * partitions(spark), -(-size_in_bytes(df) // target))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand at a time, where the session has Spark's default of ten thousand.
+
+    A batch is held several times over, by the JVM outside of its heap and by the worker.
+    """
+    if spark.sparkContext.getConf().get(BATCH_ROWS, None) is None and spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
+_TURN: list = [None, None]
+
+
+def turn(name: str, forget: Callable[[], object] | None = None) -> None:
+    """In a Python worker: what the operator before remembers is forgotten when another one begins.
+
+    Workers serve one stage after the other; without this the tables of all operators that a job has been
+    through would stay. ``forget`` empties what this operator remembers.
+    """
+    if _TURN[0] == name:
+        return
+    if _TURN[1]:
+        _TURN[1]()
+    _TURN[:] = [name, forget]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only doc_id (long) and text (string, null becomes empty); other columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its columns as c0, c1, ... so that no added name can clash, and each name's new one."""
+    small_batches(docs.sparkSession)
     plain = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*plain), dict(zip(docs.columns, plain, strict=True))
 

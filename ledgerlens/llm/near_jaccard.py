@@ -1,49 +1,57 @@
 """Pairs of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1  Each distinct set has 24 band keys of four min-hashes. Documents that share a band key are candidates; a
-   pair at similarity 0.8 has none in common with probability (1 - 0.8^4)^24, some 3 in a million, and a pair
-   above it more rarely still. Candidates are joined to loose groups, each set being read once for its group.
-2  Every set is compared exactly with the first of its loose group. Sets within the threshold of it are
-   linked by that. 1 - Jaccard is a metric, so of the others only those at nearly the same distance from the
-   first can be within the threshold of each other, and these are compared exactly in one task for a group.
-
-No pair is linked by the band keys alone. The 64-bit hashes of the shingles stand for the shingles.
+1  Each distinct set has 24 band keys of four min-hashes and a signature of all 96, a byte each. Sets that
+   share a band key are in one bucket; a pair at similarity 0.8 shares none with probability
+   (1 - 0.8^4)^24, some 3 in a million, and a pair above it more rarely still.
+2  Stars: the first set of each bucket is its hub, and every other set that may be within the threshold of it
+   is a candidate. It has then met all of its bucket and leaves it, and buckets whose sets are all linked are
+   done. STARS such rounds link what is near a common centre, which is most.
+3  Prefixes: of the sets still in open buckets, shingles are counted and ordered by how rare they are. Sets
+   within the threshold share one of the rarest (1 - t) of each; and if the first shingle they share is at
+   places i and j of this order, at most min(|a| - i, |b| - j) + 1 are shared, which rules most pairs out
+   that have only common passages in common. Sets with a rare shingle in common are the new buckets, and
+   growing numbers of hubs (HUBS, then GROWTH times as many, ...) meet the rest until all have met or are
+   linked. This step leaves out no pair.
+4  The shingles of candidates are compared exactly: the text of a hub is read once for up to SPOKES texts of
+   others. Only texts of candidates move.
+
+A task holds hubs alone and streams the rest. A signature that agrees in fewer than AGREE of 96 places rules a
+pair out; one at 0.8 does so with a probability below one in a million. No pair is linked without the exact
+comparison. 64-bit hashes of shingles stand for the shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .bitmap import bitmap
+from .common import partitions, turn, written
 
 WORDS, BANDS, EACH = 5, 24, 4
+PLACES = BANDS * EACH
+AGREE, SPOKES = 55, 256
+STARS, HUBS, GROWTH = 2, 16, 16
 _R = np.random.default_rng(5)
-_XOR = _R.integers(0, 1 << 63, (BANDS * EACH, 1)).astype(np.uint64)
-_MUL = _R.integers(0, 1 << 63, (BANDS * EACH, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _R.integers(0, 1 << 63, (PLACES, 1)).astype(np.uint64)
+_MUL = _R.integers(0, 1 << 63, (PLACES, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-
-def band_keys(grams: np.ndarray) -> list[int]:
-    """A signed long for each band of a set of hashes."""
-    least = np.full(BANDS * EACH, (1 << 64) - 1, np.uint64)
+def sketch(hashes: np.ndarray) -> tuple[bytes | None, int, list[int], bytes]:
+    """(digest, size, band keys, signature) of a document's shingle hashes; null digest without shingles."""
+    grams = np.unique(hashes)
+    if not len(grams):
+        return None, 0, [], b""
+    least = np.full(PLACES, (1 << 64) - 1, np.uint64)
     for s in range(0, len(grams), 1 << 10):
         least = np.minimum(least, ((grams[None, s : s + (1 << 10)] ^ _XOR) * _MUL).min(axis=1))
     keys = [xxhash.xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(BANDS, EACH))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def sketch(hashes: np.ndarray) -> tuple[bytes | None, list[int], bytes]:
-    """(digest, band keys, the set as bytes) of a document's shingle hashes; null digest without shingles."""
-    grams = np.unique(hashes)
-    if not len(grams):
-        return None, [], b""
-    raw = grams.tobytes()
-    return xxhash.xxh3_128_digest(raw), band_keys(grams), raw
+    return xxhash.xxh3_128_digest(grams.tobytes()), len(grams), np.array(keys, np.uint64).view(np.int64).tolist(), least.astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -55,63 +63,139 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def links(sketches: DataFrame, nodes: DataFrame, components, threshold: float) -> DataFrame:
-    """Edges (a, b) between nodes: equal sets, and sets at ``threshold`` or more.
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PLACES)
+
 
-    ``sketches``: fp, digest, bands, grams; ``nodes``: fp, rep. ``components`` labels the ends of edges.
+def _meet(batches: Iterator[pa.RecordBatch], hubs: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, digest): candidates (hub, hub_node, digest, node), and the rows that were no hub.
+
+    ``pos`` is the place of the key in the set's order; what comes after it bounds what two sets share.
     """
-    some = sketches.filter("digest is not null")
-    owners = some.select("digest", "fp").distinct().join(nodes, "fp").select("digest", "rep")
-    least = owners.groupBy("digest").agg(F.min("rep").alias("node"))
-    equal = owners.join(least, "digest").filter("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    keyed = some.groupBy("digest").agg(F.first("bands").alias("bands")).join(least, "digest").select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b <> top").select("key", "b")
-    loose = components(keyed.join(buckets, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    label = checkpointed(loose.select(F.col("node"), F.col("component").alias("grp")).union(loose.select("component", "component")).distinct())
-    wanted = checkpointed(least.join(label, "node"))  # digest, node, grp
-    sets = written(some.select("digest", "grams").join(wanted.select("digest"), "digest").groupBy("digest").agg(F.first("grams").alias("grams")).join(wanted, "digest"), "jaccard-sets")
-
-    first = sets.groupBy("grp").agg(F.min_by(F.struct("node", "grams"), F.struct("node", "digest")).alias("first"))
-
-    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, seen, share = None, 0, threshold / (1 + threshold)
+    digest: list[bytes] = []
+    node, size, comp, left_over = (np.zeros(0, np.int64) for _ in range(4))
+    sig = np.zeros((0, PLACES), np.uint8)
+    for x in batches:
+        keys, nodes, sizes, comps, places = (x[c].to_numpy() for c in ("key", "node", "size", "comp", "pos"))
+        over = sizes - places + 1
+        digests, sigs = x["digest"].to_pylist(), _signatures(x["sig"])
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist() if len(keys) else []
+        out: list[tuple] = []
+        left: list[np.ndarray] = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if keys[s] != key:
+                key, seen = keys[s], 0
+                digest, node, size, comp, left_over, sig = [], nodes[:0], sizes[:0], comps[:0], over[:0], sigs[:0]
+            if len(digest) < hubs:
+                to = min(e, s + hubs - len(digest))
+                digest = digest + digests[s:to]
+                node, size, comp, left_over, sig = (np.concatenate(p) for p in ((node, nodes[s:to]), (size, sizes[s:to]), (comp, comps[s:to]), (left_over, over[s:to]), (sig, sigs[s:to])))
+            step = max(1, (1 << 24) // (PLACES * len(digest)))
+            for a in range(s, e, step):
+                b = min(e, a + step)
+                fits = np.minimum(over[a:b, None], left_over) >= share * (sizes[a:b, None] + size) - 1e-9
+                fits &= (comps[a:b, None] != comp) & (seen + np.arange(a - s, b - s)[:, None] > np.arange(len(digest)))
+                row, hub = np.nonzero(fits)
+                close = np.empty(len(row), bool)
+                for c in range(0, len(row), 1 << 17):
+                    close[c : c + (1 << 17)] = (sigs[a + row[c : c + (1 << 17)]] == sig[hub[c : c + (1 << 17)]]).sum(axis=1) >= AGREE
+                out += [(digest[h], int(node[h]), digests[a + r], int(nodes[a + r])) for r, h in zip(row[close].tolist(), hub[close].tolist(), strict=True)]
+            first = s + max(0, min(hubs - seen, e - s))
+            left.append(np.arange(first, e))
+            seen += e - s
+        rest = x.take(pa.array(np.concatenate(left))) if left else x
+        nulls = lambda n, kind: pa.nulls(n, kind)
+        yield pa.record_batch([*(rest[c] for c in _MET[:6]), nulls(len(rest), pa.binary()), nulls(len(rest), pa.int64())], _MET)
+        if out:
+            h, hn, d, n = zip(*out, strict=True)
+            yield pa.record_batch([nulls(len(out), pa.int64()), pa.array(d, pa.binary()), pa.array(n, pa.int64()), nulls(len(out), pa.int64()), nulls(len(out), pa.binary()), nulls(len(out), pa.int64()), pa.array(h, pa.binary()), pa.array(hn, pa.int64())], _MET)
+
+
+_MET = ["key", "digest", "node", "size", "sig", "pos", "hub", "hub_node"]
+MET = "key long, digest binary, node long, size long, sig binary, pos long, hub binary, hub_node long"
+
+
+def _compare(batches: Iterator[pa.RecordBatch], hashes: Callable[[bytes], np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, salt, spoke), each hub's own text first: links (a, b) of nodes."""
+    grams = np.zeros(0, np.uint64)
+    turn("near copies")
+    for x in batches:
+        a, b = [], []
+        for spoke, hub_node, node, text in zip(x["spoke"].to_pylist(), x["hub_node"].to_pylist(), x["node"].to_pylist(), x["text"].cast(pa.binary()), strict=True):
+            own = np.unique(hashes(text.as_py()))
+            if not spoke:
+                grams = own
+            elif similarity(grams, own) >= threshold:
+                a.append(hub_node)
+                b.append(node)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def texts_of(digests: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(digest, text): one text for each of the digests; others do not move."""
+    wanted = written(digests.join(nodes.select("digest", "row"), "digest"), "jaccard-wanted")
+    passes = bitmap(wanted.select("row"), "row")
+    return written(sketches.filter(passes(F.xxhash64("row"))).select("row", "text").join(wanted, "row").select("digest", "text"), "jaccard-texts")
+
+
+def verified(candidates: DataFrame, nodes: DataFrame, sketches: DataFrame, hashes: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """(a, b): nodes of the candidates whose sets are within the threshold."""
+    texts = texts_of(candidates.select(F.col("hub").alias("digest")).union(candidates.select("digest")).distinct(), nodes, sketches)
+    salts = candidates.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / SPOKES).alias("salts"))
+    salted = candidates.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")))
+    spokes = salted.join(texts, "digest").select("hub", "salt", F.lit(True).alias("spoke"), "hub_node", "node", "text")
+    heads = salted.groupBy("hub", "salt").agg(F.max("hub_node").alias("hub_node")).join(texts.withColumnRenamed("digest", "hub"), "hub").select("hub", "salt", F.lit(False).alias("spoke"), "hub_node", F.col("hub_node").alias("node"), "text")
+    placed = heads.unionByName(spokes).repartition(partitions(candidates.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
+    return placed.mapInArrow(lambda it: _compare(it, hashes, threshold), "a long, b long")
+
+
+def by_rare_shingles(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, hashes: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """``rows`` dealt out anew: a row for each of a set's rarest shingles that another set has too, with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            pairs = zip(x["grams"].to_pylist(), x["pivot"].to_pylist(), strict=True)
-            sims = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs]
-            yield pa.record_batch([x["digest"], x["node"], x["grp"], x["pivot_node"], pa.array(sims, pa.float64())], ["digest", "node", "grp", "pivot_node", "sim"])
-
-    met = sets.join(first, "grp").select("digest", "node", "grp", "grams", F.col("first.node").alias("pivot_node"), F.col("first.grams").alias("pivot"))
-    near = checkpointed(met.mapInArrow(to_first, "digest binary, node long, grp long, pivot_node long, sim double"))
-    star = near.filter((F.col("sim") >= threshold) & (F.col("node") != F.col("pivot_node"))).select(F.col("node").alias("a"), F.col("pivot_node").alias("b"))
-
-    # within the threshold of the first are linked; compare the others with whatever is near enough by distance
-    reach = 1 - threshold + 1e-9
-    outer = near.filter(F.col("sim") < threshold).groupBy("grp").agg(F.max("sim").alias("closest"))
-    left = near.join(outer, "grp").filter(F.col("sim") - reach <= F.col("closest")).select("digest", "sim")
-
-    def inside(table: pa.Table) -> pa.Table:
-        node, sims = table["node"].to_numpy(), table["sim"].to_numpy()
-        grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        sizes = np.array([len(g) for g in grams])
-        parent = np.arange(len(node))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return int(x)
-
-        core = np.flatnonzero(sims >= threshold)
-        parent[core] = core[0] if len(core) else 0
-        others, out = np.flatnonzero(sims < threshold), []
-        for n, i in enumerate(others.tolist()):
-            with_ = np.concatenate((core, others[n + 1 :]))
-            fits = (np.abs(sims[with_] - sims[i]) <= reach) & (np.minimum(sizes[with_], sizes[i]) >= (threshold - 1e-9) * np.maximum(sizes[with_], sizes[i]))
-            for j in with_[fits].tolist():
-                a, b = find(i), find(j)
-                if a != b and similarity(grams[i], grams[j]) >= threshold:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
-        return pa.table({"a": pa.array([int(node[i]) for i, _ in out], pa.int64()), "b": pa.array([int(node[j]) for _, j in out], pa.int64())})
-
-    rest = sets.join(left, "digest").select("grp", "node", "sim", "grams").groupBy("grp").applyInArrow(inside, "a long, b long")
-    return equal.unionByName(star).unionByName(rest)
+            turn("near copies")
+            for digest, text in zip(x["digest"].to_pylist(), x["text"].cast(pa.binary()), strict=True):
+                grams = np.unique(hashes(text.as_py()))
+                yield pa.record_batch([pa.array([digest] * len(grams), pa.binary()), pa.array(grams.view(np.int64), pa.int64())], ["digest", "key"])
+
+    members = written(rows.dropDuplicates(["digest"]).select("digest", "node", "size", "sig", "comp"), "jaccard-open")
+    shingles = written(texts_of(members.select("digest"), nodes, sketches).mapInArrow(run, "digest binary, key long"), "jaccard-shingles")
+    counts = shingles.groupBy("key").agg(F.count("*").alias("n"))
+    placed = shingles.join(counts, "key").withColumn("pos", F.row_number().over(Window.partitionBy("digest").orderBy("n", "key")).cast("long"))
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    return placed.filter("n > 1").join(members, "digest").filter(F.col("pos") <= prefix).select("key", "digest", "node", "size", "sig", "pos", "comp")
+
+
+def links(sketches: DataFrame, components: Callable[..., DataFrame], hashes: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """Edges (a, b) between fingerprints: equal sets, and sets at ``threshold`` or more.
+
+    ``sketches``: row (unique), fp, text, digest, size, bands, sig. ``components`` labels the ends of edges, here
+    by as much as two rounds show; ``hashes`` gives the shingle hashes of a text.
+    """
+    some = sketches.filter("digest is not null")
+    nodes = written(some.groupBy("digest").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "jaccard-sets")
+    edges = some.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").filter("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    keyed = nodes.select("digest", F.explode("bands").alias("key"))
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n")
+    rows = written(shared.join(nodes.select("digest", "node", "size", "sig"), "digest").select("key", "digest", "node", "size", "sig", F.lit(1).cast("long").alias("pos"), F.col("node").alias("comp")), "jaccard-buckets")
+    for step in itertools.count():
+        if not rows.limit(1).count():
+            return edges
+        if step == STARS:
+            rows = written(by_rare_shingles(rows, nodes, sketches, hashes, threshold), "jaccard-buckets")
+        hubs = 1 if step < STARS else HUBS * GROWTH ** (step - STARS)
+        placed = rows.repartition(partitions(sketches.sparkSession), "key").sortWithinPartitions("key", "digest")
+        met = written(placed.mapInArrow(lambda it, n=hubs: _meet(it, n, threshold), MET), "jaccard-met")
+        candidates = written(met.filter("hub is not null").select("hub", "hub_node", "digest", "node").dropDuplicates(["hub", "digest"]), "jaccard-candidates")
+        if candidates.limit(1).count():
+            edges = edges.unionByName(written(verified(candidates, nodes, sketches, hashes, threshold), "jaccard-links"))
+        rest = met.filter("hub is null").drop("hub", "hub_node")
+        if not rest.limit(1).count():
+            return edges
+        found = written(components(edges, 2), "jaccard-known")
+        comps = rest.join(found, rest["node"] == found["node"], "left").select(*[rest[c] for c in rest.columns], F.coalesce("component", rest["node"]).alias("comp"))
+        comps = written(comps, "jaccard-labelled")
+        open_ = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        rows = written(comps.join(open_, "key", "left_semi"), "jaccard-buckets")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_jaccard
-from .common import checkpointed, id_text, partitions, positional, text_bytes, written
+from .common import checkpointed, id_text, partitions, positional, text_bytes, turn, written
 
 BITS = 64
 BUCKET_LIMIT = 1 << 18
@@ -65,25 +65,30 @@ def fingerprints(docs: DataFrame, words_each: int = 4, seed: int = 42) -> DataFr
     """doc_id, fp (the 64 bits as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("near copies")
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, words_each, seed)) for t in text_bytes(batch["text"])]
+            fps = [fingerprint(shingle_hashes(t.as_py(), words_each, seed)) for t in batch["text"].cast(pa.binary())]
             yield pa.record_batch([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def sketches(docs: DataFrame, words_each: int = 4, seed: int = 42) -> DataFrame:
-    """``fingerprints`` with digest, bands and grams of each row's set of five-word shingles."""
+    """``fingerprints`` with the text and the sketch of each row's set of five-word shingles, and a number for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("near copies")
         for batch in batches:
-            texts = text_bytes(batch["text"])
-            fps = [fingerprint(shingle_hashes(t, words_each, seed)) for t in texts]
-            digest, bands, grams = zip(*[near_jaccard.sketch(shingle_hashes(t, near_jaccard.WORDS, seed)) for t in texts], strict=True) if texts else ((), (), ())
-            columns = [batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(grams, pa.binary())]
-            yield pa.record_batch(columns, ["doc_id", "fp", "digest", "bands", "grams"])
+            fps, found = [], []
+            for t in batch["text"].cast(pa.binary()):
+                t = t.as_py()
+                fps.append(fingerprint(shingle_hashes(t, words_each, seed)))
+                found.append(near_jaccard.sketch(shingle_hashes(t, near_jaccard.WORDS, seed)))
+            digest, size, bands, sig = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.record_batch([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), batch["text"]], ["doc_id", "fp", "digest", "size", "bands", "sig", "text"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long, digest binary, bands array<long>, grams binary")
+    rows = id_text(docs).mapInArrow(run, "doc_id long, fp long, digest binary, size long, bands array<long>, sig binary, text string")
+    return rows.withColumn("row", F.monotonically_increasing_id())  # fixed by writing it
 
 
 def covering_masks(radius: int, within: int = (1 << BITS) - 1) -> list[int]:
@@ -227,15 +232,16 @@ def links(reps: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) ->
         rows = large.select("shared", "fp", "rep").mapInArrow(lambda it: _deal(it, radius), "shared long, key long, fp long, rep long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` reaches, by alternating stars.
 
     Each round links every node to the least of its neighbourhood, until nothing changes; the number of
     rounds is logarithmic in the longest path. Rows are distinct edges, so a hub is joined, never gathered
-    in one row.
+    in one row. After ``rounds``, where given, the least node found until then names the component: nodes of
+    one name are linked, but not all that are linked have one name.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, done = None, 0
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -243,6 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         now = checkpointed(small)
+        done += 1
+        if done == rounds:
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -259,7 +268,7 @@ def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: in
     nodes = reps.select("fp", F.col("fp").alias("rep"))
     edges = links(nodes, radius, bucket_limit)
     if jaccard is not None:
-        edges = edges.unionByName(near_jaccard.links(fps, nodes, components, jaccard))
+        edges = edges.unionByName(near_jaccard.links(fps, components, lambda t: shingle_hashes(t, near_jaccard.WORDS, seed), jaccard))
     # rows that share a doc_id are linked as one, whatever their texts
     repeated = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     edges = edges.unionByName(fps.join(repeated, "doc_id").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")))

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .bitmap import bitmap
+from .common import id_text, turn, written
 from .pieces import Pieces
 
 MEMO_PIECES, MEMO_PARTS, MEMO_LENGTH = 300_000, 50_000, 64
@@ -141,6 +142,7 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     """digest, text -> digest, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("token counts", counter_of.cache_clear)
         counter = counter_of(path)
         for batch in batches:
             counts = counter.count(x.as_py() for x in batch["text"])
@@ -160,12 +162,15 @@ def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit, content digest; the cache grows by the misses."""
     spark, version = docs.sparkSession, version_of(tokenizer_path)
-    texts = id_text(docs).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    keyed = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "token-digests")
+    texts, digest = id_text(docs), F.unhex(F.sha2("text", 256)).alias("digest")
+    keyed = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "token-digests")
     stored = read_cache(spark, cache_dir).filter(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    # one document of each missing digest; hot digests meet as partial minima, texts move by doc_id only
+    # one document of each missing digest; hot digests meet as partial minima, texts move by doc_id only, and
+    # with a warm cache hardly any do
     chosen = keyed.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("at")).join(stored, "digest", "left_anti")
-    source = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), "digest", "text")
+    chosen = written(chosen, "token-misses")
+    passes = bitmap(chosen.select("at"), "at")
+    source = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), "text").filter(passes(F.xxhash64("at"))).select("at", digest, "text")
     misses = source.join(chosen, ["at", "digest"]).dropDuplicates(["at", "digest"]) if has_repeats(keyed) else source.join(chosen.select("at"), "at", "left_semi")
     encode_counts(misses, tokenizer_path).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).filter(F.col("version") == version).select("digest", "n_tokens")

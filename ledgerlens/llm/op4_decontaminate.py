@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import positional, written
+from .common import positional, turn, written
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 17
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -277,10 +278,12 @@ LEAK = "struct<item_id:bigint,similarity:double,n_items:bigint>"
 
 def _matcher(sent, radius: int, threshold: float):
     held: dict[int, Index] = {}
+    name = f"decontamination {uuid.uuid4()}"  # each block's index is on its own
     kind = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("n_items", pa.int64())])
 
     @F.arrow_udf(LEAK)
     def match(texts: pa.Array) -> pa.Array:
+        turn(name, held.clear)
         if 0 not in held:
             held[0] = Index(sent.value, radius, threshold)
         found = (held[0].match(x.as_py()) if x.is_valid else None for x in texts)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, positional
+from .common import id_text, positional, turn
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -96,9 +96,9 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         met[points] = True
         met[0] = True
         present = np.flatnonzero(met)
-        short = np.zeros(0x110000, np.int64)
+        short = np.zeros(0x110000, np.int32)
         short[present] = np.arange(len(present))
-        codes, bits = short[points], max(1, int(len(present) - 1).bit_length())
+        codes, bits = short[points].astype(np.int64), max(1, int(len(present) - 1).bit_length())
         sizes = np.array([len(p) for p in part])
         inner = codes > 0
         inner[np.cumsum(sizes) - 1] = inner[np.cumsum(sizes) - sizes] = False
@@ -116,7 +116,7 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Profiles:
     """Bundles documents; holds the vectors of the trigrams met."""
 
-    LIMIT, STEP = 30_000, 4096
+    LIMIT, STEP = 20_000, 4096
 
     def __init__(self, seed: int, dimensions: int) -> None:
         self.seed, self.dimensions = seed, dimensions
@@ -170,11 +170,11 @@ class Model:
     seed: int
     dimensions: int
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         langs: list[str] = []
         scores: list[float] = []
         for s in range(0, len(texts), SLICE):
-            a, b = self._predict([t or "" for t in texts[s : s + SLICE]])
+            a, b = self._predict([t or "" for t in texts[s : s + SLICE].to_pylist()])
             langs += a
             scores += b
         return langs, scores
@@ -211,6 +211,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, seed: int = SEED, dimension
     place = {lang: i for i, lang in enumerate(languages)}
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("language", _profiles.cache_clear)
         sums = {}
         for batch in batches:
             for s in range(0, batch.num_rows, SLICE):
@@ -235,7 +236,8 @@ def predictor(model: Model):
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, scores = model.predict(texts.to_pylist())
+        turn("language", _profiles.cache_clear)
+        langs, scores = model.predict(texts)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return predict

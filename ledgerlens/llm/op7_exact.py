@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap
 from .common import id_text, partitions, size_in_bytes, written
 
 SPACE = " \t\n\x0b\x0c\r"
 BUCKET_BYTES = 64 << 20  # of texts: their digests are what a task holds
-BLOOM_BITS = 1 << 26  # the largest bitmap: 8 MB
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -209,40 +209,9 @@ def checked(texts: DataFrame, stored: DataFrame, positives: DataFrame) -> DataFr
     """
     both = written(positives.select("bucket", "digest", "best", "n").join(stored.select("bucket", "digest", F.col("best").alias("old")), ["bucket", "digest"]), "exact-hits")
     wanted = both.select(doc_id_of(F.col("best")).alias("at"), F.col("digest").alias("want")).unionByName(both.select(doc_id_of(F.col("old")).alias("at"), F.col("digest").alias("want")))
-    passes = bitmap(wanted.select("at"))
+    passes = bitmap(wanted.select("at"), "at")
     content = texts.filter(passes(F.xxhash64("doc_id"))).select("doc_id", normalised().alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
     found = content.join(wanted.hint("merge"), content["doc_id"].eqNullSafe(wanted["at"]) & (content["digest"] == wanted["want"]))
     same = found.groupBy("want").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     equal = same.select(F.when(F.col("lo") == F.col("hi"), F.col("want")).otherwise(F.raise_error(F.lit("different texts with one SHA-256"))).alias("digest"))
     return both.drop("old").join(equal, "digest")
-
-
-def bitmap(ids: DataFrame):
-    """A column function over xxhash64(id): false only for ids that are not among ``ids`` (a Bloom filter)."""
-    spark, bits = ids.sparkSession, 1 << 16
-    n = ids.count()
-    while bits < min(16 * n, BLOOM_BITS):
-        bits *= 2
-    places = bloom_places(F.xxhash64("at"), bits)
-    words = ids.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("x"))
-    table = np.zeros(bits // 64, np.int64)
-    for batch in words.toArrow().to_batches():  # one row for each 64 bits at most
-        table[batch["word"].to_numpy()] = batch["x"].to_numpy()
-    sent = spark.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def passes(hashes: pa.Array) -> pa.Array:
-        h, held, out = hashes.to_numpy(zero_copy_only=False), sent.value, True
-        for shift in BLOOM_SHIFTS:
-            p = (h >> shift) & (bits - 1)
-            out = out & ((held[p >> 6] >> (p & 63)) & 1).astype(bool)
-        return pa.array(out)
-
-    return passes
-
-
-BLOOM_SHIFTS = (0, 17, 37)
-
-
-def bloom_places(h: Column, bits: int) -> list[Column]:
-    return [F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in BLOOM_SHIFTS]

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, partitions, written
+from .common import id_text, partitions, turn, written
 from .pieces import Pieces
 
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_TOKENS = 1 << 20
-MEMO_WORDS, WIDE = 1_000_000, 24
+MEMO_WORDS, WIDE = 500_000, 24
 SLICE = 1 << 19
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -57,7 +57,7 @@ class Words:
     bytes for a whole slice of texts at once; longer ones are encoded where they occur.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path, words=True)
@@ -311,12 +311,16 @@ class TokenFile:
         return unpack_blocks(self.starts, self.body, 0, len(self.starts) - 1)[: self.n_ids]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, percentile: float = PERCENTILE, file_tokens: int = FILE_TOKENS, encoder: Callable = words_of) -> DataFrame:
-    """The table of files (part, file, ids before it in the part, n_ids, payload), written below the shared folder."""
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, percentile: float = PERCENTILE, file_tokens: int = FILE_TOKENS, encoder: Callable = words_of, folder: str | None = None) -> DataFrame:
+    """The table of files (part, file, ids before it in the part, n_ids, payload), written to ``folder``.
+
+    Without a folder it is written below the shared one, for as long as the application runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        turn("token files", words_of.cache_clear)
         part, words = TaskContext.get().partitionId(), encoder(tokenizer_path)
         held_docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -338,7 +342,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, percenti
             yield out()
 
     ranged = id_text(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ranged.mapInArrow(run, "part long, file long, before long, n_ids long, payload binary"), "token-files")
+    files = ranged.mapInArrow(run, "part long, file long, before long, n_ids long, payload binary")
+    if folder is None:
+        return written(files, "token-files")
+    files.write.parquet(folder)
+    return docs.sparkSession.read.schema(files.schema).parquet(folder)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir
+from .common import scratch_dir
 from .op1_suffix import SUFFIX_SQL, suffix_dedup
 from .op2_url import url_sql, url_verdicts
 from .op3_token_counts import token_counts
@@ -35,7 +35,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache of its own, so that every distinct text is encoded in this run."""
-    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = f"{scratch_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 

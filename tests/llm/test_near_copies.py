@@ -2,16 +2,13 @@
 
 import random
 
+from brute_groups import near_groups
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def grams(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
 def test_near_copies_at_five_words(spark):
     r = random.Random(9)
     texts = []
@@ -22,11 +19,63 @@ def test_near_copies_at_five_words(spark):
             texts.append([w if r.random() > changed else f"n{r.randrange(10**5)}" for w in base])
     texts += [[], ["lone"], ["a", "b", "c"]]
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
-    sets = [grams(t) for _, t, *_ in rows]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()}
-    label = list(range(len(rows)))
-    for i, j in near:
-        a, b = sorted((label[i], label[j]))
-        label = [a if x == b else x for x in label]
-    assert near and kept == {i for i in range(len(rows)) if label[i] == i}
+    label = near_groups(rows)
+    assert len(set(label.values())) < len(rows) and kept == {i for i, x in label.items() if x == i}
+
+
+def test_loose_clusters_are_linked_exactly(spark):
+    """Variants of one template, most pairs of which are a little below or above the threshold."""
+    r = random.Random(2)
+    rows = []
+    for c in range(4):
+        base = [f"c{c}w{i}" for i in range(120)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(r.randint(0, 5)):
+                words[r.randrange(len(words))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    label = near_groups(rows)
+    assert 4 < len(set(label.values())) < len(rows) - 4
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()}
+    assert kept == {i for i, x in label.items() if x == i}
+
+
+def test_a_common_passage_alone_links_nothing(spark):
+    """Texts that share a passage, some of them near copies of each other at that: prefixes find these and no others."""
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(60):
+        words = passage + [f"o{r.randrange(10**6)}" for _ in range(r.randint(8, 30))]
+        rows.append((len(rows), " ".join(words), "en", "s", 1))
+        if r.random() < 0.3:
+            words[r.randrange(len(words))] = "changed"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    label = near_groups(rows)
+    assert 3 < len(rows) - len(set(label.values())) < 40
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()}
+    assert kept == {i for i, x in label.items() if x == i}
+
+
+def test_hubs_meet_every_later_member():
+    """Over all rounds each pair of a bucket meets once, whatever the batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm import near_jaccard as nj
+
+    r = random.Random(5)
+    members = sorted((k, bytes([k, i])) for k in range(6) for i in range(r.choice([1, 2, 7, 30])))
+    sig = bytes(nj.PLACES)
+    met, hubs = [], 1
+    rows = members
+    while rows:
+        table = pa.table({"key": pa.array([k for k, _ in rows], pa.int64()), "digest": pa.array([d for _, d in rows], pa.binary()), "node": pa.array([d[0] * 100 + d[1] for _, d in rows], pa.int64()), "size": pa.array([10] * len(rows), pa.int64()), "pos": pa.array([1] * len(rows), pa.int64()), "sig": pa.array([sig] * len(rows), pa.binary()), "comp": pa.array([d[0] * 100 + d[1] for _, d in rows], pa.int64())})
+        out = pa.Table.from_batches(nj._meet(iter(table.to_batches(max_chunksize=r.choice([1, 4, 100]))), hubs, 0.8)).to_pylist()
+        met += [(x["hub"], x["digest"]) for x in out if x["hub"]]
+        rows = [(x["key"], x["digest"]) for x in out if not x["hub"]]
+        hubs *= 4
+    want = {(a, b) for k, a in members for l, b in members if k == l and a < b}
+    assert len(met) == len(set(met)) and set(met) == want
+    assert np.array(met).size

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -334,15 +335,16 @@ def test_filters_have_no_false_negatives():
 
 
 def test_pipeline_against_its_parts(spark):
-    from tests_llm_brute import fingerprint_groups
+    from brute_groups import near_groups
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [tuple(x) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [tuple(x) for x in docs.collect()]
     model = op6.learn(docs)
-    langs, _ = model.predict([t for _, t, *_ in rows])
-    rows = [x for x, lang in zip(rows, langs) if lang != "und"]
-    component = fingerprint_groups(rows)
+    langs, scores = model.predict(pa.array([t for _, t, *_ in rows], pa.string()))
+    strange = lambda t, score: sum(c.isalpha() for c in t) >= op6.ENOUGH and score < op6.NOISE / math.sqrt(op6.DIMENSIONS)
+    rows = [x for x, lang, score in zip(rows, langs, scores) if lang != "und" and not strange(x[1], score)]
+    component = near_groups(rows)
     rows = [x for x in rows if component[x[0]] == x[0]]
     dirty = {d for d, bad, *_ in brute_leaks(rows, bench) if bad}
     rows = [x for x in rows if x[0] not in dirty]
