@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_LOCK = Lock()
 T = TypeVar("T")
 
 
@@ -31,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(base)
@@ -41,13 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application below the shared one; the driver deletes it when it ends."""
     app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        _ROOTS[app] = f"{shared_dir(spark)}/ledgerlens-{app}-{uuid.uuid4().hex[:8]}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return _ROOTS[app]
+    as_path = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    with _LOCK:
+        root = _ROOTS.get(app)
+        if root is None or not as_path(root).getFileSystem(settings).exists(as_path(root)):
+            root = f"{shared_dir(spark)}/ledgerlens-{app}-{uuid.uuid4().hex[:8]}"
+            files = as_path(root).getFileSystem(settings)
+            files.mkdirs(as_path(root))
+            files.deleteOnExit(as_path(root))
+            _ROOTS[app] = root
+        return root
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

@@ -611,6 +611,120 @@ def reachable(spark, sf_dir):
     return graph.reachable(pairs, start)
 
 
+_REGISTER_WR = "SELECT w.src, r.index AS dst FROM (SELECT k, v, min(index) AS src FROM ew WHERE type = 'ok' GROUP BY 1, 2 HAVING count(*) = 1) w JOIN er r ON r.k = w.k AND r.v = w.v AND r.type = 'ok' WHERE src <> r.index"
+_REGISTER_WW = "SELECT a.index AS src, b.index AS dst FROM rv JOIN ew a ON a.k = rv.k AND a.v = v1 AND a.type = 'ok' JOIN ew b ON b.k = rv.k AND b.v = v2 AND b.type = 'ok' WHERE a.index <> b.index"
+_REGISTER_RW = "SELECT a.index AS src, b.index AS dst FROM rv JOIN er a ON a.k = rv.k AND a.v IS NOT DISTINCT FROM v1 AND a.type = 'ok' JOIN ew b ON b.k = rv.k AND b.v = v2 AND b.type = 'ok' WHERE a.index <> b.index"
+
+
+def _folded(*parts: tuple[str, int]) -> str:
+    return "SELECT src, dst, CAST(bit_or(rel) AS INT) AS rels FROM (" + " UNION ALL ".join(f"SELECT src, dst, {bit} AS rel FROM ({sql})" for sql, bit in parts) + ") GROUP BY 1, 2"
+
+
+@_query(_EXT + _REG_VERSIONS + _folded((_REGISTER_WW, 1), (_REGISTER_WR, 2), (_REGISTER_RW, 4)))
+def register_edges(spark, sf_dir):
+    """All edges of the register history as one graph."""
+    order, reads, writes = _register_versions(spark, sf_dir)
+    return edges.edge_union(edges.union(edges.register_wr(reads, writes), edges.register_ww(order, writes), edges.register_rw(order, reads, writes)))
+
+
+_PREDICATE_PARTS = (
+    ("SELECT a.writer AS src, b.writer AS dst FROM pv b JOIN pv a ON a.k = b.k AND a.pos = b.pos - 1 JOIN pmops m ON m.index = b.writer AND m.mop_idx = b.mop AND m.k = b.k AND m.f IN ('insert', 'delete') WHERE a.writer IS NOT NULL AND a.writer <> b.writer", 1),
+    ("SELECT w.writer AS src, r.index AS dst FROM pread r JOIN pv w ON w.k = r.k AND w.pos = r.pos WHERE w.writer IS NOT NULL AND w.writer <> r.index", 2),
+    ("SELECT r.index AS src, w.writer AS dst FROM pread r JOIN pv w ON w.k = r.k AND w.pos = r.pos + 1 WHERE w.writer <> r.index", 4),
+    ("SELECT w.writer AS src, r.index AS dst FROM pvset r JOIN pv w ON w.k = r.k AND w.pos = r.pos WHERE w.writer IS NOT NULL AND w.writer <> r.index", 16),
+    ("SELECT r.index AS src, w.writer AS dst FROM pvset r JOIN pv o ON o.k = r.k AND o.pos = r.pos JOIN pv w ON w.k = r.k AND w.pos > r.pos AND w.writer IS NOT NULL WHERE w.writer <> r.index AND (coalesce(w.state = 'live' AND w.v % 2 = 0, false)) <> (coalesce(o.state = 'live' AND o.v % 2 = 0, false))", 32),
+)
+
+
+@_predicate(_folded(*_PREDICATE_PARTS))
+def predicate_edges(spark, sf_dir):
+    """All edges of the predicate history as one graph."""
+    mops, states = _states(spark, sf_dir)
+    return edges.edge_union(edges.predicate_facts(mops, states, edges.version_sets(mops, states)))
+
+
+_PROCESS = "SELECT src, dst FROM (SELECT index AS src, lead(index) OVER (PARTITION BY process ORDER BY index) AS dst FROM ops WHERE type = 'ok') WHERE dst IS NOT NULL"
+_REALTIME = "SELECT a AS src, b.comp AS dst FROM bounded JOIN spans b ON a < b.inv AND (bound IS NULL OR b.inv < bound)"
+_BOUNDED = ", spans AS (SELECT DISTINCT inv, index AS comp, type FROM mops WHERE type <> 'invoke'), bounded AS (SELECT a.comp AS a, min(c.comp) AS bound FROM (SELECT * FROM spans WHERE type = 'ok') a LEFT JOIN (SELECT * FROM spans WHERE type = 'ok') c ON c.inv > a.comp GROUP BY 1) "
+
+
+@_query(_LIST_EDGES + _BOUNDED + "SELECT src, dst, CAST(bit_or(rel) AS INT) AS rels FROM (SELECT src, dst, rels AS rel FROM edges UNION ALL SELECT src, dst, 64 FROM (" + _PROCESS + ") UNION ALL SELECT src, dst, 128 FROM (" + _REALTIME + ")) GROUP BY 1, 2")
+def combined_edges(spark, sf_dir):
+    """Three analyzers as one: lists, processes and real time."""
+    lists = lambda h: check.Analysis(edges.list_facts(h.possible().mops))
+    both = check.combine(lists, check.process_analyzer, check.realtime_analyzer)
+    return edges.edge_union(both(synthetic.list_history(spark, sf_dir)).facts)
+
+
+@_query(_LIST_EDGES + "SELECT * FROM edges WHERE NOT (src % 2 = 0 AND rels = 4)")
+def unlinked(spark, sf_dir):
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.unlink(pairs, pairs.filter("src % 2 = 0 and rels = 4"))
+
+
+@_query(_LIST_EDGES + "SELECT * FROM (SELECT CAST(floor(src / 100.0) AS BIGINT) AS src, CAST(floor(dst / 100.0) AS BIGINT) AS dst, CAST(bit_or(rels) AS INT) AS rels FROM edges GROUP BY 1, 2) WHERE src <> dst")
+def without_self_edges(spark, sf_dir):
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.without_self_edges(graph.map_vertices(pairs, graph.vertices(pairs).withColumn("to", F.floor(F.col("vertex") / 100))))
+
+
+@_query(_LIST_EDGES + "SELECT src, dst, rels, 'out' AS side FROM edges WHERE src % 3 = 0 UNION ALL SELECT src, dst, rels, 'in' FROM edges WHERE dst % 3 = 0")
+def ways_in_and_out(spark, sf_dir):
+    pairs = pinned(_list_edges(spark, sf_dir))
+    some = graph.vertices(pairs).filter("vertex % 3 = 0")
+    return graph.out_of(pairs, some).withColumn("side", F.lit("out")).unionByName(graph.into(pairs, some).withColumn("side", F.lit("in")))
+
+
+@_query(_LIST_EDGES + "SELECT * FROM edges WHERE src % 2 = 0 AND dst % 2 = 0")
+def induced(spark, sf_dir):
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.induced(pairs, graph.vertices(pairs).filter("vertex % 2 = 0"))
+
+
+@_query(_LIST_EDGES + ", more AS (SELECT src, dst, rels FROM edges UNION ALL SELECT -1, src, 64 FROM edges WHERE src % 3 = 0 UNION ALL SELECT src, -2, 128 FROM edges WHERE src % 3 = 0) SELECT src, dst, CAST(bit_or(rels) AS INT) AS rels FROM more GROUP BY 1, 2")
+def linked(spark, sf_dir):
+    """With one vertex before, and one after, some others."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    some = pairs.filter("src % 3 = 0").select(F.col("src").alias("vertex"))
+    return graph.link_all_to(graph.link_to_all(pairs, -1, some, 64), some, -2, 128)
+
+
+@_query(_LIST_EDGES + ", open_ AS (SELECT src, dst FROM edges WHERE src % 2 = 0 UNION SELECT o.src, e.dst FROM open_ o JOIN edges e ON e.src = o.dst WHERE o.dst % 2 <> 0) SELECT src, dst FROM open_ WHERE dst % 2 = 0", recursive=True)
+def collapsed(spark, sf_dir):
+    """Only vertices at even positions, linked through the others."""
+    pairs = pinned(_list_edges(spark, sf_dir))
+    return graph.collapse(pairs, graph.vertices(pairs).filter("vertex % 2 = 0"))
+
+
+@_query(_LIST_EDGES + "SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS dsts FROM edges GROUP BY 1")
+def adjacency(spark, sf_dir):
+    return graph.adjacency(_list_edges(spark, sf_dir)).select("src", spelled(F.col("dsts")).alias("dsts"))
+
+
+_TEXTS = _LIST_EDGES + """, fact AS (SELECT *, 1 AS place FROM ww UNION ALL SELECT *, 2 FROM wr UNION ALL SELECT *, 3 FROM rw),
+pair AS (SELECT a.src, a.dst FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
+step AS (SELECT src AS one, dst AS two, 0 AS n, src, dst, 'T1' AS a, 'T2' AS b FROM pair UNION ALL SELECT src, dst, 1, dst, src, 'T2', 'T1' FROM pair),
+reason AS (SELECT s.*, f.place, f.k, f.v1, f.v2 FROM step s JOIN fact f ON f.src = s.src AND f.dst = s.dst QUALIFY row_number() OVER (PARTITION BY one, two, n ORDER BY place, a_mop NULLS LAST, b_mop, f.k, f.v1 NULLS FIRST, f.v2 NULLS FIRST) = 1),
+told AS (SELECT *, CASE place WHEN 1 THEN b || ' appended ' || v2 || ' after ' || a || ' appended ' || coalesce(v1::VARCHAR, 'the initial state') || ' to ' || k
+  WHEN 2 THEN b || ' saw what ' || a || ' wrote: ' || coalesce(v1::VARCHAR, 'the initial state') || ' of key ' || k
+  ELSE a || ' read ' || coalesce(v1::VARCHAR, 'the initial state') || ' of key ' || k || ', and did not see the write of ' || coalesce(v2::VARCHAR, 'its removal') || ' by ' || b END AS why FROM reason)
+SELECT x.one AS src, x.two AS dst, 'Let:' || chr(10) || '  T1 = op ' || x.one || chr(10) || '  T2 = op ' || x.two || chr(10) || chr(10) || 'Then:' || chr(10) || '  - T1 < T2, because ' || x.why || '.' || chr(10) || '  - However, T2 < T1, because ' || y.why || ': a contradiction!' AS text
+FROM told x JOIN told y ON x.one = y.one AND x.two = y.two AND x.n = 0 AND y.n = 1
+"""
+
+
+@_query(_TEXTS)
+def two_cycle_texts(spark, sf_dir):
+    """Why two transactions that depend on each other do."""
+    h = synthetic.list_history(spark, sf_dir)
+    facts = pinned(edges.list_facts(h.possible().mops))
+    pairs = pinned(edges.edge_union(facts))
+    back = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    found = pinned(pairs.join(back, ["src", "dst"]).filter("src < dst").select(F.concat_ws("/", "src", "dst").alias("cycle_id"), F.array("src", "dst", "src").alias("cycle")))
+    texts = explain.rendered(found, facts, h.ops).join(found, "cycle_id")
+    return texts.select(F.get("cycle", F.lit(0)).alias("src"), F.get("cycle", F.lit(1)).alias("dst"), "text")
+
+
 @_query(_LIST_EDGES + "SELECT a.src, a.dst FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.rels & 1 <> 0 AND b.rels & 1 <> 0")
 def g0_two_cycles(spark, sf_dir):
     """Pairs of transactions that wrote around each other."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import written
+from ..functions.shared import scratch_dir, written
 from .history import History
 
 _STORED: dict[tuple[str, str, str], History] = {}
@@ -19,7 +19,7 @@ _STORED: dict[tuple[str, str, str], History] = {}
 
 def _stored(spark: SparkSession, sf_dir: str, kind: str, make) -> History:
     """A history of a folder is written once for each application, and then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    key = (scratch_dir(spark), sf_dir, kind)  # a new folder, a new history
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]
