@@ -11,7 +11,7 @@ from ledgerlens.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised (null, or without any letters) go."""
+    """Documents in which no language is recognised go: null, without letters, or no nearer to any language than by chance."""
     return op6_language.keep(docs)
 
 
