@@ -42,7 +42,7 @@ from .pieces import Pieces
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_TOKENS = 1 << 20
-MEMO_WORDS, WIDE = 500_000, 24
+MEMO_WORDS, WIDE = 800_000, 24
 SLICE = 1 << 19
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -57,7 +57,7 @@ class Words:
     bytes for a whole slice of texts at once; longer ones are encoded where they occur.
     """
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 21
 
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path, words=True)
@@ -66,9 +66,10 @@ class Words:
     def forget(self) -> None:
         self.slots = np.full(self.SLOTS, -1, np.int32)
         self.n = self.n_ids = 0
-        self.keys = np.zeros((1 << 16, WIDE // 8), np.uint64)
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
+        # pages of these are taken as they are written
+        self.keys = np.zeros((MEMO_WORDS, WIDE // 8), np.uint64)
+        self.start, self.count = np.zeros(MEMO_WORDS, np.int32), np.zeros(MEMO_WORDS, np.int32)
+        self.ids = np.zeros(6 * MEMO_WORDS, np.uint32)
 
     @staticmethod
     def mixed(keys: np.ndarray) -> np.ndarray:
