@@ -60,7 +60,7 @@ class Result:
     def write(self, folder: str) -> None:
         """Everything for people below ``folder``: cycles by type (S8), graphs of components and cycles (S9), pages of keys."""
         found = pinned(self.witnesses())
-        texts = explain.rendered(found.select("cycle_id", "cycle"), self.facts, self.history.ops, self.kind).join(found.select("cycle_id", "type"), "cycle_id")
+        texts = explain.rendered(found.select("cycle_id", "cycle"), self.facts, self.history.ops, self.kind, self.history.mops).join(found.select("cycle_id", "type"), "cycle_id")
         render.write_cycles(texts.select("type", "text"), f"{folder}/cycles")
         steps = pinned(explain.explained_steps(found.select("cycle_id", "cycle"), self.facts, self.kind))
         render.write_files(render.cycle_dots(steps, self.history.mops), ["cycle_id"], "dot", f"{folder}/cycle-graphs")

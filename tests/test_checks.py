@@ -171,6 +171,14 @@ def test_closed_predicates(spark):
     assert "G-single" in types(run(multi))
 
 
+def test_predicate_reads_are_explained(spark, tmp_path):
+    ops = [P(mop("insert", "x", 2), mop("rp", pred=("mod", 2, 0), seen={"x": 2})), P(mop("insert", "y", 4), mop("rp", pred=("mod", 2, 0), seen={"y": 4}), process=1)]
+    result = check.check_closed_predicate(history(spark, ops), ("serializable",))
+    result.write(str(tmp_path))
+    text = "".join(p.read_text() for p in tmp_path.glob("cycles/*/part-*.txt"))
+    assert "the predicate read of" in text and "(value mod 2 = 0)" in text and "met key y" in text and "would change with 4" in text
+
+
 def test_generic_checker_on_monotonic_keys(spark):
     reads = [{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}, {"x": 0, "y": 1}]
     ops = [P(*[mop("r", k, v) for k, v in r.items()], process=i) for i, r in enumerate(reads)]
