@@ -171,7 +171,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: in
     chosen = written(chosen, "token-misses")
     passes = bitmap(chosen.select("at"), "at")
     source = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), "text").filter(passes(F.xxhash64("at"))).select("at", digest, "text")
-    misses = source.join(chosen, ["at", "digest"]).dropDuplicates(["at", "digest"]) if has_repeats(keyed) else source.join(chosen.select("at"), "at", "left_semi")
+    # the misses grow with the table, so neither side is broadcast
+    misses = source.join(chosen.hint("merge"), ["at", "digest"]).dropDuplicates(["at", "digest"]) if has_repeats(keyed) else source.join(chosen.select("at").hint("merge"), "at", "left_semi")
     encode_counts(misses, tokenizer_path).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).filter(F.col("version") == version).select("digest", "n_tokens")
     if counts.groupBy("digest").count().filter("count > 1").limit(1).count():  # two runs appended the same
