@@ -70,14 +70,15 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def _meet(batches: Iterator[pa.RecordBatch], hubs: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, digest): candidates (hub, hub_node, digest, node), and the rows that were no hub.
 
+    ``comp`` names what a set is known to be linked with; for candidates it stands as the node.
     ``pos`` is the place of the key in the set's order; what comes after it bounds what two sets share.
     """
     key, seen, share = None, 0, threshold / (1 + threshold)
     digest: list[bytes] = []
-    node, size, comp, left_over = (np.zeros(0, np.int64) for _ in range(4))
+    size, comp, left_over = (np.zeros(0, np.int64) for _ in range(3))
     sig = np.zeros((0, PLACES), np.uint8)
     for x in batches:
-        keys, nodes, sizes, comps, places = (x[c].to_numpy() for c in ("key", "node", "size", "comp", "pos"))
+        keys, sizes, comps, places = (x[c].to_numpy() for c in ("key", "size", "comp", "pos"))
         over = sizes - places + 1
         digests, sigs = x["digest"].to_pylist(), _signatures(x["sig"])
         cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist() if len(keys) else []
@@ -86,11 +87,11 @@ def _meet(batches: Iterator[pa.RecordBatch], hubs: int, threshold: float) -> Ite
         for s, e in zip(cuts, cuts[1:], strict=False):
             if keys[s] != key:
                 key, seen = keys[s], 0
-                digest, node, size, comp, left_over, sig = [], nodes[:0], sizes[:0], comps[:0], over[:0], sigs[:0]
+                digest, size, comp, left_over, sig = [], sizes[:0], comps[:0], over[:0], sigs[:0]
             if len(digest) < hubs:
                 to = min(e, s + hubs - len(digest))
                 digest = digest + digests[s:to]
-                node, size, comp, left_over, sig = (np.concatenate(p) for p in ((node, nodes[s:to]), (size, sizes[s:to]), (comp, comps[s:to]), (left_over, over[s:to]), (sig, sigs[s:to])))
+                size, comp, left_over, sig = (np.concatenate(p) for p in ((size, sizes[s:to]), (comp, comps[s:to]), (left_over, over[s:to]), (sig, sigs[s:to])))
             step = max(1, (1 << 24) // (PLACES * len(digest)))
             for a in range(s, e, step):
                 b = min(e, a + step)
@@ -100,7 +101,7 @@ def _meet(batches: Iterator[pa.RecordBatch], hubs: int, threshold: float) -> Ite
                 close = np.empty(len(row), bool)
                 for c in range(0, len(row), 1 << 17):
                     close[c : c + (1 << 17)] = (sigs[a + row[c : c + (1 << 17)]] == sig[hub[c : c + (1 << 17)]]).sum(axis=1) >= AGREE
-                out += [(digest[h], int(node[h]), digests[a + r], int(nodes[a + r])) for r, h in zip(row[close].tolist(), hub[close].tolist(), strict=True)]
+                out += [(digest[h], int(comp[h]), digests[a + r], int(comps[a + r])) for r, h in zip(row[close].tolist(), hub[close].tolist(), strict=True)]
             first = s + max(0, min(hubs - seen, e - s))
             left.append(np.arange(first, e))
             seen += e - s
@@ -117,16 +118,26 @@ MET = "key long, digest binary, node long, size long, sig binary, pos long, hub
 
 
 def _compare(batches: Iterator[pa.RecordBatch], hashes: Callable[[bytes], np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, salt, spoke), each hub's own text first: links (a, b) of nodes."""
+    """Rows sorted by (hub, salt, spoke), each hub's own text first: links (a, b) of nodes.
+
+    What the task's links connect already is not compared again, so it gives fewer links than it has nodes.
+    """
     grams = np.zeros(0, np.uint64)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
     turn("near copies")
     for x in batches:
         a, b = [], []
         for spoke, hub_node, node, text in zip(x["spoke"].to_pylist(), x["hub_node"].to_pylist(), x["node"].to_pylist(), x["text"].cast(pa.binary()), strict=True):
-            own = np.unique(hashes(text.as_py()))
             if not spoke:
-                grams = own
-            elif similarity(grams, own) >= threshold:
+                grams = np.unique(hashes(text.as_py()))
+            elif (one := find(hub_node)) != (other := find(node)) and similarity(grams, np.unique(hashes(text.as_py()))) >= threshold:
+                parent[one] = other
                 a.append(hub_node)
                 b.append(node)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -168,18 +179,28 @@ def by_rare_shingles(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, has
     return placed.filter("n > 1").join(members, "digest").filter(F.col("pos") <= prefix).select("key", "digest", "node", "size", "sig", "pos", "comp")
 
 
-def links(sketches: DataFrame, components: Callable[..., DataFrame], hashes: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
-    """Edges (a, b) between fingerprints: equal sets, and sets at ``threshold`` or more.
+def links(sketches: DataFrame, edges: DataFrame, contracted: Callable[[DataFrame], DataFrame], hashes: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """Edges (a, b) between fingerprints that connect what ``edges`` do, equal sets, and sets at ``threshold`` or more.
 
-    ``sketches``: row (unique), fp, text, digest, size, bands, sig. ``components`` labels the ends of edges, here
-    by as much as two rounds show; ``hashes`` gives the shingle hashes of a text.
+    ``sketches``: row (unique), fp, text, digest, size, bands, sig. ``contracted`` gives an edge from each node to the
+    least one it reaches; ``hashes`` gives the shingle hashes of a text. What is known to be linked counts as one
+    node: it is not compared, links are found between such nodes alone, and each step contracts its own.
     """
     some = sketches.filter("digest is not null")
     nodes = written(some.groupBy("digest").agg(F.min("fp").alias("node"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "jaccard-sets")
-    edges = some.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").filter("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    equal = some.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").filter("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    edges = contracted(edges.unionByName(equal))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """``rows`` with the node of all they are linked with (comp), of buckets that hold several such nodes."""
+        known = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        comps = written(rows.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-labelled")
+        open_ = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        return written(comps.join(open_, "key", "left_semi"), "jaccard-buckets")
+
     keyed = nodes.select("digest", F.explode("bands").alias("key"))
     shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n")
-    rows = written(shared.join(nodes.select("digest", "node", "size", "sig"), "digest").select("key", "digest", "node", "size", "sig", F.lit(1).cast("long").alias("pos"), F.col("node").alias("comp")), "jaccard-buckets")
+    rows = still_open(shared.join(nodes.select("digest", "node", "size", "sig"), "digest").withColumn("pos", F.lit(1).cast("long")))
     for step in itertools.count():
         if not rows.limit(1).count():
             return edges
@@ -190,12 +211,11 @@ def links(sketches: DataFrame, components: Callable[..., DataFrame], hashes: Cal
         met = written(placed.mapInArrow(lambda it, n=hubs: _meet(it, n, threshold), MET), "jaccard-met")
         candidates = written(met.filter("hub is not null").select("hub", "hub_node", "digest", "node").dropDuplicates(["hub", "digest"]), "jaccard-candidates")
         if candidates.limit(1).count():
-            edges = edges.unionByName(written(verified(candidates, nodes, sketches, hashes, threshold), "jaccard-links"))
+            new = contracted(written(verified(candidates, nodes, sketches, hashes, threshold), "jaccard-links"))
+            # the ends of new edges are the least of their group until now, so none of them is an "a" yet
+            moved = edges.join(new.select(F.col("a").alias("b"), F.col("b").alias("to")), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+            edges = written(moved.unionByName(new), "jaccard-known")
         rest = met.filter("hub is null").drop("hub", "hub_node")
         if not rest.limit(1).count():
             return edges
-        found = written(components(edges, 2), "jaccard-known")
-        comps = rest.join(found, rest["node"] == found["node"], "left").select(*[rest[c] for c in rest.columns], F.coalesce("component", rest["node"]).alias("comp"))
-        comps = written(comps, "jaccard-labelled")
-        open_ = comps.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = written(comps.join(open_, "key", "left_semi"), "jaccard-buckets")
+        rows = still_open(rest)

@@ -232,32 +232,34 @@ def links(reps: DataFrame, radius: int = 4, bucket_limit: int = BUCKET_LIMIT) ->
         rows = large.select("shared", "fp", "rep").mapInArrow(lambda it: _deal(it, radius), "shared long, key long, fp long, rep long").distinct()
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, component): the least node that each node of ``edges`` reaches, by alternating stars.
+def contracted(edges: DataFrame) -> DataFrame:
+    """An edge (a, b) from each node of ``edges`` to the least node it reaches, by alternating stars.
 
     Each round links every node to the least of its neighbourhood, until nothing changes; the number of
     rounds is logarithmic in the longest path. Rows are distinct edges, so a hub is joined, never gathered
-    in one row. After ``rounds``, where given, the least node found until then names the component: nodes of
-    one name are linked, but not all that are linked have one name.
+    in one row, and a join makes as many rows as it reads edges. A node that is the least itself has no edge.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before, done = None, 0
+    before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # read twice below
+        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         now = checkpointed(small)
-        done += 1
-        if done == rounds:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return now.select(F.col("u").alias("a"), F.col("v").alias("b"))
         before = state
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node of ``edges`` reaches, where that is another one."""
+    return contracted(edges).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
 def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: int = 4, bucket_limit: int = BUCKET_LIMIT, jaccard: float | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
@@ -268,7 +270,7 @@ def near_groups(docs: DataFrame, words_each: int = 4, seed: int = 42, radius: in
     nodes = reps.select("fp", F.col("fp").alias("rep"))
     edges = links(nodes, radius, bucket_limit)
     if jaccard is not None:
-        edges = edges.unionByName(near_jaccard.links(fps, components, lambda t: shingle_hashes(t, near_jaccard.WORDS, seed), jaccard))
+        edges = near_jaccard.links(fps, edges, contracted, lambda t: shingle_hashes(t, near_jaccard.WORDS, seed), jaccard)
     # rows that share a doc_id are linked as one, whatever their texts
     repeated = fps.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     edges = edges.unionByName(fps.join(repeated, "doc_id").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")))

@@ -79,3 +79,53 @@ def test_hubs_meet_every_later_member():
     want = {(a, b) for k, a in members for l, b in members if k == l and a < b}
     assert len(met) == len(set(met)) and set(met) == want
     assert np.array(met).size
+
+
+def test_a_task_gives_fewer_links_than_it_has_nodes():
+    """Many hubs that are all alike, each with all texts: their links must not be all pairs."""
+    import pyarrow as pa
+
+    from ledgerlens.llm import near_jaccard as nj
+    from ledgerlens.llm.op10_simhash import shingle_hashes
+
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = []
+    for hub in range(20):
+        rows.append((False, hub, hub, f"{words} h{hub}"))
+        rows += [(True, hub, node, f"{words} s{node}" if node % 10 else f"unlike {node} " * 9) for node in range(100, 150)]
+    table = pa.table({name: [row[i] for row in rows] for i, name in enumerate(("spoke", "hub_node", "node", "text"))})
+    found = pa.Table.from_batches(nj._compare(iter(table.to_batches(max_chunksize=64)), lambda t: shingle_hashes(t, nj.WORDS, 42), 0.8)).to_pylist()
+    label = {n: n for row in rows for n in row[1:3]}
+    for x in found:
+        one, other = label[x["a"]], label[x["b"]]
+        label = {n: one if y == other else y for n, y in label.items()}
+    linked = [n for n in label if n < 100 or n % 10]
+    assert len({label[n] for n in linked}) == 1 and len(set(label.values())) == 1 + len(label) - len(linked)
+    assert len(found) == len(linked) - 1
+
+
+def test_links_of_a_loose_group_stay_fewer_than_its_copies(spark, monkeypatch):
+    """What is known to be linked, by SimHash or by a step before, is not compared or linked again."""
+    from ledgerlens.llm import near_jaccard as nj
+
+    r = random.Random(500)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(len(words))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    links, write = [], nj.written
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "jaccard-links":
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "written", written)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()}
+    label = near_groups(rows)
+    assert kept == {i for i, x in label.items() if x == i}
+    assert links and 2 * sum(links) < len(rows) - len(kept)
